@@ -44,11 +44,18 @@ BLOCKS["history"] = """
     case when a.commit_no % 10 >= 7 then concat('feature-', cast(a.commit_no % 3 as varchar)) end as ref
   from waypoint_sparse h join waypoint_sparse a
     on h.project_id = a.project_id and a.commit_no < h.commit_no and h.commit_no - a.commit_no <= 520"""
-BLOCKS["diff"] = """
+
+
+def _diff(uploads: str) -> str:
+    return f"""
   select project_id, commit_id, file_name, line_number,
     cast(row_number() over (partition by project_id, commit_id, file_name order by line_number) - 1 as integer) as diff_index
   from (select distinct u.project_id, u.commit_id, l.file_name, l.line_number
-        from upload u join line_cov l on l.upload_id = u.upload_id where l.in_diff)"""
+        from {uploads} u join line_cov l on l.upload_id = u.upload_id where l.in_diff)"""
+
+
+BLOCKS["diff"] = _diff("upload")
+BLOCKS["diff_sparse"] = _diff("upload_sparse")
 
 
 def _finalised(waypoints: str) -> str:
@@ -142,8 +149,17 @@ BLOCKS["scoped_lines"] = """
   select s.project_id, s.commit_id, s.tag, s.total_lines, s.source_commit, l.*
   from scope_sparse s join line_cov l on l.upload_id = s.upload_id"""
 BLOCKS["scoped_state"] = states("scoped_lines", WAYPOINT)
-BLOCKS["diff_state"] = f"""
-  select s.* from ({states("(select n.* from unnested n where exists (select 1 from diff d where d.project_id = n.project_id and d.commit_id = n.commit_id and d.file_name = n.file_name and d.line_number = n.line_number))", WAYPOINT)}) s"""
+BLOCKS["unnested_sparse"] = """
+  select u.project_id, u.commit_id, l.* from upload_sparse u join line_cov l on u.upload_id = l.upload_id"""
+
+
+def _in_diff(source: str, diff: str) -> str:
+    return f"""(select n.* from {source} n where exists (select 1 from {diff} d where d.project_id = n.project_id
+      and d.commit_id = n.commit_id and d.file_name = n.file_name and d.line_number = n.line_number))"""
+
+
+BLOCKS["diff_state"] = states(_in_diff("unnested", "diff"), WAYPOINT)
+BLOCKS["diff_state_sparse"] = states(_in_diff("unnested_sparse", "diff_sparse"), WAYPOINT)
 
 PERCENT = "(covered + partial) / cast(case when lines = 0 then 1 else lines end as double) * 100.0"
 

@@ -161,7 +161,7 @@ def pull_request_summary(
             F.coalesce("part", F.lit(0)).alias("part"),
             "base_commit",
             "uploads",
-            F.round("coverage_percentage", 2).alias("total_coverage"),
+            L.round_2dp(F.col("coverage_percentage")).alias("total_coverage"),
             "diff_coverage_percentage",
             "diff_uncovered_lines",
             "coverage_change",
