@@ -18,7 +18,7 @@ CHUNK = "_chunk"
 
 def with_chunk(df: DataFrame, order: Column, span: int) -> DataFrame:
     """Add the chunk number of each row: ``span`` neighbouring order values share a chunk."""
-    return df.withColumn(CHUNK, F.floor(order / F.lit(span)))
+    return df.withColumn(CHUNK, F.call_function("div", order, F.lit(span)))
 
 
 def chunk_window(keys: Sequence[str], *order: Column) -> WindowSpec:
