@@ -131,7 +131,7 @@ QUERIES: dict[str, Query] = {
 _ID = "repository_id, commit_id, identifier"
 
 
-def _screen(source: str) -> str:
+def screen_sql(source: str) -> str:
     before = "over (partition by identifier order by event_id rows between unbounded preceding and 1 preceding)"
     return f"""
   select *, case when event_time < state_time then 'late'
@@ -148,7 +148,7 @@ def _screen(source: str) -> str:
           from {source}))))"""
 
 
-S.BLOCKS["screened"] = _screen("job_event")
+S.BLOCKS["screened"] = screen_sql("job_event")
 S.BLOCKS["recorded"] = "select * from screened where dropped is null"
 S.BLOCKS["job_state"] = """
   select repository_id, commit_id, identifier, arg_max(kind, event_id) as kind, arg_max(state, event_id) as state,
@@ -156,7 +156,7 @@ S.BLOCKS["job_state"] = """
   from recorded group by repository_id, commit_id, identifier"""
 S.BLOCKS["final_event"] = """
   select * replace (case when event_id % 4 = 1 then 'FINALISED' else kind end as kind) from job_event"""
-S.BLOCKS["final_screened"] = _screen("final_event")
+S.BLOCKS["final_screened"] = screen_sql("final_event")
 S.BLOCKS["final_state"] = """
   select repository_id, commit_id, identifier, arg_max(kind, event_id) as kind, arg_max(state, event_id) as state,
     max(event_time) as event_time

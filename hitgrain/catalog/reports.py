@@ -15,7 +15,7 @@ from hitgrain.operators import history as H
 from hitgrain.operators import messages as M
 from hitgrain.operators import uploads
 from hitgrain.plans import reports as R
-from hitgrain.session import work_dir
+from hitgrain.session import stage_table, work_dir
 from hitgrain.sources import bind
 
 
@@ -28,7 +28,8 @@ def bases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comparison(spark: SparkSession, d: str) -> DataFrame:
-    return R.coverage_comparison(report(spark, d), bases(spark, d))
+    reports = stage_table(report(spark, d), "reports")
+    return R.coverage_comparison(reports, bases(spark, d))
 
 
 def sparse_diff_states(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +60,10 @@ def q_tag_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_pull_request_summary(spark: SparkSession, d: str) -> DataFrame:
-    scope, lines, diff_lines = whole_scope(spark, d, sizes=True), bind.lines(spark, d), sparse_diff_states(spark, d)
-    reports = R.coverage_report(commits(spark, d), scope, lines)
+    lines = bind.lines(spark, d)
+    scope = stage_table(whole_scope(spark, d, sizes=True), "scope")
+    diff_lines = stage_table(sparse_diff_states(spark, d), "diff-lines")
+    reports = stage_table(R.coverage_report(commits(spark, d), scope, lines), "reports")
     summary = R.pull_request_summary(
         reports,
         R.coverage_comparison(reports, bases(spark, d)),
@@ -141,6 +144,15 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_line_comments(spark: SparkSession, d: str) -> DataFrame:
+    lines = stage_table(diff_states(spark, d), "diff-lines")
+    return K.line_comments(
+        K.missing_coverage_blocks(lines, bind.diff(spark, d)),
+        K.partial_branch_comments(lines),
+        bind.comment_settings(spark, d),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "report_size": lambda s, d: uploads.report_size(whole_scope(s, d, sizes=True), commits(s, d)),
     "coverage_report": report,
@@ -160,11 +172,7 @@ QUERIES: dict[str, Query] = {
     "latest_ref_coverage": q_latest_ref_coverage,
     "missing_coverage_blocks": lambda s, d: K.missing_coverage_blocks(diff_states(s, d), bind.diff(s, d)),
     "partial_branch_comments": lambda s, d: K.partial_branch_comments(diff_states(s, d)),
-    "line_comments": lambda s, d: K.line_comments(
-        K.missing_coverage_blocks(diff_states(s, d), bind.diff(s, d)),
-        K.partial_branch_comments(diff_states(s, d)),
-        bind.comment_settings(s, d),
-    ),
+    "line_comments": q_line_comments,
     "message_group_hash": lambda s, d: messages(s, d).select("seq", "message_group"),
     "latest_message_per_group": lambda s, d: M.latest_message_per_group(messages(s, d)),
 }
