@@ -210,10 +210,11 @@ def q_sink_line_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sink_uploads(spark: SparkSession, d: str) -> DataFrame:
-    """Write lines, then uploads, and check from the uploads that every line is there."""
+    """Write lines (here in months), then uploads, and check from the uploads that every line is there."""
     root = work_dir(spark, "uploads")
     up = bind.uploads(spark, d, sizes=True)
-    rows = bind.lines(spark, d).drop("branch_hits").join(up.select("upload_id", "ingest_time"), "upload_id")
+    month = F.date_trunc("month", F.col("ingest_time").cast("timestamp")).cast("timestamp_ntz").alias("ingest_time")
+    rows = bind.lines(spark, d).drop("branch_hits").join(up.select("upload_id", month), "upload_id")
     sinks.write_ingest(rows, up.drop("commit_no"), f"{root}/lines", f"{root}/uploads")
     stored, lines = spark.read.parquet(f"{root}/uploads"), spark.read.parquet(f"{root}/lines")
     counts = lines.groupBy("upload_id").agg(F.count(F.lit(1)).alias("stored_lines"))
