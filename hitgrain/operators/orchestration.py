@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitgrain.functions.events import FAILURE, IN_PROGRESS, SUCCESS, is_finished
-from hitgrain.operators.sequence import CHUNK, carry, chunk_window, earlier_chunks, later_chunks, with_chunk
+from hitgrain.operators.sequence import carry, chunk_window, earlier_chunks, later_chunks, with_chunk
 
 COMMIT = ["repository_id", "commit_id"]
 IDENTITY = [*COMMIT, "identifier"]
@@ -28,11 +28,6 @@ STATE_LIFETIME = timedelta(seconds=43_200)
 QUIET_PERIOD = timedelta(seconds=6)
 
 
-def _greatest_known(*columns: Column) -> Column:
-    """Largest of the columns that are not NULL."""
-    return F.greatest(*columns)
-
-
 def screen_events(events: DataFrame, span: int = EVENT_SPAN) -> DataFrame:
     """Add ``dropped``: NULL for events that are recorded, else ``late`` or ``regression``.
 
@@ -40,42 +35,50 @@ def screen_events(events: DataFrame, span: int = EVENT_SPAN) -> DataFrame:
     a regression when it would move a finished job back to in progress. So
     until the first recorded finish only in-progress events count, after it
     only finished ones, and each recorded time is the maximum so far.
+    ``was_ongoing`` tells whether the recorded state before the event was in progress.
+
+    A chunk's finish counts when one that is in time within the chunk is also
+    not older than the latest in-progress event of earlier chunks, so one
+    maximum per chunk is enough to carry.
     """
     ongoing = F.col("state") == IN_PROGRESS
+    ongoing_time = F.when(ongoing, F.col("event_time"))
+    finish_time = F.when(~ongoing, F.col("event_time"))
     before = chunk_window(IDENTITY, F.col("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = earlier_chunks(IDENTITY)
-
-    def seen(name: str, carried: str) -> Column:
-        return _greatest_known(F.max(F.col(name)).over(before), F.col(carried))
-
-    timed = (
+    local = (
         with_chunk(events, F.col("event_id"), span)
-        .withColumn("ongoing_time", F.when(ongoing, F.col("event_time")))
-        .withColumn("finish_time", F.when(~ongoing, F.col("event_time")))
+        .withColumn("ongoing_local", F.max(ongoing_time).over(before))
+        .withColumn("finish_local", F.max(finish_time).over(before))
+        .withColumn(
+            "in_time_finish",
+            F.when(F.col("ongoing_local").isNull() | (finish_time >= F.col("ongoing_local")), finish_time),
+        )
     )
-    with_times = carry(
-        timed,
+    known = carry(
+        local,
         IDENTITY,
-        {"o": F.max("ongoing_time"), "f": F.max("finish_time")},
+        {"o": F.max(ongoing_time), "f": F.max(finish_time), "q": F.max("in_time_finish")},
         {"ongoing_carried": F.max("o").over(earlier), "finish_carried": F.max("f").over(earlier)},
+        {
+            "finishes": F.col("q").isNotNull()
+            & (F.col("ongoing_carried").isNull() | (F.col("q") >= F.col("ongoing_carried")))
+        },
+        {"finished_carried": F.coalesce(F.max("finishes").over(earlier), F.lit(False))},
     )
-    with_times = with_times.withColumn("ongoing_before", seen("ongoing_time", "ongoing_carried")).withColumn(
-        "finish_before", seen("finish_time", "finish_carried")
-    )
-    in_time = F.coalesce(F.col("event_time") >= F.col("ongoing_before"), F.lit(True))
-    marked = with_times.withColumn("finishes", (~ongoing & in_time).cast("int"))
-    marked = carry(
-        marked, IDENTITY, {"n": F.max("finishes")}, {"finished_carried": F.max("n").over(earlier)}
-    )
-    finished_before = F.coalesce(
-        _greatest_known(F.max("finishes").over(before), F.col("finished_carried")), F.lit(0)
+    finishes_here = F.col("in_time_finish").isNotNull() & (
+        F.col("ongoing_carried").isNull() | (F.col("in_time_finish") >= F.col("ongoing_carried"))
     )
-    state_time = F.when(F.col("finished_before") == 1, F.col("finish_before")).otherwise(F.col("ongoing_before"))
+    finished = F.col("finished_carried") | F.coalesce(F.max(finishes_here).over(before), F.lit(False))
+    ongoing_before = F.greatest("ongoing_local", "ongoing_carried")
+    state_time = F.when(F.col("finished"), F.greatest("finish_local", "finish_carried")).otherwise(ongoing_before)
     dropped = F.when(F.col("event_time") < state_time, F.lit("late")).when(
-        ongoing & (F.col("finished_before") == 1), F.lit("regression")
+        ongoing & F.col("finished"), F.lit("regression")
     )
-    return marked.withColumn("finished_before", finished_before).withColumn("dropped", dropped).select(
-        *events.columns, "dropped"
+    return known.withColumn("finished", finished).select(
+        *events.columns,
+        dropped.alias("dropped"),
+        (~F.col("finished") & ongoing_before.isNotNull()).alias("was_ongoing"),
     )
 
 
@@ -105,51 +108,48 @@ def event_state_changes(recorded: DataFrame, span: int = EVENT_SPAN) -> DataFram
     fields never coincide in these events, so comparing per field and
     comparing values alone give the same changes.
     """
+    names = ("type", "state", "eventTime")
     fields = F.struct(
         F.col("kind").alias("type"), "state", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("eventTime")
     )
-    chunked = with_chunk(recorded.withColumn("now", fields), F.col("event_id"), span)
-    order = chunk_window(IDENTITY, F.col("event_id"))
-    with_last = carry(
-        chunked,
+    order, earlier = chunk_window(IDENTITY, F.col("event_id")), earlier_chunks(IDENTITY)
+    local = (
+        with_chunk(recorded, F.col("event_id"), span)
+        .withColumn("now", fields)
+        .withColumn("was_local", F.lag("now").over(order))
+    )
+    inner_change = F.col("was_local").isNotNull() & (F.col("now") != F.col("was_local"))
+    known = carry(
+        local,
         IDENTITY,
-        {"last_here": F.max_by("now", "event_id")},
-        {"last_carried": F.last("last_here", ignorenulls=True).over(earlier_chunks(IDENTITY))},
+        {
+            "first_here": F.min_by("now", "event_id"),
+            "last_here": F.max_by("now", "event_id"),
+            "inner": F.count_if(inner_change),
+        },
+        {"was_carried": F.last("last_here").over(earlier)},
+        {"opens": (~F.col("first_here").eqNullSafe(F.col("was_carried"))).cast("bigint")},
+        {"versions_before": F.coalesce(F.sum(F.col("inner") + F.col("opens")).over(earlier), F.lit(0))},
     )
-    with_last = with_last.withColumn("was", F.coalesce(F.lag("now").over(order), F.col("last_carried")))
-    names = ("type", "state", "eventTime")
-    changed = F.filter(
+    was = F.coalesce("was_local", "was_carried")
+    known = known.withColumn("was", was).withColumn("changes", (~F.col("now").eqNullSafe(F.col("was"))).cast("bigint"))
+    version = F.col("versions_before") + F.sum("changes").over(order)
+    entries = F.array_compact(
         F.array(
             *[
-                F.struct(
-                    F.lit(name).alias("key"),
-                    F.col(f"now.{name}").alias("value"),
-                    (~F.col(f"now.{name}").eqNullSafe(F.col(f"was.{name}"))).alias("differs"),
+                F.when(
+                    ~F.col(f"now.{name}").eqNullSafe(F.col(f"was.{name}")),
+                    F.struct(F.lit(name).alias("key"), F.col(f"now.{name}").alias("value")),
                 )
                 for name in names
             ]
-        ),
-        lambda entry: entry["differs"],
-    )
-    changes = (
-        with_last.withColumn("changed", changed)
-        .filter(F.size("changed") > 0)
-        .select(
-            *IDENTITY,
-            "event_id",
-            "event_time",
-            CHUNK,
-            F.map_from_entries(F.transform("changed", lambda e: F.struct(e["key"], e["value"]))).alias("change"),
         )
     )
-    numbered = carry(
-        changes,
-        IDENTITY,
-        {"n": F.count(F.lit(1))},
-        {"before": F.coalesce(F.sum("n").over(earlier_chunks(IDENTITY)), F.lit(0))},
+    return (
+        known.withColumn("version", version)
+        .filter(F.col("changes") == 1)
+        .select(*IDENTITY, "version", F.map_from_entries(entries).alias("change"), "event_time", "event_id")
     )
-    version = F.col("before") + F.row_number().over(order)
-    return numbered.select(*IDENTITY, version.alias("version"), "change", "event_time", "event_id")
 
 
 def event_state_fold(changes: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def already_finalised(states: DataFrame, now: Column) -> DataFrame:
 
 
 def uploads_finalised(recorded: DataFrame, quiet: timedelta = QUIET_PERIOD, span: int = TIME_SPAN) -> DataFrame:
-    """Moments at which a commit became complete.
+    """Moments at which a commit became complete. ``recorded`` is the output of ``recorded_events``.
 
     All recorded events of a commit are replayed in time order. A moment counts
     when a finished event leaves nothing in progress and nothing else happens
@@ -220,45 +220,36 @@ def uploads_finalised(recorded: DataFrame, quiet: timedelta = QUIET_PERIOD, span
     taken in since the moment before. Each later finalisation is assumed to be
     reported before the next event.
     """
-    per_job = Window.partitionBy(*IDENTITY).orderBy("event_time", "event_id")
     ongoing = (F.col("state") == IN_PROGRESS).cast("int")
-    stepped = recorded.withColumn("step", ongoing - F.coalesce(F.lag(ongoing).over(per_job), F.lit(0)))
-    seconds = F.floor(F.unix_micros(F.col("event_time").cast("timestamp")) / F.lit(1_000_000))
+    ingest_time = F.when((F.col("kind") == "INGESTION") & is_finished(F.col("state")), F.col("event_time"))
+    seconds = F.call_function("div", F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(1_000_000))
     order = chunk_window(COMMIT, F.col("event_time"), F.col("event_id"))
     before, after = earlier_chunks(COMMIT), later_chunks(COMMIT)
-    chunked = with_chunk(stepped, seconds, span)
-    counted = carry(
-        chunked,
+    stepped = with_chunk(recorded, seconds, span).withColumn("step", ongoing - F.col("was_ongoing").cast("int"))
+    known = carry(
+        stepped,
         COMMIT,
-        {"steps": F.sum("step"), "first_time": F.min("event_time")},
+        {"steps": F.sum("step"), "first_time": F.min("event_time"), "i": F.max(ingest_time)},
         {
             "open_carried": F.coalesce(F.sum("steps").over(before), F.lit(0)),
             "next_carried": F.first("first_time").over(after),
+            "ingest_carried": F.max("i").over(before),
         },
     )
     next_time = F.coalesce(F.lead("event_time").over(order), F.col("next_carried"))
     still_open = F.col("open_carried") + F.sum("step").over(order)
     triggers = F.when(F.col("kind") == "INGESTION", is_finished(F.col("state"))).otherwise(F.col("state") == SUCCESS)
-    replayed = counted.withColumn(
-        "complete",
-        triggers & (still_open == 0) & F.coalesce(next_time - F.col("event_time") >= F.lit(quiet), F.lit(True)),
-    )
-    replayed = replayed.withColumn(
-        "ingest_time", F.when((F.col("kind") == "INGESTION") & is_finished(F.col("state")), F.col("event_time"))
-    ).withColumn("complete_time", F.when(F.col("complete"), F.col("event_time")))
-    replayed = carry(
-        replayed,
-        COMMIT,
-        {"c": F.max("complete_time"), "i": F.max("ingest_time")},
-        {"complete_carried": F.max("c").over(before), "ingest_carried": F.max("i").over(before)},
+    quiet_after = F.coalesce(next_time - F.col("event_time") >= F.lit(quiet), F.lit(True))
+    moments = (
+        known.withColumn("complete", triggers & (still_open == 0) & quiet_after)
+        .withColumn("ingested", F.greatest(F.max(ingest_time).over(order), F.col("ingest_carried")))
+        .filter("complete")
     )
-    until_before = order.rowsBetween(Window.unboundedPreceding, -1)
-    previous = _greatest_known(F.max("complete_time").over(until_before), F.col("complete_carried"))
-    ingested = _greatest_known(F.max("ingest_time").over(order), F.col("ingest_carried"))
+    # Moments of a commit are at least a quiet period apart, so there are few of them.
+    previous = F.lag("event_time").over(Window.partitionBy(*COMMIT).orderBy("event_time", "event_id"))
     return (
-        replayed.withColumn("previous", previous)
-        .withColumn("ingested", ingested)
-        .filter(F.col("complete") & (F.col("previous").isNull() | (F.col("ingested") > F.col("previous"))))
+        moments.withColumn("previous", previous)
+        .filter(F.col("previous").isNull() | (F.col("ingested") > F.col("previous")))
         .select(*COMMIT, "event_time")
     )
 
