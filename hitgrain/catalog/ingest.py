@@ -13,7 +13,7 @@ from hitgrain.functions.paths import fix_path
 from hitgrain.operators import decoding as D
 from hitgrain.operators import rows as R
 from hitgrain.operators import sinks
-from hitgrain.session import work_dir
+from hitgrain.session import stage_table, work_dir
 from hitgrain.sources import bind, diffs, events, files, render, webhooks
 
 DECODED = ["upload_id", "file_seq", "file_name", "ident", "line_number", "type", "hits", "branch_json"]
@@ -168,7 +168,8 @@ def ingest_uploads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_build_line_rows(spark: SparkSession, d: str) -> DataFrame:
-    return R.build_line_rows(lcov_lines(spark, d), ingest_uploads(spark, d)).select(
+    lines = stage_table(lcov_lines(spark, d), "decoded")
+    return R.build_line_rows(lines, ingest_uploads(spark, d)).select(
         "upload_id",
         "commit_id",
         "tag",

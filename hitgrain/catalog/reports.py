@@ -20,7 +20,8 @@ from hitgrain.sources import bind
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
-    return R.coverage_report(commits(spark, d), whole_scope(spark, d, sizes=True), bind.lines(spark, d))
+    scope = stage_table(whole_scope(spark, d, sizes=True), "scope")
+    return R.coverage_report(commits(spark, d), scope, bind.lines(spark, d))
 
 
 def bases(spark: SparkSession, d: str) -> DataFrame:

@@ -187,10 +187,9 @@ def ongoing_events(states: DataFrame) -> DataFrame:
 
 def newer_event_recorded(states: DataFrame) -> DataFrame:
     """Per identifier, whether the commit's latest change belongs to another event."""
-    newest = states.groupBy(*COMMIT).agg(F.max("event_time").alias("newest_time"))
-    at_newest = states.join(newest, COMMIT).filter(F.col("event_time") == F.col("newest_time"))
-    first = at_newest.groupBy(*COMMIT).agg(F.min("identifier").alias("newest"))
-    return states.join(first, COMMIT).select(*IDENTITY, (F.col("identifier") != F.col("newest")).alias("newer"))
+    age = -F.unix_micros(F.col("event_time").cast("timestamp"))
+    newest = states.groupBy(*COMMIT).agg(F.min(F.struct(age.alias("age"), "identifier")).alias("newest"))
+    return states.join(newest, COMMIT).select(*IDENTITY, (F.col("identifier") != F.col("newest.identifier")).alias("newer"))
 
 
 def already_finalised(states: DataFrame, now: Column) -> DataFrame:
