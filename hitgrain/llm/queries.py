@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import exact_dedup, mixing, url_filter
+from hitgrain.llm import exact_dedup, mixing, packing, token_output, url_filter
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -39,10 +40,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col(ROW)["doc_id"].alias("doc_id"), "size", "source_size", "target", taken)
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary lies; ``HITGRAIN_TOKENIZER`` names another file."""
+    if "HITGRAIN_TOKENIZER" in os.environ:
+        return os.environ["HITGRAIN_TOKENIZER"]
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_output.token_digests(token_output.token_table(docs, tokenizer_path()))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op6_token_output": op6_token_output,
+    "op9_packing": op9_packing,
 }
 
 _RULE_ROWS = ", ".join(
