@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import exact_dedup, mixing, packing, token_output, url_filter
+from hitgrain.llm import ann, exact_dedup, mixing, packing, token_output, url_filter, warc_zip
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -54,17 +54,28 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.token_table(docs, tokenizer_path()))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.packed_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path())
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest_neighbours(rows, lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op6_token_output": op6_token_output,
+    "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
+    "op10_neighbours": op10_neighbours,
 }
 
 _RULE_ROWS = ", ".join(
@@ -87,6 +98,14 @@ fits as (
     on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
   group by n)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fits using (n)
+""",
+    "op8_warc_zip": """
+with t as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, coalesce(html, '') as payload from pages),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload) end as last from t)
+select page_id, payload_bytes, sha1(payload) as payload_digest,
+  case when last is distinct from page_id and last is not null then 'revisit' else 'response' end as record_type,
+  case when last is distinct from page_id then last end as refers_to
+from m
 """,
     "op2_exact_dedup": f"""
 with t as (select doc_id, {LOWER.format("coalesce(text, '')")} as norm from documents)
