@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import ann, exact_dedup, mixing, packing, token_output, url_filter, warc_zip
+from hitgrain.llm import ann, exact_dedup, mixing, packing, quality, token_output, url_filter, warc_zip
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -49,6 +49,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge_quality(docs, table(spark, sf_dir, "labels"))
+    return judged.select(F.col(ROW)["doc_id"].alias("doc_id"), F.col(ROW)["lang"].alias("lang"), "bits", "perplexity", "threshold", "kept")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_output.token_digests(token_output.token_table(docs, tokenizer_path()))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_token_output": op6_token_output,
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
