@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import ann, exact_dedup, mixing, packing, quality, token_output, url_filter, warc_zip
+from hitgrain.llm import ann, exact_dedup, mixing, near_dedup, packing, quality, token_output, url_filter, warc_zip
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -33,6 +33,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select(F.col(ROW)["doc_id"].alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.label_near_copies(docs).drop("text_hash")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.sample_mix(docs)
@@ -77,6 +82,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_token_output": op6_token_output,
