@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import ann, exact_dedup, mixing, near_dedup, packing, quality, token_output, url_filter, warc_zip
+from hitgrain.llm import ann, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_output, url_filter, warc_zip
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -65,6 +65,11 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.token_table(docs, tokenizer_path()))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeat_digests(suffix_dedup.remove_repeats(docs))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.packed_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_token_output": op6_token_output,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_neighbours": op10_neighbours,
