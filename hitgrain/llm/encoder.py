@@ -23,15 +23,22 @@ _BETWEEN = "\x0b"
 
 
 class _Known(dict):
-    """Ids by stretch. A new stretch gets an empty place that is filled later, wherever it was handed out."""
+    """Ids by stretch. A new stretch gets an empty place that is filled later, wherever it was handed out.
 
-    def __init__(self):
+    ``older`` holds what was known before; what is used again moves over, the rest goes with it.
+    """
+
+    def __init__(self, older: dict[str, bytes]):
         super().__init__()
+        self.older = older
         self.new: dict[str, bytearray] = {}
 
-    def __missing__(self, stretch: str) -> bytearray:
-        self[stretch] = self.new[stretch] = bytearray()
-        return self.new[stretch]
+    def __missing__(self, stretch: str) -> bytes | bytearray:
+        place = self.older.get(stretch)
+        if place is None:
+            place = self.new[stretch] = bytearray()
+        self[stretch] = place
+        return place
 
 
 class Encoder:
@@ -43,16 +50,20 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._keep = keep
-        self._known = _Known()
+        self._known = _Known({})
         between = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
         self._between = between[0] if len(between) == 1 else None
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        (encoding,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoding.ids, dtype="<u4")
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        if len(self._known) > self._keep:
-            self._known = _Known()
+        if len(self._known) > self._keep // 2:
+            self._known = _Known(dict(self._known))
         ids = self._known.__getitem__
         places = []
         for text in texts:
@@ -94,7 +105,7 @@ class Encoder:
             if self._between is None or any(_BETWEEN in s or s[-1].isspace() or s[1:2].isspace() for s in some):
                 out += map(self._direct, some)
                 continue
-            ids = np.array(self._tokenizer.encode(_BETWEEN.join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(_BETWEEN.join(some))
             ends = np.append(np.flatnonzero(ids == self._between), len(ids)) * 4
             raw, begin = ids.tobytes(), 0
             for end in ends.tolist():

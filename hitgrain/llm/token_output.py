@@ -83,11 +83,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it) and ``tokens``, read from the files."""
     stored = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (
-        # One row per range.
-        stored.groupBy("part").agg(F.sum("n_tokens").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    )
-    return stored.join(parts, "part").select("doc_id", (F.col("_base") + F.col("place")).alias("start"), "tokens")
+    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
+    parts = parts.select("part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    # One row per range, as many as the shuffle had partitions.
+    return stored.join(F.broadcast(parts), "part").select("doc_id", (F.col("_base") + F.col("place")).alias("start"), "tokens")
 
 
 def _digested(batches):

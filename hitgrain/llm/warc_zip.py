@@ -1,9 +1,10 @@
 """WARC records in ZIP packages, read back by range.
 
-Each writing task packs its pages into ZIP archives with two stored members: ``archive/data.warc`` and
-``indexes/index.cdxj``, which gives offset and length of every record. The reader never unpacks: it parses the end
+Each writing task packs its pages into ZIP archives with two stored members: ``archive/data.warc.gz``, in which every
+record is a gzip member of its own, and ``indexes/index.cdxj``, which gives offset and length of every record. The reader never unpacks: it parses the end
 record, the ZIP64 records where there are any, and the central directory, finds the stored members, reads the indexes,
-and fetches single records by offset. An archive without an index is walked record by record.
+and fetches single records by offset. An archive without an index is
+walked record by record, and plain ``.warc`` members are read as well.
 
 Of pages with equal payloads of ``REVISIT_BYTES`` or more, the one with the largest identifier is a response and the
 others are revisits of it, without payload.
@@ -19,6 +20,7 @@ that repeat the largest identifier of their payload are responses each. No pages
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import json
@@ -26,6 +28,7 @@ import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,8 @@ from hitgrain.session import stage_table, work_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 128 << 20
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+GZIP_LEVEL = 3
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVES = "path string, bytes long, records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 NAME = "urn:page:"
@@ -118,7 +122,8 @@ def _packed(folder: str, limit: int):
             for row in zip(*(batch[name].to_pylist() for name in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 page_id, url, payload, digest, refers_to = row
                 archive = archive or ArchiveWriter(folder)
-                archive.add(f"{NAME}{page_id}", record_bytes(page_id, url, payload.encode(), digest, refers_to))
+                record = record_bytes(page_id, url, payload.encode(), digest, refers_to)
+                archive.add(f"{NAME}{page_id}", gzip.compress(record, GZIP_LEVEL, mtime=0))
                 if archive.bytes >= limit:
                     closed.append(archive.close())
                     archive = None
@@ -195,7 +200,7 @@ def _wide(extra: bytes, *values: int) -> list[int]:
 def record_places(file) -> Iterator[tuple[int, int]]:
     """Offset in the archive and length of every record, by the indexes or else by the records' own lengths."""
     members = stored_members(file)
-    data = {name: place for name, place in members.items() if name.endswith(".warc")}
+    data = {name: place for name, place in members.items() if name.endswith((".warc", ".warc.gz"))}
     indexes = [name for name in members if name.endswith(".cdxj")]
     if indexes and len(data) == 1:
         ((begin, _),) = data.values()
@@ -204,23 +209,42 @@ def record_places(file) -> Iterator[tuple[int, int]]:
                 entry = json.loads(line[line.index("{") :])
                 yield begin + entry["offset"], entry["length"]
         return
-    for begin, length in data.values():
+    for name, (begin, length) in data.items():
+        walk = _gzip_length if name.endswith(".gz") else _plain_length
         at = begin
         while at < begin + length:
-            head = b""
-            while b"\r\n\r\n" not in head:
-                more = read_at(file, at + len(head), 4096)
-                if not more:
-                    raise ValueError("record without end of head")
-                head += more
-            head = head[: head.index(b"\r\n\r\n") + 4]
-            whole = len(head) + int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)[1]) + 4
+            whole = walk(file, at)
             yield at, whole
             at += whole
 
 
+def _gzip_length(file, at: int) -> int:
+    """Length of the gzip member that begins at ``at``."""
+    member, used = zlib.decompressobj(31), 0
+    while not member.eof:
+        more = read_at(file, at + used, 1 << 16)
+        if not more:
+            raise ValueError("record without end")
+        member.decompress(more)
+        used += len(more)
+    return used - len(member.unused_data)
+
+
+def _plain_length(file, at: int) -> int:
+    head = b""
+    while b"\r\n\r\n" not in head:
+        more = read_at(file, at + len(head), 4096)
+        if not more:
+            raise ValueError("record without end of head")
+        head += more
+    head = head[: head.index(b"\r\n\r\n") + 4]
+    return len(head) + int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)[1]) + 4
+
+
 def parse_record(record: bytes) -> tuple:
     """(page_id, payload bytes, payload digest, type, refers_to) of one record."""
+    if record[:2] == b"\x1f\x8b":
+        record = gzip.decompress(record)
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
