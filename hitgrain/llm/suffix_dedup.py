@@ -130,7 +130,7 @@ def _sent_hashes(shards: int, length: int):
         order = np.argsort(shard, kind="stable")
         hashes, counts, shard = hashes[order], counts[order], shard[order]
         present, starts = np.unique(shard, return_index=True)
-        stops = np.append(starts[1:], len(shard))
+        stops = np.append(starts, len(shard))[1:]
         return pa.table(
             {
                 "shard": pa.array(present.astype(np.int32)),
