@@ -33,10 +33,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables and stream checkpoints.
 
     On a cluster it lies in the shared folder named by ``spark.checkpoint.dir``.
-    Only where that is unset (tests, one machine) is a local folder taken.
+    Only where that is unset and all runs on one machine, as in tests, is a local folder taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="hitgrain-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
