@@ -174,14 +174,22 @@ def _scored(shared, order: int):
     return score
 
 
-def score_documents(rows: DataFrame, model: DataFrame, small: int = SMALL_MODEL, order: int = ORDER) -> DataFrame:
-    """The columns of ``rows`` but ``_text``, with its ``bits`` per character; null for an empty text."""
+def small_model(model: DataFrame, small: int = SMALL_MODEL):
+    """The model for the scoring tasks, or None if it has more than ``small`` entries.
+
+    Arrow batches keep what passes the driver at 20 bytes an entry.
+    """
     if model.count() > small:
+        return None
+    table = model.select("kind", "gram", "value").toArrow()
+    arrays = [table[name].to_numpy() for name in ("kind", "gram", "value")]
+    return model.sparkSession.sparkContext.broadcast(Model(*arrays))
+
+
+def score_documents(rows: DataFrame, model: DataFrame, shared, order: int = ORDER) -> DataFrame:
+    """The columns of ``rows`` but ``_text``, with its ``bits`` per character; null for an empty text."""
+    if shared is None:
         return _score_sharded(rows, model, order)
-    table = model.toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast(
-        Model(table["kind"].to_numpy(), table["gram"].to_numpy(), table["value"].to_numpy())
-    )
     schema = rows.drop("_text").withColumn("bits", F.lit(None).cast("double")).schema
     return rows.mapInArrow(_scored(shared, order), schema)
 
@@ -266,10 +274,11 @@ def judge_quality(
     vouched = rows.select(F.col(ROW)[doc_id].alias("_id"), F.col(ROW)[lang].cast("string").alias("lang"), body.alias("text"))
     vouched = vouched.join(trusted, "_id", "left_semi")
     model = train_model(vouched.filter(~_held(F.col("_id"))))
-    scored = score_documents(rows.withColumn("_text", body), model, small)
+    shared = small_model(model, small)
+    scored = score_documents(rows.withColumn("_text", body), model, shared)
     # Thresholds need few columns, so only those are scored for them.
     held = rows.select(F.col(ROW)[doc_id].alias("_id"), F.col(ROW)[lang].cast("string").alias("lang"), body.alias("_text"))
-    held = score_documents(held.filter(_held(F.col("_id"))), model, small).join(trusted, "_id", "left_semi")
+    held = score_documents(held.filter(_held(F.col("_id"))), model, shared).join(trusted, "_id", "left_semi")
     limits = stage_table(thresholds(held), "lm-thresholds")
     fallback = limits.filter("_all").first()
     limits = limits.filter("not _all").select(F.col("lang").alias("_lang"), "threshold")
