@@ -137,7 +137,7 @@ class Model:
             own = kinds == kind
             order = np.argsort(grams[own])
             self.tables[kind] = (grams[own][order].astype(np.uint64), values[own][order])
-        self.order = max(self.tables, default=1)
+        self.order = max(self.tables, default=0)
 
     def _find(self, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = self.tables[kind]
