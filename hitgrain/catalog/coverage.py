@@ -82,20 +82,12 @@ def q_tag_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def q_upload_summary(spark: SparkSession, d: str) -> DataFrame:
     up = bind.uploads(spark, d, sizes=True)
-    return uploads.upload_summary(up, up.select(*W).distinct()).select(
-        *W,
-        "part",
-        text("successful_uploads").alias("successful_uploads"),
-        text("successful_ingest_times").alias("successful_ingest_times"),
-        F.to_json("successful_tags").alias("successful_tags"),
-    )
+    return uploads.upload_summary(up, up.select(*W).distinct())
 
 
 def q_tag_availability(spark: SparkSession, d: str) -> DataFrame:
     up = bind.uploads(spark, d, bind.SPARSE, sizes=True)
-    return uploads.tag_availability(up, up.select(*W).distinct()).select(
-        "project_id", "tag_name", "part", F.to_json("carryforward_tags").alias("carryforward_tags")
-    )
+    return uploads.tag_availability(up, up.select(*W).distinct())
 
 
 def q_metric_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +174,6 @@ _TAG_TOTALS = f"""select project_id, commit_id, tag as tag_name, source_commit a
     cast(total_lines as varchar) as uploaded_lines, {S.COUNTS}, {S.percent_2dp(_HIT, 'count(*)')} as coverage_percentage
   from ({S.states('unnested', _TAG_KEYS)}) group by {_TAG_KEYS}"""
 _TIME = "strftime(ingest_time, '%Y-%m-%d %H:%M:%S')"
-_PART_OF = "cast(cast(concat('0x', substr(md5({member}), 1, 8)) as bigint) % cast(ceil(count(*) over (partition by {keys}) / 10000.0) as bigint) as integer) as part"
 
 ORACLES: dict[str, str] = {
     "flag_line_types": S.query(f"select {_KEY}, {_FLAGS} from line_cov"),
@@ -249,23 +240,12 @@ ORACLES: dict[str, str] = {
         f"select project_id, commit_id, tag_name, lines, covered from ({_TAG_TOTALS}) order by 1, 2, 3"
     ),
     "upload_summary": S.query(
-        f"""select project_id, commit_id, part, string_agg(upload_id, ',' order by upload_id) as successful_uploads,
-        string_agg({_TIME}, ',' order by upload_id) as successful_ingest_times,
-        concat('[', string_agg(concat('{{"name":"', tag, '","successfully_uploaded_lines":[', cast(total_lines as varchar),
-          '],"commit":"', commit_id, '"}}'), ',' order by upload_id), ']') as successful_tags
-        from (select *, {_PART_OF.format(member='upload_id', keys='project_id, commit_id')} from upload)
-        group by project_id, commit_id, part"""
+        f"""select project_id, commit_id, upload_id, {_TIME} as ingest_time, tag as tag_name,
+        total_lines as successfully_uploaded_lines from upload"""
     ),
     "tag_availability": S.query(
-        f"""select project_id, tag as tag_name, part, concat('[', string_agg(entry, ',' order by commit_id, upload_part), ']')
-          as carryforward_tags
-        from (select *, {_PART_OF.format(member='commit_id', keys='project_id, tag')} from (
-          select project_id, commit_id, tag, part as upload_part, concat('{{"commit":"', commit_id, '","upload_part":', cast(part as varchar),
-            ',"name":"', tag, '","successfully_uploaded_lines":[', string_agg(cast(total_lines as varchar), ',' order by upload_id),
-            '],"ingest_times":[', string_agg(concat('"', {_TIME}, '"'), ',' order by upload_id), ']}}') as entry
-          from (select *, {_PART_OF.format(member='upload_id', keys='project_id, commit_id, tag')} from upload_sparse)
-          group by project_id, commit_id, tag, part))
-        group by project_id, tag, part"""
+        f"""select project_id, commit_id, tag as tag_name, upload_id, total_lines as successfully_uploaded_lines,
+        {_TIME} as ingest_time from upload_sparse"""
     ),
     "uploaded_tags": S.query("select distinct project_id, tag as tag_name from upload"),
     "latest_upload": S.query(

@@ -69,12 +69,10 @@ def q_pull_request_summary(spark: SparkSession, d: str) -> DataFrame:
         reports,
         R.coverage_comparison(reports, bases(spark, d)),
         R.diff_totals(commits(spark, d), diff_lines),
-        R.tag_report(scope, lines),
         R.least_covered_diff_files(diff_lines),
     )
     return summary.select(
         *W,
-        "part",
         "base_commit",
         "uploads",
         "total_coverage",
@@ -83,12 +81,14 @@ def q_pull_request_summary(spark: SparkSession, d: str) -> DataFrame:
         "coverage_change",
         "uncovered_lines_change",
         "verdict",
-        F.coalesce(F.size("tag_coverage"), F.lit(0)).alias("tags"),
-        F.coalesce(F.size(F.filter("tag_coverage", lambda t: t["carried_forward"])), F.lit(0)).alias("carried_tags"),
         text(F.transform("impacted_files", lambda f: f["file_name"])).alias("impacted_files"),
     )
 
 
+def q_pull_request_tags(spark: SparkSession, d: str) -> DataFrame:
+    return R.pull_request_tags(R.tag_report(whole_scope(spark, d, sizes=True), bind.lines(spark, d)))
+
+
 def ref_results(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of each finalised commit with its ref; the commit number orders them in time."""
     events = bind.finalised_events(spark, d, bind.DENSE)
@@ -169,6 +169,7 @@ QUERIES: dict[str, Query] = {
     ),
     "coverage_comparison": comparison,
     "pull_request_summary": q_pull_request_summary,
+    "pull_request_tags": q_pull_request_tags,
     "sink_ref_metadata": q_sink_ref_metadata,
     "latest_ref_coverage": q_latest_ref_coverage,
     "missing_coverage_blocks": lambda s, d: K.missing_coverage_blocks(diff_states(s, d), bind.diff(s, d)),
@@ -293,22 +294,22 @@ ORACLES: dict[str, str] = {
         "select project_id, commit_id, base_commit, coverage_change, uncovered_lines_change, size from comparison"
     ),
     "pull_request_summary": S.query(
-        f"""select r.project_id, r.commit_id, 0 as part, c.base_commit, r.uploads,
+        f"""select r.project_id, r.commit_id, c.base_commit, r.uploads,
           {S.round_2dp('r.coverage_percentage')} as total_coverage, d.diff_coverage_percentage, d.diff_uncovered_lines,
           c.coverage_change, c.uncovered_lines_change,
           case when c.coverage_change > 0 then 'increase' when c.coverage_change < 0 then 'decrease' else 'not change' end as verdict,
-          cast(coalesce(t.tags, 0) as integer) as tags, cast(coalesce(t.carried_tags, 0) as integer) as carried_tags,
           f.impacted_files
         from report r
         left join comparison c on c.project_id = r.project_id and c.commit_id = r.commit_id
         left join diff_total d on d.project_id = r.project_id and d.commit_id = r.commit_id
-        left join (select project_id, commit_id, count(*) as tags, count(*) filter (where tag_commit <> commit_id) as carried_tags
-                   from tag_total group by project_id, commit_id) t
-          on t.project_id = r.project_id and t.commit_id = r.commit_id
         left join (select project_id, commit_id, string_agg(file_name, ',' order by rank) as impacted_files
                    from {_worst('diff_state_sparse')} group by project_id, commit_id) f
           on f.project_id = r.project_id and f.commit_id = r.commit_id"""
     ),
+    "pull_request_tags": S.query(
+        """select project_id, commit_id, tag_name, tag_commit, tag_commit <> commit_id as carried_forward, lines, covered,
+        partial, uncovered, coverage_percentage from tag_total"""
+    ),
     "sink_ref_metadata": S.query("select repository_id, ref, coverage_percentage, event_time from ref_latest"),
     "latest_ref_coverage": S.query(
         "select repository_id, ref, coverage_percentage from ref_latest where ref in ('feature-1', 'feature-2')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hitgrain.catalog import Query
 from hitgrain.catalog import sql as S
-from hitgrain.catalog.coverage import FLAGS, W, joined, text
+from hitgrain.catalog.coverage import FLAGS, W, joined
 from hitgrain.operators import history as H
 from hitgrain.operators import scope, uploads
 from hitgrain.plans.reports import report_scope
@@ -41,14 +41,7 @@ def whole_scope(spark: SparkSession, d: str, sizes: bool = False) -> DataFrame:
 
 def q_carryforward_tags(spark: SparkSession, d: str) -> DataFrame:
     up = sparse(spark, d, sizes=True)
-    return H.carryforward_tags(candidates(spark, d), bind.history(spark, d), up).select(
-        *W,
-        "tag",
-        "source_commit",
-        "part",
-        text("successfully_uploaded_lines").alias("uploaded_lines"),
-        text("ingest_times").alias("ingest_times"),
-    )
+    return H.carryforward_tags(candidates(spark, d), bind.history(spark, d), up)
 
 
 def q_scope_partitions(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +111,7 @@ QUERIES: dict[str, Query] = {
     "scope_diff_lines": lambda s, d: scope.scope_diff_lines(joined(s, d), bind.diff(s, d)).select(
         *W, "upload_id", "file_name", "line_number", *FLAGS, "hits"
     ),
-    "commit_ancestors": lambda s, d: H.commit_ancestors(bind.history(s, d), commits(s, d), H.CARRYFORWARD_DEPTH)
+    "commit_ancestors": lambda s, d: H.commit_ancestors(bind.history(s, d), commits(s, d))
     .groupBy("project_id", "head")
     .agg(
         F.count(F.lit(1)).alias("n"),
@@ -191,7 +184,7 @@ ORACLES: dict[str, str] = {
     "commit_ancestors": S.query(
         """select project_id, head, count(*) as n, min(position) as nearest, max(position) as farthest,
           count(*) filter (where coalesce(merged, true)) as merged, count(ref) as with_ref
-        from history where position between 1 and 400 group by project_id, head"""
+        from history group by project_id, head"""
     ),
     "tags_not_seen": S.query(
         """select w.project_id, w.commit_id, k.tag
@@ -200,12 +193,10 @@ ORACLES: dict[str, str] = {
     ),
     "carryforward_candidates": S.query("select project_id, commit_id, tag from candidate"),
     "carryforward_tags": S.query(
-        f"""select c.project_id, c.commit_id, c.tag, c.source_commit, 0 as part,
-          string_agg(cast(u.total_lines as varchar), ',' order by u.upload_id) as uploaded_lines,
-          string_agg({_TIME}, ',' order by u.upload_id) as ingest_times
+        f"""select c.project_id, c.commit_id, c.tag, c.source_commit, u.upload_id,
+          u.total_lines as successfully_uploaded_lines, {_TIME} as ingest_time
         from carried c join upload_sparse u
-          on u.project_id = c.project_id and u.commit_id = c.source_commit and u.tag = c.tag
-        group by c.project_id, c.commit_id, c.tag, c.source_commit"""
+          on u.project_id = c.project_id and u.commit_id = c.source_commit and u.tag = c.tag"""
     ),
     "tag_union": S.query(
         """select distinct project_id, commit_id, tag, commit_id as source_commit from upload_sparse

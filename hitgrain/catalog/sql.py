@@ -43,7 +43,7 @@ BLOCKS["history"] = """
     case when a.commit_no % 4 <> 0 then a.commit_no % 2 = 0 end as merged,
     case when a.commit_no % 10 >= 7 then concat('feature-', cast(a.commit_no % 3 as varchar)) end as ref
   from waypoint_sparse h join waypoint_sparse a
-    on h.project_id = a.project_id and a.commit_no < h.commit_no and h.commit_no - a.commit_no <= 520"""
+    on h.project_id = a.project_id and a.commit_no < h.commit_no"""
 
 
 def _diff(uploads: str) -> str:
@@ -134,7 +134,7 @@ BLOCKS["carried"] = """
   select c.project_id, c.commit_id, c.tag, arg_min(h.ancestor, h.position) as source_commit,
     min(h.position) as position
   from candidate c
-  join history h on h.project_id = c.project_id and h.head = c.commit_id and h.position <= 400
+  join history h on h.project_id = c.project_id and h.head = c.commit_id
   join (select distinct project_id, commit_id, tag from upload_sparse) a
     on a.project_id = c.project_id and a.commit_id = h.ancestor and a.tag = c.tag
   group by c.project_id, c.commit_id, c.tag"""

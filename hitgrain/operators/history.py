@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitgrain.operators.coverage import WAYPOINT
+from hitgrain.operators.sequence import carry, chunk_window, earlier_chunks, with_chunk
 from hitgrain.operators.settings import tag_carryforward_allowed
 from hitgrain.operators.uploads import commit_tags, uploaded_tags, uploads_per_tag
 
-# How far back, in ancestors, tags and base commits are looked for.
-CARRYFORWARD_DEPTH = 400
-BASE_DEPTH = 520
+# How many neighbouring commits of a project's history share a chunk.
+SPAN = 10_000
 
 
-def commit_ancestors(history: DataFrame, heads: DataFrame, max_position: int) -> DataFrame:
-    """Newest-first ancestors of each head, the head excluded."""
-    wanted = heads.select("project_id", F.col("commit_id").alias("head"))
+def within(position: Column, max_position: int | None) -> Column:
+    return F.lit(True) if max_position is None else position <= max_position
+
+
+def commit_ancestors(history: DataFrame, heads: DataFrame, max_position: int | None = None) -> DataFrame:
+    """All ancestors of each head, the head excluded; ``position`` counts from it, newest first.
+
+    ``history`` holds one row per commit: its ``number`` in the project's line, ``merged`` and ``ref``. The result is
+    as large as heads times ancestors, so this is for asking about some heads; the other operators do not use it.
+    """
+    wanted = heads.select("project_id", "commit_id").join(history, list(WAYPOINT))
+    wanted = wanted.select("project_id", F.col("commit_id").alias("head"), F.col("number").alias("_head_no"))
+    position = F.col("_head_no") - F.col("number")
     return (
-        history.filter(F.col("position").between(1, max_position))
-        .join(wanted, ["project_id", "head"], "left_semi")
+        history.join(wanted, "project_id")
+        .filter((position > 0) & within(position, max_position))
         .select(
             "project_id",
             "head",
-            "position",
-            "ancestor",
+            position.alias("position"),
+            F.col("commit_id").alias("ancestor"),
             F.coalesce("merged", F.lit(True)).alias("merged"),
             "ref",
         )
@@ -48,39 +58,43 @@ def carryforward_candidates(waypoints: DataFrame, uploads: DataFrame, tag_settin
 
 
 def nearest_tag_commits(
-    candidates: DataFrame, history: DataFrame, uploads: DataFrame, max_position: int = CARRYFORWARD_DEPTH
+    candidates: DataFrame, history: DataFrame, uploads: DataFrame, max_position: int | None = None, span: int = SPAN
 ) -> DataFrame:
-    """Per (waypoint, tag) the nearest ancestor that has the tag: the flat result the scopes join with.
+    """Per (waypoint, tag) the nearest ancestor that has the tag, however far back.
 
-    Only heads that lack a tag are expanded to their ancestors; the nearest
-    one is a minimum, which combines before the shuffle.
+    Commits that have a tag and commits that lack it form one line per (project, tag); the nearest is the last one
+    before that has it. Lines are cut into chunks of ``span`` commits, so a long one spreads over many tasks.
     """
-    ancestors = history.filter(F.col("position").between(1, max_position)).select(
-        "project_id", F.col("head").alias("commit_id"), "ancestor", "position"
+    keys = ["project_id", "tag"]
+    numbers = history.select(*WAYPOINT, "number")
+    having = commit_tags(uploads).withColumn("_has", F.lit(True))
+    line = having.unionByName(candidates.select(*WAYPOINT, "tag").withColumn("_has", F.lit(False))).join(
+        numbers, list(WAYPOINT)
     )
-    available = commit_tags(uploads).withColumnRenamed("commit_id", "ancestor")
+    line = line.withColumn("_source", F.when(F.col("_has"), F.struct("number", "commit_id")))
+    line = carry(
+        with_chunk(line, F.col("number"), span),
+        keys,
+        {"_newest": F.max("_source")},
+        {"_earlier": F.last("_newest", True).over(earlier_chunks(keys))},
+    )
+    here = F.last("_source", True).over(chunk_window(keys, F.col("number")).rowsBetween(Window.unboundedPreceding, -1))
+    position = F.col("number") - F.col("_nearest.number")
     return (
-        candidates.join(ancestors, list(WAYPOINT))
-        .join(available, ["project_id", "ancestor", "tag"], "left_semi")
-        .groupBy(*WAYPOINT, "tag")
-        .agg(F.min(F.struct("position", "ancestor")).alias("nearest"))
-        .select(
-            *WAYPOINT,
-            "tag",
-            F.col("nearest.ancestor").alias("source_commit"),
-            F.col("nearest.position").alias("position"),
-        )
+        line.withColumn("_nearest", F.coalesce(here, "_earlier"))
+        .filter(~F.col("_has") & F.col("_nearest").isNotNull() & within(position, max_position))
+        .select(*WAYPOINT, "tag", F.col("_nearest.commit_id").alias("source_commit"), position.alias("position"))
     )
 
 
 def carryforward_tags(
-    candidates: DataFrame, history: DataFrame, uploads: DataFrame, max_position: int = CARRYFORWARD_DEPTH
+    candidates: DataFrame, history: DataFrame, uploads: DataFrame, max_position: int | None = None
 ) -> DataFrame:
-    """Carried-forward tags with the line counts and ingest times of their source uploads."""
+    """Carried-forward tags, one row per upload of their source with its line count and ingest time."""
     nearest = nearest_tag_commits(candidates, history, uploads, max_position)
     sources = uploads_per_tag(uploads).withColumnRenamed("commit_id", "source_commit")
     return nearest.join(sources, ["project_id", "source_commit", "tag"]).select(
-        *WAYPOINT, "tag", "source_commit", "part", "successfully_uploaded_lines", "ingest_times"
+        *WAYPOINT, "tag", "source_commit", "upload_id", "successfully_uploaded_lines", "ingest_time"
     )
 
 
@@ -89,28 +103,42 @@ def tag_union(own: DataFrame, carried: DataFrame) -> DataFrame:
     return own.unionByName(carried)
 
 
-def base_commit_from_history(events: DataFrame, history: DataFrame, max_position: int = BASE_DEPTH) -> DataFrame:
-    """First ancestor on another ref than the head; only for events that name a base ref."""
+def _ref_changes(history: DataFrame, span: int) -> DataFrame:
+    """Per commit its parent in the line, and the newest commit before that on another ref than the parent's."""
+    keys = ["project_id"]
+    order = chunk_window(keys, F.col("number"))
+    rows = with_chunk(history.withColumn("_commit", F.struct("number", "commit_id", "ref")), F.col("number"), span)
+    rows = carry(rows, keys, {"_last": F.max("_commit")}, {"_earlier": F.last("_last", True).over(earlier_chunks(keys))})
+    rows = rows.withColumn("parent", F.coalesce(F.lag("_commit").over(order), "_earlier")).drop("_earlier")
+    changed = F.col("parent").isNotNull() & ~F.col("ref").eqNullSafe(F.col("parent.ref"))
+    # Where the ref changes, the parent is the newest commit on another ref for the whole run that begins.
+    rows = rows.withColumn("_change", F.when(changed, F.col("parent")))
+    rows = carry(rows, keys, {"_last": F.max("_change")}, {"_earlier": F.last("_last", True).over(earlier_chunks(keys))})
+    here = F.last("_change", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select(*WAYPOINT, "number", "parent", F.coalesce(here, "_earlier").alias("other"))
+
+
+def base_commit_from_history(
+    events: DataFrame, history: DataFrame, max_position: int | None = None, span: int = SPAN
+) -> DataFrame:
+    """First ancestor on another ref than the head, however far back; only for events that name a base ref."""
     heads = events.filter(F.col("base_ref").isNotNull()).select(
         *WAYPOINT, F.col("ref").alias("head_ref"), "base_ref"
     )
-    ancestors = history.filter(F.col("position").between(1, max_position)).select(
-        "project_id", F.col("head").alias("commit_id"), "position", "ancestor", "ref"
-    )
+    first = F.when(F.col("parent.ref").eqNullSafe(F.col("head_ref")), F.col("other")).otherwise(F.col("parent"))
     return (
-        heads.join(ancestors, list(WAYPOINT))
-        .filter(~F.col("ref").eqNullSafe(F.col("head_ref")))
-        .groupBy(*WAYPOINT)
-        .agg(
-            F.min(
-                F.struct("position", "ancestor", F.coalesce("ref", "base_ref").alias("base_ref"))
-            ).alias("first")
+        heads.join(_ref_changes(history, span), list(WAYPOINT))
+        .withColumn("first", first)
+        .filter(F.col("first").isNotNull() & within(F.col("number") - F.col("first.number"), max_position))
+        .select(
+            *WAYPOINT,
+            F.col("first.commit_id").alias("base_commit"),
+            F.coalesce("first.ref", "base_ref").alias("base_ref"),
         )
-        .select(*WAYPOINT, F.col("first.ancestor").alias("base_commit"), F.col("first.base_ref").alias("base_ref"))
     )
 
 
-def base_commit(events: DataFrame, history: DataFrame, max_position: int = BASE_DEPTH) -> DataFrame:
+def base_commit(events: DataFrame, history: DataFrame, max_position: int | None = None) -> DataFrame:
     """Base of the comparison: from history, else from the event's base, else its first parent."""
     found = base_commit_from_history(events, history, max_position).select(
         *WAYPOINT,

@@ -46,15 +46,3 @@ def carry(df: DataFrame, keys: Sequence[str], summaries: dict[str, Column], *ste
     for step in steps:
         per_chunk = per_chunk.withColumns(step)
     return df.join(per_chunk.drop(*summaries), [*keys, CHUNK])
-
-
-def bounded_parts(df: DataFrame, keys: Sequence[str], member: Column, limit: int = 10_000) -> DataFrame:
-    """Add ``part`` so that no (group, part) holds many more than ``limit`` rows.
-
-    Groups up to the limit have the single part 0. Larger groups are spread by
-    a hash of ``member``. Used before arrays are collected, so that the array
-    of one huge group becomes several rows instead of one.
-    """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_parts"))
-    digest = F.conv(F.substring(F.md5(member.cast("string")), 1, 8), 16, 10).cast("bigint")
-    return df.join(sizes, list(keys)).withColumn("part", (digest % F.col("_parts")).cast("int")).drop("_parts")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitgrain.operators.coverage import WAYPOINT
-from hitgrain.operators.sequence import bounded_parts
 
 
 def time_text(column: str) -> Column:
@@ -14,39 +13,15 @@ def time_text(column: str) -> Column:
 
 
 def upload_summary(uploads: DataFrame, waypoints: DataFrame) -> DataFrame:
-    """Uploads, ingest times and tags of each waypoint as arrays; empty arrays when it has none.
-
-    Arrays are ordered by upload. A waypoint with very many uploads gets
-    several rows, numbered by ``part``.
-    """
-    parts = bounded_parts(uploads, WAYPOINT, F.col("upload_id"))
-    entry = F.struct(
+    """One row per upload of each waypoint with its ingest time and tag; a waypoint without uploads has one of nulls."""
+    rows = uploads.select(
+        *WAYPOINT,
         "upload_id",
         time_text("ingest_time").alias("ingest_time"),
-        F.struct(
-            F.col("tag").alias("name"),
-            F.array("total_lines").alias("successfully_uploaded_lines"),
-            F.col("commit_id").alias("commit"),
-        ).alias("tag"),
-    )
-    rows = parts.groupBy(*WAYPOINT, "part").agg(F.array_sort(F.collect_list(entry)).alias("u"))
-    rows = rows.select(
-        *WAYPOINT,
-        "part",
-        F.col("u.upload_id").alias("successful_uploads"),
-        F.col("u.ingest_time").alias("successful_ingest_times"),
-        F.col("u.tag").alias("successful_tags"),
-    )
-    joined = waypoints.select(*WAYPOINT).join(rows, list(WAYPOINT), "left")
-    empty = {f.name: f.dataType for f in rows.schema.fields}
-    return joined.select(
-        *WAYPOINT,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        *[
-            F.coalesce(c, F.array().cast(empty[c])).alias(c)
-            for c in ("successful_uploads", "successful_ingest_times", "successful_tags")
-        ],
+        F.col("tag").alias("tag_name"),
+        F.col("total_lines").alias("successfully_uploaded_lines"),
     )
+    return waypoints.select(*WAYPOINT).join(rows, list(WAYPOINT), "left")
 
 
 def commit_tags(uploads: DataFrame) -> DataFrame:
@@ -55,37 +30,20 @@ def commit_tags(uploads: DataFrame) -> DataFrame:
 
 
 def uploads_per_tag(uploads: DataFrame) -> DataFrame:
-    """Line counts and ingest times of the uploads of each (project, commit, tag)."""
-    parts = bounded_parts(uploads, [*WAYPOINT, "tag"], F.col("upload_id"))
-    entry = F.struct("upload_id", "total_lines", time_text("ingest_time").alias("ingest_time"))
-    return (
-        parts.groupBy(*WAYPOINT, "tag", "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("u"))
-        .select(
-            *WAYPOINT,
-            "tag",
-            "part",
-            F.col("u.total_lines").alias("successfully_uploaded_lines"),
-            F.col("u.ingest_time").alias("ingest_times"),
-        )
+    """Line count and ingest time of every upload of each (project, commit, tag)."""
+    return uploads.select(
+        *WAYPOINT,
+        "tag",
+        "upload_id",
+        F.col("total_lines").alias("successfully_uploaded_lines"),
+        time_text("ingest_time").alias("ingest_time"),
     )
 
 
 def tag_availability(uploads: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per tag of a project, the commits (of those asked for) that have it, with their uploads."""
+    """Per tag of a project, the commits (of those asked for) that have it, one row per upload."""
     asked = uploads.join(commits.select(*WAYPOINT), list(WAYPOINT), "left_semi")
-    per_commit = uploads_per_tag(asked).withColumnRenamed("part", "upload_part")
-    parts = bounded_parts(per_commit, ["project_id", "tag"], F.col("commit_id"))
-    entry = F.struct(
-        F.col("commit_id").alias("commit"),
-        "upload_part",
-        F.col("tag").alias("name"),
-        "successfully_uploaded_lines",
-        "ingest_times",
-    )
-    return parts.groupBy("project_id", F.col("tag").alias("tag_name"), "part").agg(
-        F.array_sort(F.collect_list(entry)).alias("carryforward_tags")
-    )
+    return uploads_per_tag(asked).withColumnRenamed("tag", "tag_name")
 
 
 def uploaded_tags(uploads: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from hitgrain.operators import coverage as C
 from hitgrain.operators import history as H
 from hitgrain.operators import scope as S
 from hitgrain.operators.coverage import WAYPOINT
-from hitgrain.operators.sequence import bounded_parts
 
 W = list(WAYPOINT)
 
@@ -122,43 +121,24 @@ def coverage_comparison(reports: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def pull_request_summary(
-    reports: DataFrame, comparison: DataFrame, diff: DataFrame, tags: DataFrame, files: DataFrame
+    reports: DataFrame, comparison: DataFrame, diff: DataFrame, files: DataFrame
 ) -> DataFrame:
-    """Everything published about a commit, with tags and impacted files as arrays.
+    """The numbers published about a commit in one row, its few impacted files as an array.
 
-    ``diff`` is the output of ``diff_totals``, ``tags`` of ``tag_report`` and
-    ``files`` of ``least_covered_diff_files``. A commit with very many tags has
-    several rows, numbered by ``part``.
+    ``diff`` is the output of ``diff_totals`` and ``files`` of ``least_covered_diff_files``. The commit's tags are
+    the rows of ``pull_request_tags``.
     """
     change = F.col("coverage_change")
     verdict = F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("not change")
-    tag_entry = F.struct(
-        "tag_name",
-        F.col("tag.commit").alias("commit"),
-        (F.col("tag.commit") != F.col("commit_id")).alias("carried_forward"),
-        "lines",
-        "covered",
-        "partial",
-        "uncovered",
-        "coverage_percentage",
-    )
-    member = F.concat_ws("/", "tag.name", "tag.commit", F.col("tag.successfully_uploaded_lines")[0].cast("string"))
-    tag_arrays = (
-        bounded_parts(tags, WAYPOINT, member)
-        .groupBy(*W, "part")
-        .agg(F.array_sort(F.collect_list(tag_entry)).alias("tag_coverage"))
-    )
     file_arrays = files.groupBy(*W).agg(
         F.array_sort(F.collect_list(F.struct("rank", "file_name", "coverage_percentage"))).alias("impacted_files")
     )
     return (
         reports.join(comparison.select(*W, "base_commit", "coverage_change", "uncovered_lines_change"), W, "left")
         .join(diff, W, "left")
-        .join(tag_arrays, W, "left")
         .join(file_arrays, W, "left")
         .select(
             *W,
-            F.coalesce("part", F.lit(0)).alias("part"),
             "base_commit",
             "uploads",
             L.round_2dp(F.col("coverage_percentage")).alias("total_coverage"),
@@ -167,12 +147,26 @@ def pull_request_summary(
             "coverage_change",
             "uncovered_lines_change",
             verdict.alias("verdict"),
-            "tag_coverage",
             "impacted_files",
         )
     )
 
 
+def pull_request_tags(tags: DataFrame) -> DataFrame:
+    """The tags published about a commit, one row each, from ``tag_report``."""
+    return tags.select(
+        *W,
+        "tag_name",
+        F.col("tag.commit").alias("tag_commit"),
+        (F.col("tag.commit") != F.col("commit_id")).alias("carried_forward"),
+        "lines",
+        "covered",
+        "partial",
+        "uncovered",
+        "coverage_percentage",
+    )
+
+
 def record_ref_coverage(existing: DataFrame | None, finalised: DataFrame) -> DataFrame:
     """Newest percentage per (repository, ref) over the old table and new results."""
     columns = ["repository_id", "ref", "coverage_percentage", "event_time"]

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from hitgrain.functions import lines as L
 
 SPARSE, DENSE = 1000, 20
-HISTORY_DEPTH = 520
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -87,22 +86,14 @@ def ancestor_ref(number: Column) -> Column:
 
 
 def history(spark: SparkSession, directory: str, modulus: int = SPARSE) -> DataFrame:
-    """Ancestors of every commit, at most ``HISTORY_DEPTH`` back, found by commit number."""
-    commits = waypoints(spark, directory, modulus)
-    wanted = commits.select(
-        "project_id",
-        F.col("commit_id").alias("head"),
-        F.col("commit_no").alias("head_no"),
-        F.explode(F.sequence(F.lit(1), F.lit(HISTORY_DEPTH))).alias("position"),
-    ).withColumn("commit_no", F.col("head_no") - F.col("position"))
-    ancestors = commits.select("project_id", F.col("commit_id").alias("ancestor"), "commit_no")
-    return wanted.filter(F.col("commit_no") >= 0).join(ancestors, ["project_id", "commit_no"]).select(
+    """The line of commits of every project, one row per commit; ``number`` is its place."""
+    number = F.col("commit_no")
+    return waypoints(spark, directory, modulus).select(
         "project_id",
-        "head",
-        "ancestor",
-        "position",
-        F.when(F.col("commit_no") % 4 != 0, F.col("commit_no") % 2 == 0).alias("merged"),
-        ancestor_ref(F.col("commit_no")).alias("ref"),
+        "commit_id",
+        number.alias("number"),
+        F.when(number % 4 != 0, number % 2 == 0).alias("merged"),
+        ancestor_ref(number).alias("ref"),
     )
 
 

@@ -19,7 +19,6 @@ from hitgrain.operators import orchestration as O
 from hitgrain.operators import scope as S
 from hitgrain.operators import settings as T
 from hitgrain.operators import uploads as U
-from hitgrain.operators.sequence import bounded_parts
 
 LINES = (
     "project_id string, commit_id string, file_name string, line_number int, state string, contains_method boolean,"
@@ -119,7 +118,7 @@ def test_rounding(spark):
 UPLOADS = (
     "upload_id string, project_id string, commit_id string, tag string, ingest_time timestamp_ntz, total_lines bigint"
 )
-HISTORY = "project_id string, head string, ancestor string, position int, merged boolean, ref string"
+HISTORY = "project_id string, commit_id string, number int, merged boolean, ref string"
 
 
 def upload(number, commit, tag, lines=1):
@@ -129,21 +128,66 @@ def upload(number, commit, tag, lines=1):
 def test_carryforward(spark):
     uploads = spark.createDataFrame(
         [upload(1, "head", "a"), upload(2, "c3", "b", 5), upload(3, "c3", "b", 6), upload(4, "c9", "b"),
-         upload(5, "c401", "far"), upload(6, "c400", "near"), upload(7, "c2", "off")], UPLOADS,
+         upload(5, "c900", "far"), upload(6, "c400", "near"), upload(7, "c2", "off")], UPLOADS,
     )
-    history = spark.createDataFrame([("p", "head", f"c{i}", i, None, None) for i in range(1, 521)], HISTORY)
+    line = [("p", "head", 2000, None, None)] + [("p", f"c{i}", 2000 - i, None, None) for i in range(1, 1001)]
+    history = spark.createDataFrame(line, HISTORY)
     heads = spark.createDataFrame([("p", "head")], "project_id string, commit_id string")
     rules = spark.createDataFrame([("p", None, True), ("p", "off", False)], "repository_id string, tag string, carryforward boolean")
     candidates = H.carryforward_candidates(heads, uploads, rules)
     assert sorted(r.tag for r in candidates.collect()) == ["b", "far", "near"]
     carried = H.carryforward_tags(candidates, history, uploads)
     assert sorted((r.tag, r.source_commit, r.successfully_uploaded_lines) for r in carried.collect()) == [
-        ("b", "c3", [5, 6]),
-        ("near", "c400", [1]),
+        ("b", "c3", 5),
+        ("b", "c3", 6),
+        ("far", "c900", 1),
+        ("near", "c400", 1),
     ]
+    limited = H.nearest_tag_commits(candidates, history, uploads, max_position=400)
+    assert sorted((r.tag, r.position) for r in limited.collect()) == [("b", 3), ("near", 400)]
     nearest = H.nearest_tag_commits(candidates, history, uploads)
     scope = S.scope_uploads_or_carryforward(uploads, heads, nearest)
-    assert sorted((r.commit_id, r.upload_id) for r in scope.collect()) == [("head", f"u{i}") for i in (1, 2, 3, 6)]
+    assert sorted((r.commit_id, r.upload_id) for r in scope.collect()) == [("head", f"u{i}") for i in (1, 2, 3, 5, 6)]
+
+
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_nearest_tags_random(spark, span):
+    rng = random.Random(span)
+    numbers = sorted(rng.sample(range(300), 120))
+    tags = {n: rng.sample("abcd", rng.choice([0, 0, 0, 1, 2])) for n in numbers}
+    history = spark.createDataFrame([("p", f"c{n}", n, None, None) for n in numbers], HISTORY)
+    uploads = spark.createDataFrame([upload(n, f"c{n}", t) for n in numbers for t in tags[n]], UPLOADS)
+    lacking = [("p", f"c{n}", t) for n in numbers for t in "abcd" if t not in tags[n]]
+    candidates = spark.createDataFrame(lacking, "project_id string, commit_id string, tag string")
+    expected = set()
+    for _, commit, tag in lacking:
+        before = [m for m in numbers if m < int(commit[1:]) and tag in tags[m]]
+        if before:
+            expected.add((commit, tag, f"c{before[-1]}", int(commit[1:]) - before[-1]))
+    got = H.nearest_tag_commits(candidates, history, uploads, span=span).collect()
+    assert sorted((r.commit_id, r.tag, r.source_commit, r.position) for r in got) == sorted(expected)
+
+
+@pytest.mark.parametrize("span", [1, 9, 10_000])
+def test_base_from_history_random(spark, span):
+    rng = random.Random(span + 1)
+    numbers = sorted(rng.sample(range(400), 150))
+    refs, ref = {}, None
+    for n in numbers:
+        ref = rng.choice([ref, ref, ref, ref, "x", "y", None])
+        refs[n] = ref
+    history = spark.createDataFrame([("p", f"c{n}", n, True, refs[n]) for n in numbers], HISTORY)
+    heads = {n: rng.choice(["x", "y", "z"]) for n in numbers}
+    events = spark.createDataFrame(
+        [("p", f"c{n}", heads[n], "main") for n in numbers], "project_id string, commit_id string, ref string, base_ref string"
+    )
+    expected = {}
+    for n in numbers:
+        other = [m for m in numbers if m < n and refs[m] != heads[n]]
+        if other:
+            expected[f"c{n}"] = (f"c{other[-1]}", refs[other[-1]] or "main")
+    got = H.base_commit_from_history(events, history, span=span).collect()
+    assert {r.commit_id: (r.base_commit, r.base_ref) for r in got} == expected
 
 
 def test_base_commit(spark):
@@ -153,36 +197,32 @@ def test_base_commit(spark):
     )
     events = spark.createDataFrame(
         [
-            ("p", "history", "feature", "main", "eb", 1, ["pa"]),
             ("p", "far", "feature", "main", "eb", 1, ["pa"]),
+            ("q", "alone", "feature", "main", "eb", 1, ["pa"]),
             ("p", "parent", "feature", None, None, None, ["pa", "pb"]),
             ("p", "none", "feature", None, None, None, []),
         ],
         schema,
     )
-    refs = {1: "feature", 2: None}
-    rows = [("p", "history", f"h{i}", i, True, refs[i]) for i in (1, 2)]
-    rows += [("p", "far", f"h{i}", i, True, "feature" if i <= 520 else None) for i in range(1, 523)]
+    rows = [("p", "h0", 0, True, None), ("p", "far", 700, True, "feature"), ("q", "alone", 1, True, "feature")]
+    rows += [("p", f"h{i}", i, True, "feature") for i in range(1, 700)]
     history = spark.createDataFrame(rows, HISTORY)
     got = {r.commit_id: (r.source, r.base_commit, r.base_ref) for r in H.base_commit(events, history).collect()}
     assert got == {
-        "history": ("history", "h2", "main"),
-        "far": ("event", "eb", "main"),
+        "far": ("history", "h0", "main"),
+        "alone": ("event", "eb", "main"),
         "parent": ("parent", "pa", "feature"),
         "none": ("none", None, None),
     }
+    limited = H.base_commit_from_history(events, history, max_position=520)
+    assert limited.isEmpty()
 
 
-def test_bounded_parts_split_large_groups(spark):
-    rows = [(f"u{i}", "p", "big" if i < 300 else "small", "t", datetime.datetime(2024, 1, 1), i) for i in range(310)]
-    uploads = spark.createDataFrame(rows, UPLOADS)
-    parts = bounded_parts(uploads, ["project_id", "commit_id"], F.col("upload_id"), limit=50)
-    sizes = {(r.commit_id, r.part): r["count"] for r in parts.groupBy("commit_id", "part").count().collect()}
-    assert sum(sizes.values()) == 310
-    assert len([k for k in sizes if k[0] == "big"]) == 6 and sizes[("small", 0)] == 10
-    empty = spark.createDataFrame([("p", "nothing")], "project_id string, commit_id string")
-    row = U.upload_summary(uploads, empty).first()
-    assert (row.successful_uploads, row.successful_tags) == ([], [])
+def test_upload_summary_without_uploads(spark):
+    uploads = spark.createDataFrame([upload(1, "c1", "a")], UPLOADS)
+    asked = spark.createDataFrame([("p", "c1"), ("p", "nothing")], "project_id string, commit_id string")
+    got = {r.commit_id: (r.upload_id, r.tag_name) for r in U.upload_summary(uploads, asked).collect()}
+    assert got == {"c1": ("u1", "a"), "nothing": (None, None)}
 
 
 EVENTS = (
