@@ -82,7 +82,7 @@ def webhook_config_change(payloads: DataFrame, projects: DataFrame, config_path:
         F.lit("github").alias("provider"),
         F.col("repository.owner.login").alias("owner"),
         F.col("repository.name").alias("repository"),
-        F.substring("ref", len(BRANCH_PREFIX) + 1, 1 << 20).alias("ref"),
+        F.substr("ref", F.lit(len(BRANCH_PREFIX) + 1)).alias("ref"),
         F.col("after").alias("commit_id"),
         F.array_max(F.transform("commits", lambda c: c["timestamp"])).alias("event_time"),
     )
