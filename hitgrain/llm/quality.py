@@ -3,8 +3,11 @@
 The model has order ``ORDER``. Counts of the longest n-grams are gathered from all trusted documents; shorter orders
 count the distinct characters to their left. Each order has its three discounts, and its probabilities are joined from
 counts, contexts and the order below, all sharded by n-gram. A document's score is its mean number of bits per
-character. Documents above ``median + SPREAD * (upper quantile - median)`` of their language are rejected; both quantiles
-come from trusted documents that were held out of the training.
+character. Texts fall into two halves by their hash, and each half is scored by the model of the other half's trusted
+texts, so no document is scored by a model that has seen it. Documents above
+``median + SPREAD * (upper quantile - median)`` of their language are rejected; both quantiles come from all trusted
+documents of the language. A language with fewer than ``LEAST_TRUSTED`` of them takes its quantiles from all its
+documents.
 
 Scale: counts are combined per Arrow batch and again before their shuffle. The model is as large as the number of
 different n-grams, which saturates. Up to ``SMALL_MODEL`` entries (checked, 16 bytes each) it is handed to the
@@ -12,9 +15,9 @@ scoring tasks, and texts are not shuffled for scoring. A larger model stays shar
 joined to it order by order. Both ways give the same scores.
 
 Defined results: a null or empty text has null bits and is kept, since nothing speaks against it. A null
-language is a language of its own. A language without trusted held-out text takes the threshold of all languages
-together; without any trusted text everything is kept. Trusted documents are those whose labels all have quality 1.
-Rows that repeat are scored each, and each trains.
+language is a language of its own. Fewer than ``LEAST_TRUSTED`` documents of a language have no threshold and are kept.
+A half without a model has null bits and is kept; without any trusted text everything is kept. Trusted documents are
+those whose labels all have quality 1. Rows that repeat are scored each, and each trains; equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from hitgrain.session import stage_table
 ORDER = 5
 BITS = 12
 SMALL_MODEL = 4_000_000
-# One trusted document in four sets thresholds instead of training.
-HELD_OUT = 4
+# So many documents of a language set its threshold at least.
+LEAST_TRUSTED = 10
 UPPER = 0.95
 SPREAD = 5.0
 # Thresholds are read from histograms of this many bins per bit.
@@ -70,61 +73,76 @@ def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     return grams[ends[order - 1 :]], lengths
 
 
+def half(text: Column) -> Column:
+    """The half, 0 or 1, that a text belongs to."""
+    return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(2)).cast("int")
+
+
 def _counted(order: int):
     def count(batches):
         for batch in batches:
-            grams, _ = ngrams(batch["text"].to_pylist(), order)
-            unique, counts = np.unique(grams, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unique.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"]
-            )
+            own = np.asarray(batch["half"])
+            for side in (0, 1):
+                grams, _ = ngrams(batch["text"].filter(pa.array(own == side)).to_pylist(), order)
+                unique, counts = np.unique(grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(unique), side, np.int32)), pa.array(unique.astype(np.int64)), pa.array(counts.astype(np.int64))],
+                    names=["half", "gram", "n"],
+                )
 
     return count
 
 
 def train_model(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows (``kind``, ``gram``, ``value``) from a table with ``text``.
+    """Rows (``half``, ``kind``, ``gram``, ``value``) from a table with ``text``, and ``half`` if there are two models.
 
     Kind k > 0 holds the probability of the last character of an n-gram of length k, kind -k the weight that a
     context leaves to the order below, kind 0 the probability of a character never seen.
     """
-    grams = texts.select(text_or_empty(F.col("text")).alias("text")).mapInArrow(_counted(order), "gram long, n long")
-    counts = {order: stage_table(grams.groupBy("gram").agg(F.sum("n").alias("n")), "lm-counts")}
+    side = F.col("half") if "half" in texts.columns else F.lit(0)
+    grams = texts.select(side.alias("half"), text_or_empty(F.col("text")).alias("text"))
+    grams = grams.mapInArrow(_counted(order), "half int, gram long, n long")
+    counts = {order: stage_table(grams.groupBy("half", "gram").agg(F.sum("n").alias("n")), "lm-counts")}
     for k in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        counts[k] = stage_table(counts[k + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lm-counts")
+        counts[k] = stage_table(counts[k + 1].groupBy("half", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lm-counts")
     model, below = [], None
     for k in range(1, order + 1):
         cut = _discount(counts[k])
         context = F.shiftright("gram", BITS)
-        contexts = counts[k].groupBy(context.alias("_context")).agg(F.sum("n").alias("_all"), F.sum(cut).alias("_cut"))
-        joined = counts[k].withColumn("_context", context).join(contexts, "_context")
+        contexts = counts[k].groupBy("half", context.alias("_context")).agg(F.sum("n").alias("_all"), F.sum(cut).alias("_cut"))
+        joined = counts[k].withColumn("_context", context).join(contexts, ["half", "_context"])
         own, left = (F.col("n") - cut) / F.col("_all"), F.col("_cut") / F.col("_all")
         if k == 1:
             # All characters share what is left, and so does one that was never seen.
-            share = left / (F.count(F.lit(1)).over(Window.partitionBy("_context")) + 1)
-            rows = joined.select("gram", (own + share).alias("value"), share.alias("_unseen"))
+            share = left / (F.count(F.lit(1)).over(Window.partitionBy("half", "_context")) + 1)
+            rows = joined.select("half", "gram", (own + share).alias("value"), share.alias("_unseen"))
             rows = stage_table(rows, "lm-order")
-            model.append(rows.groupBy().agg(F.max("_unseen").alias("value")).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gram"), "value").filter("value is not null"))
+            unseen = rows.groupBy("half").agg(F.max("_unseen").alias("value"))
+            model.append(unseen.select("half", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gram"), "value"))
             below = rows.drop("_unseen")
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-            lower = below.select(F.col("gram").alias("_suffix"), F.col("value").alias("_lower"))
-            rows = joined.withColumn("_suffix", suffix).join(lower, "_suffix")
-            below = stage_table(rows.select("gram", (own + left * F.col("_lower")).alias("value")), "lm-order")
-            weights = contexts.select(F.col("_context").alias("gram"), (F.col("_cut") / F.col("_all")).alias("value"))
-            model.append(weights.select(F.lit(-k).alias("kind"), "gram", "value"))
-        model.append(below.select(F.lit(k).alias("kind"), "gram", "value"))
+            lower = below.select("half", F.col("gram").alias("_suffix"), F.col("value").alias("_lower"))
+            rows = joined.withColumn("_suffix", suffix).join(lower, ["half", "_suffix"])
+            below = stage_table(rows.select("half", "gram", (own + left * F.col("_lower")).alias("value")), "lm-order")
+            weights = contexts.select("half", F.col("_context").alias("gram"), (F.col("_cut") / F.col("_all")).alias("value"))
+            model.append(weights.select("half", F.lit(-k).alias("kind"), "gram", "value"))
+        model.append(below.select("half", F.lit(k).alias("kind"), "gram", "value"))
     return stage_table(functools.reduce(DataFrame.unionByName, model), "lm-model")
 
 
 def _discount(counts: DataFrame) -> Column:
-    """Modified Kneser-Ney discount of ``n``: three values from the counts of counts."""
-    tally = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n = [tally[f"n{i}"] for i in (1, 2, 3, 4)]
-    base = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    cuts = [min(i, max(0.0, i - (i + 1) * base * (n[i] / n[i - 1]))) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
-    return F.when(F.col("n") == 1, cuts[0]).when(F.col("n") == 2, cuts[1]).otherwise(cuts[2])
+    """Modified Kneser-Ney discount of ``n``: three values of each half from its counts of counts."""
+    tallies = counts.groupBy("half").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
+    cut = F.lit(None).cast("double")
+    for tally in tallies:
+        n = [tally[f"n{i}"] for i in (1, 2, 3, 4)]
+        base = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        cuts = [min(i, max(0.0, i - (i + 1) * base * (n[i] / n[i - 1]))) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        own = F.when(F.col("n") == 1, cuts[0]).when(F.col("n") == 2, cuts[1]).otherwise(cuts[2])
+        cut = F.when(F.col("half") == tally["half"], own).otherwise(cut)
+    return cut
 
 
 class Model:
@@ -159,39 +177,49 @@ class Model:
 
 def _scored(shared, order: int):
     def score(batches):
-        model = shared.value
+        models = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                grams, lengths = ngrams(some["_text"].to_pylist(), order)
-                unique, place = np.unique(grams, return_inverse=True)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                sums = np.bincount(owner, weights=model.bits(unique)[place], minlength=len(lengths))
-                bits = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
-                yield pa.RecordBatch.from_arrays([some[name] for name in some.schema.names if name != "_text"] + [bits],
-                                                 names=[name for name in some.schema.names if name != "_text"] + ["bits"])
+                halves, bits = np.asarray(some["_half"]), np.full(some.num_rows, np.nan)
+                for side, model in models.items():
+                    own = halves != side
+                    grams, lengths = ngrams(some["_text"].filter(pa.array(own)).to_pylist(), order)
+                    unique, place = np.unique(grams, return_inverse=True)
+                    owner = np.repeat(np.arange(len(lengths)), lengths)
+                    sums = np.bincount(owner, weights=model.bits(unique)[place], minlength=len(lengths))
+                    bits[own] = np.where(lengths > 0, sums / np.maximum(lengths, 1), np.nan)
+                names = [name for name in some.schema.names if name not in ("_text", "_half")]
+                scores = pa.array(bits, mask=np.isnan(bits))
+                yield pa.RecordBatch.from_arrays([some[name] for name in names] + [scores], names=[*names, "bits"])
 
     return score
 
 
 def small_model(model: DataFrame, small: int = SMALL_MODEL):
-    """The model for the scoring tasks, or None if it has more than ``small`` entries.
+    """The models of both halves for the scoring tasks, or None if they have more than ``small`` entries.
 
     Arrow batches keep what passes the driver at 20 bytes an entry.
     """
     if model.count() > small:
         return None
-    table = model.select("kind", "gram", "value").toArrow()
-    arrays = [table[name].to_numpy() for name in ("kind", "gram", "value")]
-    return model.sparkSession.sparkContext.broadcast(Model(*arrays))
+    models = {}
+    for side in (0, 1):
+        table = model.filter(F.col("half") == side).select("kind", "gram", "value").toArrow()
+        if table.num_rows:
+            models[side] = Model(*[table[name].to_numpy() for name in ("kind", "gram", "value")])
+    return model.sparkSession.sparkContext.broadcast(models)
 
 
 def score_documents(rows: DataFrame, model: DataFrame, shared, order: int = ORDER) -> DataFrame:
-    """The columns of ``rows`` but ``_text``, with its ``bits`` per character; null for an empty text."""
+    """The columns of ``rows`` but ``_text``, with its ``bits`` per character by the model of the half that it is not in.
+
+    Null for an empty text, and where that half has no model.
+    """
     if shared is None:
         return _score_sharded(rows, model, order)
     schema = rows.drop("_text").withColumn("bits", F.lit(None).cast("double")).schema
-    return rows.mapInArrow(_scored(shared, order), schema)
+    return rows.withColumn("_half", half(F.col("_text"))).mapInArrow(_scored(shared, order), schema)
 
 
 def _score_sharded(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -204,31 +232,37 @@ def _score_sharded(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
                 grams, _ = ngrams(batch["_text"].slice(at, 1).to_pylist(), order)
                 unique, counts = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch["_key"][at].as_py()] * len(unique), pa.string()), pa.array(unique.astype(np.int64)), pa.array(counts)],
-                    names=["_key", "gram", "n"],
+                    [
+                        pa.array([batch["_key"][at].as_py()] * len(unique), pa.string()),
+                        pa.array([batch["half"][at].as_py()] * len(unique), pa.int32()),
+                        pa.array(unique.astype(np.int64)),
+                        pa.array(counts),
+                    ],
+                    names=["_key", "half", "gram", "n"],
                 )
 
-    texts = rows.select(key.alias("_key"), "_text").dropDuplicates(["_key"])
-    open_grams = texts.mapInArrow(counted, "_key string, gram long, n long").withColumn("_left", F.lit(1.0))
+    unseen = model.filter("kind = 0").select("half", F.col("value").alias("_unseen"))
+    texts = rows.select(key.alias("_key"), (1 - half(F.col("_text"))).alias("half"), "_text").dropDuplicates(["_key"])
+    texts = texts.join(F.broadcast(unseen), "half", "left_semi").select("_key", "half", "_text")
+    open_grams = texts.mapInArrow(counted, "_key string, half int, gram long, n long").withColumn("_left", F.lit(1.0))
     found = []
     for k in range(order, 0, -1):
-        own = model.filter(F.col("kind") == k).select("gram", F.col("value").alias("_p"))
-        looked = open_grams.join(own, "gram", "left")
+        own = model.filter(F.col("kind") == k).select("half", "gram", F.col("value").alias("_p"))
+        looked = open_grams.join(own, ["half", "gram"], "left")
         found.append(looked.filter("_p is not null").select("_key", "n", F.log2(F.col("_left") * F.col("_p")).alias("_bits")))
         missed = looked.filter("_p is null").drop("_p")
         if k > 1:
-            weights = model.filter(F.col("kind") == -k).select(F.col("gram").alias("_context"), F.col("value").alias("_w"))
+            weights = model.filter(F.col("kind") == -k).select("half", F.col("gram").alias("_context"), F.col("value").alias("_w"))
             open_grams = (
                 missed.withColumn("_context", F.shiftright("gram", BITS))
-                .join(weights, "_context", "left")
+                .join(weights, ["half", "_context"], "left")
                 .withColumn("_left", F.col("_left") * F.coalesce("_w", F.lit(1.0)))
                 .withColumn("gram", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)))
                 .drop("_context", "_w")
             )
         else:
-            unseen = model.filter("kind = 0").first()
-            chance = F.lit(unseen["value"] if unseen else 1.0)
-            found.append(missed.select("_key", "n", F.log2(F.col("_left") * chance).alias("_bits")))
+            missed = missed.join(F.broadcast(unseen), "half")
+            found.append(missed.select("_key", "n", F.log2(F.col("_left") * F.col("_unseen")).alias("_bits")))
     scores = functools.reduce(DataFrame.unionByName, found).groupBy("_key").agg(
         (-F.sum(F.col("n") * F.col("_bits")) / F.sum("n")).alias("bits")
     )
@@ -240,27 +274,26 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return labels.groupBy(doc_id).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_worst")).filter("_worst = 1").select(doc_id)
 
 
-def _held(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("held out")), F.lit(HELD_OUT)) == 0
+def binned(scores: DataFrame) -> DataFrame:
+    """``lang``, ``bin`` and ``count`` from (``lang``, ``bits``)."""
+    return scores.filter("bits is not null").groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).count()
 
 
-def thresholds(scores: DataFrame, upper: float = UPPER, spread: float = SPREAD) -> DataFrame:
-    """``lang`` and ``threshold`` from (``lang``, ``bits``); the row with ``_all`` true is for all languages together."""
-    bins = scores.filter("bits is not null").groupBy("lang", F.floor(F.col("bits") * BINS).alias("_bin")).count()
-    bins = bins.withColumn("_all", F.lit(False)).unionByName(
-        bins.groupBy("_bin").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string")).withColumn("_all", F.lit(True))
-    )
-    group = Window.partitionBy("_all", "lang")
-    so_far = F.sum("count").over(group.orderBy("_bin")) / F.sum("count").over(group)
-    value = (F.col("_bin") + 1) / BINS
+def thresholds(bins: DataFrame, upper: float = UPPER, spread: float = SPREAD, least: int = LEAST_TRUSTED) -> DataFrame:
+    """``lang`` and ``threshold`` of each language with ``least`` scores."""
+    group = Window.partitionBy("lang")
+    so_far = F.sum("count").over(group.orderBy("bin")) / F.sum("count").over(group)
+    value = (F.col("bin") + 1) / BINS
     return (
         bins.withColumn("_so_far", so_far)
-        .groupBy("_all", "lang")
+        .groupBy("lang")
         .agg(
+            F.sum("count").alias("_n"),
             F.min(F.when(F.col("_so_far") >= 0.5, value)).alias("_median"),
             F.min(F.when(F.col("_so_far") >= upper, value)).alias("_upper"),
         )
-        .select("_all", "lang", (F.col("_median") + spread * (F.col("_upper") - F.col("_median"))).alias("threshold"))
+        .filter(F.col("_n") >= least)
+        .select("lang", (F.col("_median") + spread * (F.col("_upper") - F.col("_median"))).alias("threshold"))
     )
 
 
@@ -269,23 +302,25 @@ def judge_quality(
 ) -> DataFrame:
     """``row`` (the input row), ``bits``, ``perplexity``, ``threshold`` and ``kept`` of every document."""
     body = text_or_empty(F.col(ROW)[text])
+    own_lang = F.col(ROW)[lang].cast("string")
     rows = wrapped(docs)
     trusted = trusted_ids(labels.select("doc_id", "quality")).withColumnRenamed("doc_id", "_id")
-    vouched = rows.select(F.col(ROW)[doc_id].alias("_id"), F.col(ROW)[lang].cast("string").alias("lang"), body.alias("text"))
-    vouched = vouched.join(trusted, "_id", "left_semi")
-    model = train_model(vouched.filter(~_held(F.col("_id"))))
+    vouched = rows.select(F.col(ROW)[doc_id].alias("_id"), own_lang.alias("lang"), body.alias("text"))
+    vouched = stage_table(vouched.join(trusted, "_id", "left_semi").select("lang", "text"), "lm-trusted")
+    model = train_model(vouched.withColumn("half", half(F.col("text"))))
     shared = small_model(model, small)
     scored = score_documents(rows.withColumn("_text", body), model, shared)
-    # Thresholds need few columns, so only those are scored for them.
-    held = rows.select(F.col(ROW)[doc_id].alias("_id"), F.col(ROW)[lang].cast("string").alias("lang"), body.alias("_text"))
-    held = score_documents(held.filter(_held(F.col("_id"))), model, shared).join(trusted, "_id", "left_semi")
-    limits = stage_table(thresholds(held), "lm-thresholds")
-    fallback = limits.filter("_all").first()
-    limits = limits.filter("not _all").select(F.col("lang").alias("_lang"), "threshold")
-    limit = F.coalesce("threshold", F.lit(fallback["threshold"] if fallback else None).cast("double"))
+    sure = stage_table(thresholds(binned(score_documents(vouched.withColumnRenamed("text", "_text"), model, shared))), "lm-thresholds")
+    # Languages with too little trusted text go by all their documents.
+    limits = sure.select(F.col("lang").alias("_lang"), "threshold")
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    if not rows.select(own_lang.alias("lang")).distinct().join(limits, same, "left_anti").isEmpty():
+        rare = rows.select(own_lang.alias("lang"), body.alias("_text")).join(limits, same, "left_anti")
+        rest = thresholds(binned(score_documents(rare, model, shared)))
+        limits = stage_table(sure.unionByName(rest), "lm-thresholds").select(F.col("lang").alias("_lang"), "threshold")
     return (
-        scored.join(limits, F.col(ROW)[lang].cast("string").eqNullSafe(F.col("_lang")), "left")
-        .select(ROW, "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), limit.alias("threshold"))
+        scored.join(limits, own_lang.eqNullSafe(F.col("_lang")), "left")
+        .select(ROW, "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold")
         .withColumn("kept", F.coalesce(F.col("bits") <= F.col("threshold"), F.lit(True)))
     )
 

@@ -182,3 +182,15 @@ def test_quality_held_out(spark):
     rest = judged.join(labels.filter("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
     share = {r["quality"]: r["kept"] for r in rest.collect()}
     assert share[1] >= 0.95 and share[0] <= 0.3
+
+
+@pytest.mark.parametrize("shown", [0, 8])
+def test_quality_of_rare_languages(spark, shown):
+    """A language with few labels or none keeps nearly all its clean documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    spanish = docs.filter("lang = 'es'").select("doc_id")
+    few = labels.join(spanish, "doc_id", "left_semi").filter("quality = 1").orderBy("doc_id").limit(shown)
+    used = labels.join(spanish, "doc_id", "left_anti").unionByName(few)
+    judged = quality.judge_quality(docs, used).select(F.col("row")["doc_id"].alias("doc_id"), "kept")
+    clean = judged.join(spanish, "doc_id").join(labels.filter("quality = 1"), "doc_id")
+    assert clean.agg(F.avg(F.col("kept").cast("int"))).first()[0] >= 0.95
