@@ -4,10 +4,10 @@ The model has order ``ORDER``. Counts of the longest n-grams are gathered from a
 count the distinct characters to their left. Each order has its three discounts, and its probabilities are joined from
 counts, contexts and the order below, all sharded by n-gram. A document's score is its mean number of bits per
 character. Texts fall into two halves by their hash, and each half is scored by the model of the other half's trusted
-texts, so no document is scored by a model that has seen it. Documents above
-``median + SPREAD * (upper quantile - median)`` of their language are rejected; both quantiles come from all trusted
-documents of the language. A language with fewer than ``LEAST_TRUSTED`` of them takes its quantiles from all its
-documents.
+texts, so no document is scored by a model that has seen it. Documents above the quantile ``UPPER`` of the trusted
+documents of their language are rejected. Below 1 / (1 - UPPER) documents that quantile lies beyond the largest, which
+is then moved away from the median as far as the tail of a normal distribution says. A language with fewer than
+``LEAST_TRUSTED`` trusted documents takes its quantile from all its documents.
 
 Scale: counts are combined per Arrow batch and again before their shuffle. The model is as large as the number of
 different n-grams, which saturates. Up to ``SMALL_MODEL`` entries (checked, 16 bytes each) it is handed to the
@@ -23,6 +23,7 @@ those whose labels all have quality 1. Rows that repeat are scored each, and eac
 from __future__ import annotations
 
 import functools
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,7 @@ BITS = 12
 SMALL_MODEL = 4_000_000
 # So many documents of a language set its threshold at least.
 LEAST_TRUSTED = 10
-UPPER = 0.95
-SPREAD = 5.0
+UPPER = 0.99
 # Thresholds are read from histograms of this many bins per bit.
 BINS = 1000
 BEGIN = 2
@@ -279,7 +279,14 @@ def binned(scores: DataFrame) -> DataFrame:
     return scores.filter("bits is not null").groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).count()
 
 
-def thresholds(bins: DataFrame, upper: float = UPPER, spread: float = SPREAD, least: int = LEAST_TRUSTED) -> DataFrame:
+def _stretch(count: Column, upper: float, least: int) -> Column:
+    """How many times further from the median than the largest of ``count`` scores the quantile is; 1 if they reach it."""
+    place = NormalDist().inv_cdf
+    few = [place(upper) / place(n / (n + 1)) for n in range(least, round(1 / (1 - upper)))]
+    return F.coalesce(F.get(F.array(*map(F.lit, few)), (count - least).cast("int")), F.lit(1.0))
+
+
+def thresholds(bins: DataFrame, upper: float = UPPER, least: int = LEAST_TRUSTED) -> DataFrame:
     """``lang`` and ``threshold`` of each language with ``least`` scores."""
     group = Window.partitionBy("lang")
     so_far = F.sum("count").over(group.orderBy("bin")) / F.sum("count").over(group)
@@ -293,7 +300,8 @@ def thresholds(bins: DataFrame, upper: float = UPPER, spread: float = SPREAD, le
             F.min(F.when(F.col("_so_far") >= upper, value)).alias("_upper"),
         )
         .filter(F.col("_n") >= least)
-        .select("lang", (F.col("_median") + spread * (F.col("_upper") - F.col("_median"))).alias("threshold"))
+        .withColumn("_stretch", _stretch(F.col("_n"), upper, least))
+        .select("lang", (F.col("_median") + F.col("_stretch") * (F.col("_upper") - F.col("_median"))).alias("threshold"))
     )
 
 

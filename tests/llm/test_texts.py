@@ -194,3 +194,13 @@ def test_quality_of_rare_languages(spark, shown):
     judged = quality.judge_quality(docs, used).select(F.col("row")["doc_id"].alias("doc_id"), "kept")
     clean = judged.join(spanish, "doc_id").join(labels.filter("quality = 1"), "doc_id")
     assert clean.agg(F.avg(F.col("kept").cast("int"))).first()[0] >= 0.95
+
+
+def test_quality_threshold_is_the_quantile(spark):
+    """One far score does not move it; of few scores the largest is moved outwards."""
+    scores = [("many", 2.0 + i / 1000) for i in range(199)] + [("many", 9.0)] + [("few", 2.0 + i / 10) for i in range(11)]
+    scores += [("none", 1.0)] * 9
+    limits = quality.thresholds(quality.binned(spark.createDataFrame(scores, "lang string, bits double")))
+    found = {r["lang"]: r["threshold"] for r in limits.collect()}
+    assert found.keys() == {"many", "few"}
+    assert found["many"] == pytest.approx(2.198, abs=0.002) and 3.1 < found["few"] < 3.5
