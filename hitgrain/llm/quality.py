@@ -3,7 +3,7 @@
 The model has order ``ORDER``. Counts of the longest n-grams are gathered from all trusted documents; shorter orders
 count the distinct characters to their left. Each order has its three discounts, and its probabilities are joined from
 counts, contexts and the order below, all sharded by n-gram. A document's score is its mean number of bits per
-character. Texts fall into two halves by their hash, and each half is scored by the model of the other half's trusted
+character. Characters from U+0C00 on count as two symbols of an n-gram each, so that all characters differ. Texts fall into two halves by their hash, and each half is scored by the model of the other half's trusted
 texts, so no document is scored by a model that has seen it. Documents above the quantile ``UPPER`` of the trusted
 documents of their language are rejected. Below 1 / (1 - UPPER) documents that quantile lies beyond the largest, which
 is then moved away from the median as far as the tail of a normal distribution says. A language with fewer than
@@ -42,14 +42,28 @@ UPPER = 0.99
 # Thresholds are read from histograms of this many bins per bit.
 BINS = 1000
 BEGIN = 2
+# Characters from here on are two codes of BITS bits: 3072 and more, and LOW_BITS lower bits.
+WIDE = 3072
+LOW_BITS = 11
 
 
 def _codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes of all texts, each after ``order - 1`` begin marks, and the number of characters of each."""
+    """Codes of all texts, each after ``order - 1`` begin marks, and the number of codes of each.
+
+    A character from ``WIDE`` on has two codes: one of its upper bits, which no other character has, and one of its lower.
+    """
     lengths = np.array([len(text) for text in texts], dtype=np.int64)
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    wide = chars >= 3072
-    chars[wide] = 3072 + chars[wide] % 1024
+    wide = chars >= WIDE
+    if wide.any():
+        before = np.concatenate([[0], wide.cumsum()])
+        ends = lengths.cumsum()
+        lengths = lengths + before[ends] - before[ends - lengths]
+        parts = np.repeat(chars, 1 + wide)
+        at = np.flatnonzero(wide) + np.arange(wide.sum())
+        parts[at] = WIDE + (chars[wide] >> np.uint64(LOW_BITS))
+        parts[at + 1] = chars[wide] & np.uint64((1 << LOW_BITS) - 1)
+        chars = parts
     pad = order - 1
     out = np.full(len(chars) + pad * len(texts), BEGIN, dtype=np.uint64)
     out[np.arange(len(chars)) + np.repeat(np.arange(1, len(texts) + 1) * pad, lengths)] = chars
@@ -57,7 +71,7 @@ def _codes(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, in order, and the number of characters of each text."""
+    """The n-gram that ends at each code, in order, and the number of codes of each text; most characters are one."""
     codes, lengths = _codes(texts, order)
     total = len(codes) - order + 1
     if total <= 0:
@@ -184,11 +198,13 @@ def _scored(shared, order: int):
                 halves, bits = np.asarray(some["_half"]), np.full(some.num_rows, np.nan)
                 for side, model in models.items():
                     own = halves != side
-                    grams, lengths = ngrams(some["_text"].filter(pa.array(own)).to_pylist(), order)
+                    texts = some["_text"].filter(pa.array(own)).to_pylist()
+                    grams, lengths = ngrams(texts, order)
+                    chars = np.array([len(text) for text in texts], np.int64)
                     unique, place = np.unique(grams, return_inverse=True)
                     owner = np.repeat(np.arange(len(lengths)), lengths)
                     sums = np.bincount(owner, weights=model.bits(unique)[place], minlength=len(lengths))
-                    bits[own] = np.where(lengths > 0, sums / np.maximum(lengths, 1), np.nan)
+                    bits[own] = np.where(chars > 0, sums / np.maximum(chars, 1), np.nan)
                 names = [name for name in some.schema.names if name not in ("_text", "_half")]
                 scores = pa.array(bits, mask=np.isnan(bits))
                 yield pa.RecordBatch.from_arrays([some[name] for name in names] + [scores], names=[*names, "bits"])
@@ -264,9 +280,10 @@ def _score_sharded(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
             missed = missed.join(F.broadcast(unseen), "half")
             found.append(missed.select("_key", "n", F.log2(F.col("_left") * F.col("_unseen")).alias("_bits")))
     scores = functools.reduce(DataFrame.unionByName, found).groupBy("_key").agg(
-        (-F.sum(F.col("n") * F.col("_bits")) / F.sum("n")).alias("bits")
+        (-F.sum(F.col("n") * F.col("_bits"))).alias("bits")
     )
-    return rows.withColumn("_key", key).join(scores, "_key", "left").drop("_key", "_text")
+    joined = rows.withColumn("_key", key).join(scores, "_key", "left")
+    return joined.withColumn("bits", F.col("bits") / F.length("_text")).drop("_key", "_text")
 
 
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:

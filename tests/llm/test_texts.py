@@ -204,3 +204,13 @@ def test_quality_threshold_is_the_quantile(spark):
     found = {r["lang"]: r["threshold"] for r in limits.collect()}
     assert found.keys() == {"many", "few"}
     assert found["many"] == pytest.approx(2.198, abs=0.002) and 3.1 < found["few"] < 3.5
+
+
+def test_quality_tells_wide_characters_apart():
+    """Han and Hangul characters that are a multiple of 1024 apart have n-grams of their own; others keep one code."""
+    texts = ["a" + chr(0x4E00 + 1024 * k) + "b" + chr(0xAC00 + 1024 * k) for k in range(5)] + ["ab\u0bff", "", chr(0x10FFFF)]
+    grams, lengths = quality.ngrams(texts)
+    assert lengths.tolist() == [6] * 5 + [3, 0, 2] and len(grams) == lengths.sum()
+    assert len({tuple(grams[6 * k : 6 * k + 6]) for k in range(5)}) == 5
+    one = [quality.ngrams([text])[0].tolist() for text in texts]
+    assert grams.tolist() == sum(one, [])
