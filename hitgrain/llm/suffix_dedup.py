@@ -14,6 +14,8 @@ windows have equal anchors at equal places, so nothing is lost by it. The steps:
    anchor hashes, and a loser tree merges the runs of a range. It knows how much neighbours share, so for each window
    the runs of suffixes that share its right part follow without comparing again; its left part is at most
    ``LENGTH - GRAM`` bytes and is compared by hash.
+   An anchor with more than ``HOT_KINDS`` kinds of surroundings would fill a range by itself. Its windows are hashed
+   one by one instead, and the earliest of equal ones is a minimum per window, taken in blocks first.
 5. Intervals of repeated windows are brought back to their block, joined, and removed.
 
 Scale: the shuffles move texts once and then hashes, about one in 25 bytes has one, and surroundings of the few anchors
@@ -43,6 +45,8 @@ BLOCK_BYTES = 16 << 20
 # Anchor hashes and suffixes of one range, about.
 RANGE_HASHES = 400_000
 RANGE_SUFFIXES = 50_000
+# An anchor with more kinds of surroundings than this is settled window by window, not in one range.
+HOT_KINDS = 1000
 HOT_SHARE = 1e-4
 HOT_ROWS = 1000
 # Buffers are scanned in pieces of so many windows; places within them fit into 24 bits.
@@ -230,6 +234,60 @@ def _sent_runs(shards: int, length: int):
     return send
 
 
+WINDOWS = "block int, window long, doc long, tie long, ref long, begin int, end int, settled boolean"
+
+
+def _sent_windows(length: int):
+    """Windows of hot anchors: the first of equal ones of a block, and intervals of all others of the block, settled."""
+    names = [part.split()[0] for part in WINDOWS.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+    def send(key, docs, wanted):
+        wanted = wanted.sort_by([(name, "ascending") for name in ("doc", "tie", "ref", "place")])
+        refs, first, last = (np.asarray(wanted[name]).astype(np.int64) for name in ("ref", "first", "last"))
+        docs_, ties = (np.asarray(wanted[name]).astype(np.int64) for name in ("doc", "tie"))
+        texts = dict(zip(docs["ref"].to_pylist(), docs["text"], strict=True)) if len(refs) else {}
+        hashes, owners, begins = [], [], []
+        starts = np.flatnonzero(np.concatenate([[True], refs[1:] != refs[:-1]])) if len(refs) else []
+        for a, b in zip(starts, [*starts[1:], len(refs)], strict=True) if len(refs) else ():
+            counts = last[a:b] - first[a:b] + 1
+            begin = np.repeat(first[a:b] - counts.cumsum() + counts, counts) + np.arange(counts.sum())
+            sums = prefix_sums(np.frombuffer(texts[int(refs[a])].as_buffer().to_pybytes(), np.uint8))
+            hashes.append(span_hashes(sums, begin, begin + length).view(np.int64))
+            owners.append(np.full(len(begin), a))
+            begins.append(begin)
+        if not hashes:
+            return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds, strict=True)})
+        window, owner, begin = map(np.concatenate, (hashes, owners, begins))
+        # Windows stand in the order of documents and places, so the first of equal ones is the earliest here.
+        _, earliest = np.unique(window, return_index=True)
+        late = np.ones(len(window), bool)
+        late[earliest] = False
+        # Late windows that follow each other are one interval.
+        at = np.flatnonzero(late)
+        new = np.concatenate([[True], (owner[at[1:]] != owner[at[:-1]]) | (begin[at[1:]] != begin[at[:-1]] + 1)])[: len(at)]
+        heads, tails = at[new], at[np.concatenate([new[1:], [True]])[: len(at)]]
+        rows = np.concatenate([earliest, heads])
+        ends = np.concatenate([begin[earliest], begin[tails]]) + length
+        settled = np.arange(len(rows)) >= len(earliest)
+        own = owner[rows]
+        values = (np.full(len(rows), key[0].as_py()), window[rows], docs_[own], ties[own], refs[own], begin[rows], ends, settled)
+        return pa.table({name: pa.array(value, kind) for name, value, kind in zip(names, values, kinds, strict=True)})
+
+    return send
+
+
+def _hot_intervals(blocks: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """Intervals of the windows of hot anchors that occur earlier."""
+    windows = blocks.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_sent_windows(length), WINDOWS)
+    windows = stage_table(windows, "hot-windows")
+    order = F.struct("doc", "tie", "ref", "begin")
+    # One row per block and window at most, and minima combine before the shuffle.
+    firsts = windows.filter("not settled").groupBy("window").agg(F.min(order).alias("_earliest"))
+    late = windows.filter("not settled").join(firsts, "window").filter(order != F.col("_earliest"))
+    return windows.filter("settled").select("block", "ref", "begin", "end").unionByName(late.select("block", "ref", "begin", "end"))
+
+
 INTERVALS = "block int, ref long, begin int, end int"
 
 
@@ -315,6 +373,7 @@ def remove_repeats(
     block_bytes: int = BLOCK_BYTES,
     range_hashes: int = RANGE_HASHES,
     range_suffixes: int = RANGE_SUFFIXES,
+    hot_kinds: int = HOT_KINDS,
 ) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that remain) of every document.
 
@@ -341,13 +400,16 @@ def remove_repeats(
         .select(*candidates.columns)
     )
     later = stage_table(later, "later")
-    several = kinds.groupBy("hash").count().filter("count > 1").select("hash")
-    edges = stage_table(later.filter("not settled").join(several, "hash", "left_semi"), "edges")
+    several = kinds.groupBy("hash").count().filter("count > 1").select("hash", (F.col("count") > hot_kinds).alias("hot"))
+    edges = stage_table(later.filter("not settled").join(several, "hash"), "edges")
+    hot, edges = edges.filter("hot").drop("hot"), edges.filter("not hot").drop("hot")
     ranges = max(1, edges.count() // range_suffixes)
     runs = blocks.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_sent_runs(ranges, length), RUNS)
     windows = runs.groupBy("shard").applyInArrow(_merge_range(length, GRAM), "ref long, begin int")
     homes = edges.select("ref", "block").distinct()
     found = windows.join(homes, "ref").select("block", "ref", "begin", (F.col("begin") + length).alias("end"))
+    if not hot.isEmpty():
+        found = found.unionByName(_hot_intervals(blocks, hot, length))
     whole = candidates.filter("settled").unionByName(later.filter("settled"))
     whole = whole.select("block", "ref", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     intervals = stage_table(found.unionByName(whole), "intervals")

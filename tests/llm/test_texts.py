@@ -214,3 +214,34 @@ def test_quality_tells_wide_characters_apart():
     assert len({tuple(grams[6 * k : 6 * k + 6]) for k in range(5)}) == 5
     one = [quality.ngrams([text])[0].tolist() for text in texts]
     assert grams.tolist() == sum(one, [])
+
+
+def test_repeats_of_a_frequent_passage(spark, monkeypatch):
+    """A passage in all documents, each time in other surroundings, does not come together in one range."""
+    rng = random.Random(6)
+    passages = ["".join(rng.choice("abcdef ") for _ in range(size)) for size in (53, 110, 150)]
+    tails = ["".join(rng.choice("xyz ") for _ in range(60)) for _ in range(4)]
+    docs = []
+    for i in range(120):
+        noise = ["".join(rng.choice("klmnop ") for _ in range(rng.randrange(40, 90))) for _ in range(4)]
+        docs.append((i, "".join([noise[0], passages[i % 3], rng.choice(tails), noise[1], passages[1], noise[2], passages[2], noise[3]])))
+    merge_range = suffix_dedup._merge_range
+
+    def limited(length, gram):
+        merge = merge_range(length, gram)
+
+        def checked(key, group):
+            import pickle
+            import zlib
+
+            count = sum(len(pickle.loads(zlib.decompress(raw))[1]) for raw in group["run"].to_pylist())
+            if count > 100:
+                raise ValueError(f"{count} suffixes in one range")
+            return merge(key, group)
+
+        return checked
+
+    monkeypatch.setattr(suffix_dedup, "_merge_range", limited)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(table, block_bytes=5000, range_suffixes=5, hot_kinds=20)
+    assert repeats_in(got) == sorted(brute.without_repeats(docs), key=repr)
