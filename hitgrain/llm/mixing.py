@@ -99,7 +99,7 @@ def sample_mix(
     split = (
         sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .join(targets.select(F.col("source").alias("_of"), "_rest"), F.col("source").eqNullSafe(F.col("_of")))
-        .filter("_before < _rest and _rest < _before + _sum")
+        .filter("_before < _rest and _rest <= _before + _sum")
         .select("_of", F.col("_slice").alias("_end_slice"), F.col("_before").alias("_end_before"))
     )
     plan = stage_table(

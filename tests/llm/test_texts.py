@@ -9,7 +9,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from hitgrain.llm import components, exact_dedup, near_dedup, quality, suffix_dedup, suffix_runs
+from hitgrain.llm import components, exact_dedup, mixing, near_dedup, quality, suffix_dedup, suffix_runs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -245,3 +245,11 @@ def test_repeats_of_a_frequent_passage(spark, monkeypatch):
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = suffix_dedup.remove_repeats(table, block_bytes=5000, range_suffixes=5, hot_kinds=20)
     assert repeats_in(got) == sorted(brute.without_repeats(docs), key=repr)
+
+
+def test_mix_whose_rest_ends_with_a_slice(spark):
+    """Twelve equal documents of which the target takes ten: two stay out, whatever slices they fall into."""
+    docs = [(i, "word " * 100, "a") for i in range(12)] + [(20, "word " * 200, "b")]
+    got = mixing.sample_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    taken = {s: sum(r["size"] * r["copies"] for r in got if r["row"]["source"] == s) for s in "ab"}
+    assert {r["row"]["source"]: r["target"] for r in got} == {"a": 1000.0, "b": 400.0} and taken == {"a": 1000, "b": 400}
