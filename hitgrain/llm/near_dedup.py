@@ -15,7 +15,9 @@ centres are skewed joins that Spark splits; nothing collects a bucket.
 
 Defined results: a null or empty text, or one without words, has no shingles, is its own component and is kept, unless
 its identifier is repeated. Null identifiers are larger than all others; a component of nulls has a null
-``component_id`` and keeps all its rows. Rows that repeat are copies with one identifier and are all kept.
+``component_id``. The column ``kept`` says whether a row has its component's identifier; it is true for several rows if
+they share it. ``distinct_documents`` keeps one row of each component: the smallest by identifier, hash of the text and
+hash of the row.
 """
 
 from __future__ import annotations
@@ -189,7 +191,15 @@ def _in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int) ->
     return held.groupBy("bucket", "_i", "_j").applyInArrow(compare, "a binary, b binary")
 
 
-def label_near_copies(
+LABELS = ("doc_id", "text_hash", "n_shingles", "component_id", "kept")
+
+
+def label_near_copies(docs: DataFrame, *args, **options) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
+    return _labelled(docs, *args, **options).select(*LABELS)
+
+
+def _labelled(
     docs: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
@@ -200,7 +210,7 @@ def label_near_copies(
     small: int = SMALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
+    """The columns of ``label_near_copies``, and the ``root`` of every document that has shingles."""
     body = text_or_empty(F.col(f"`{text}`"))
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     features = stage_table(texts.mapInArrow(_features(words, bands, rows), FEATURES), "near-features")
@@ -263,7 +273,7 @@ def label_near_copies(
     roots = connected_components(links.unionByName(more)) if not more.isEmpty() else roots
     labelled = nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    labelled = stage_table(labelled.join(lowest, "root").select("node", "component_id"), "near-labels")
+    labelled = stage_table(labelled.join(lowest, "root").select("node", "root", "component_id"), "near-labels")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return features.join(labelled, "node", "left").select(
         "doc_id",
@@ -271,13 +281,26 @@ def label_near_copies(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "root",
     )
 
 
 def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that are kept, with the columns of the input."""
-    kept = label_near_copies(docs, text, doc_id, **options).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = wrapped(docs)
+    """One document of each component, with the columns of the input; those without shingles stay."""
+    labelled = _labelled(docs, text, doc_id, **options)
+    rows = labelled.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("many"))
+    # Minima combine before their shuffle.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "many")).alias("first")
+    firsts = rows.filter("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.text_hash", "first.many")
+    bare = rows.filter("root is null").select("doc_id", "text_hash", F.lit(1).alias("many"))
+    kept = firsts.unionByName(bare).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "many")
+    kept = stage_table(kept, "near-kept")
     own = F.col(ROW)[doc_id].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(F.col(ROW)[text])) == F.col("_hash"))
-    return unwrapped(rows.join(kept, own, "left_semi"))
+    single = wrapped(docs).join(kept.filter("many = 1"), own, "left_semi")
+    repeated = kept.filter("many > 1")
+    if repeated.isEmpty():
+        return unwrapped(single)
+    # Rows with one identifier and one text: the smallest by its hash. Maps have no hash.
+    hashed = F.xxhash64(*[F.col(ROW)[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    several = wrapped(docs).join(repeated, own).groupBy("_id", "_hash").agg(F.min_by(ROW, hashed).alias(ROW)).select(ROW)
+    return unwrapped(single.unionByName(several))

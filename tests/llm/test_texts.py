@@ -253,3 +253,25 @@ def test_mix_whose_rest_ends_with_a_slice(spark):
     got = mixing.sample_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
     taken = {s: sum(r["size"] * r["copies"] for r in got if r["row"]["source"] == s) for s in "ab"}
     assert {r["row"]["source"]: r["target"] for r in got} == {"a": 1000.0, "b": 400.0} and taken == {"a": 1000, "b": 400}
+
+
+def test_near_copies_leave_one_of_each_component(spark):
+    """Null, shared and repeated identifiers: one row stays of each group of near copies, and every row without words."""
+    rng = random.Random(8)
+
+    def near(words):
+        own = list(words)
+        own[rng.randrange(len(own))] = "changed"
+        return " ".join(own)
+
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(4)]
+    docs = [(None, near(bases[0]), str(i)) for i in range(6)] + [(7, near(bases[1]), str(i)) for i in range(6)]
+    docs += [(8, " ".join(bases[2]), "a"), (8, " ".join(bases[2]), "b"), (8, " ".join(bases[2]), "b"), (9, near(bases[2]), "c")]
+    docs += [(None, near(bases[3]), "x"), (3, near(bases[3]), "y"), (1, "", "e"), (None, " ", "e"), (None, " ", "e")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = near_dedup.distinct_documents(table)
+    rows = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert kept.columns == table.columns and len(set(rows) - set(docs)) == 0
+    assert [r[0] for r in rows if r[1].strip()].count(None) == 1
+    assert sorted(r[0] for r in rows if r[1].strip() and r[0] is not None) == [3, 7, 8]
+    assert sorted(r[1] for r in rows if not r[1].strip()) == ["", " ", " "]
