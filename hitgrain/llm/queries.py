@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitgrain.llm import ann, exact_dedup, mixing, near_dedup, packing, quality, suffix_dedup, token_output, url_filter, warc_zip
+from hitgrain.llm import (
+    ann,
+    divergence,
+    exact_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_output,
+    url_filter,
+    vector_codes,
+    warc_zip,
+)
 from hitgrain.llm.common import ROW, table
 
 # The rules of the url query.
@@ -84,6 +98,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(rows, lambda vec_id: vec_id % 50 == 0)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_digests(sharding.sharded_documents(docs, sharding.hash_tree()))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded = vector_codes.compress_vectors(rows)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -95,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_packing": op9_packing,
     "op10_neighbours": op10_neighbours,
+    "op11_divergence": op11_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _RULE_ROWS = ", ".join(
@@ -131,5 +163,38 @@ with t as (select doc_id, {LOWER.format("coalesce(text, '')")} as norm from docu
 select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
   row_number() over (partition by norm order by doc_id desc nulls last) = 1 as kept, sha256(norm) as text_sha256
 from t
+""",
+    "op11_divergence": f"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    {LOWER.format("coalesce(text, '')")} as norm
+  from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(norm, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct id) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from w join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*)::hugeint as terms from kept group by lang),
+full_counts as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, v.terms,
+    sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+  from g join kept k using (lang) join v using (lang) left join c using (lang, source, term)),
+p as (select *, 1 + (1000000000::hugeint * (n + 2)) // (total + 2 * terms)::hugeint as p from full_counts),
+q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n) + 2)) // (sum(sum(n)) over (partition by lang) + 2 * any_value(terms))::hugeint as q
+  from full_counts group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+marked as (
+  select lang, source, term as item, (p - q) * (p - q) // (p + q) as value
+  from p join q using (lang, term) where n > 0 and p > q),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', item, value from marked)
+select lang, source, part, item, value::bigint as value,
+  row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+from found qualify part = 'pair' or rank <= 10
 """,
 }
