@@ -2,9 +2,11 @@
 
 The model has order ``ORDER``. Counts of the longest n-grams are gathered from all trusted documents; shorter orders
 count the distinct characters to their left. Each order has its three discounts, and its probabilities are joined from
-counts, contexts and the order below, all sharded by n-gram. A document's score is its mean number of bits per
-character. Characters from U+0C00 on count as two symbols of an n-gram each, so that all characters differ. Texts fall into two halves by their hash, and each half is scored by the model of the other half's trusted
-texts, so no document is scored by a model that has seen it. Documents above the quantile ``UPPER`` of the trusted
+counts, contexts and the order below, all sharded by n-gram. Where counts of counts give no discount between 0 and the count, as
+in corpora of copies, it is ``FALLBACK`` of the count, so that every character has a positive probability. A document's score is
+its mean number of bits per character. Characters from U+0C00 on count as two symbols of an n-gram each, so that all
+characters differ. Texts fall into two halves by their hash, and each half is scored by the model of the other half's
+trusted texts, so no document is scored by a model that has seen it. Documents above the quantile ``UPPER`` of the trusted
 documents of their language are rejected. Below 1 / (1 - UPPER) documents that quantile lies beyond the largest, which
 is then moved away from the median as far as the tail of a normal distribution says. A language with fewer than
 ``LEAST_TRUSTED`` trusted documents takes its quantile from all its documents.
@@ -42,6 +44,10 @@ UPPER = 0.99
 # Thresholds are read from histograms of this many bins per bit.
 BINS = 1000
 BEGIN = 2
+# Places of the bitmap that tells trusted identifiers from most others: 2 ** 26.
+FILTER_BITS = 26
+# Share of a count that is its discount where the counts of counts give none.
+FALLBACK = 0.5
 # Characters from here on are two codes of BITS bits: 3072 and more, and LOW_BITS lower bits.
 WIDE = 3072
 LOW_BITS = 11
@@ -96,7 +102,7 @@ def _counted(order: int):
     def count(batches):
         for batch in batches:
             own = np.asarray(batch["half"])
-            for side in (0, 1):
+            for side in np.unique(own).tolist():
                 grams, _ = ngrams(batch["text"].filter(pa.array(own == side)).to_pylist(), order)
                 unique, counts = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -147,16 +153,18 @@ def train_model(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _discount(counts: DataFrame) -> Column:
-    """Modified Kneser-Ney discount of ``n``: three values of each half from its counts of counts."""
+    """Modified Kneser-Ney discount of ``n``: three values of each half from its counts of counts, each between 0 and its count."""
     tallies = counts.groupBy("half").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
-    cut = F.lit(None).cast("double")
+    found = F.lit(None).cast("double")
     for tally in tallies:
         n = [tally[f"n{i}"] for i in (1, 2, 3, 4)]
         base = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        cuts = [min(i, max(0.0, i - (i + 1) * base * (n[i] / n[i - 1]))) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        cuts = [i - (i + 1) * base * (n[i] / n[i - 1]) if n[i - 1] else 0.0 for i in (1, 2, 3)]
+        # Corpora with many copies may have no such discount; without one a context would leave nothing to the order below.
+        cuts = [cut if 0.0 < cut < i else FALLBACK * i for i, cut in enumerate(cuts, 1)]
         own = F.when(F.col("n") == 1, cuts[0]).when(F.col("n") == 2, cuts[1]).otherwise(cuts[2])
-        cut = F.when(F.col("half") == tally["half"], own).otherwise(cut)
-    return cut
+        found = F.when(F.col("half") == tally["half"], own).otherwise(found)
+    return found
 
 
 class Model:
@@ -291,6 +299,22 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return labels.groupBy(doc_id).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_worst")).filter("_worst = 1").select(doc_id)
 
 
+def maybe_trusted(rows: DataFrame, trusted: DataFrame, key: str = "_id", bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` may be among the trusted ones, by a bitmap of hashes: all that are, and few others.
+
+    The bitmap has ``2 ** bits`` places, 8 MB, however many identifiers there are, and goes to every task. So texts without trust
+    need no shuffle, until the identifiers fill the bitmap and it lets all pass.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits)) + 1
+    bitmaps = trusted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+    bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bitmap"))
+    marked = rows.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    position = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("getbit", byte, F.pmod(position, F.lit(8)).cast("int")) == 1
+    return marked.join(F.broadcast(bitmaps), "_bucket").filter(is_set).drop("_place", "_bucket", "_bitmap")
+
+
 def binned(scores: DataFrame) -> DataFrame:
     """``lang``, ``bin`` and ``count`` from (``lang``, ``bits``)."""
     return scores.filter("bits is not null").groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).count()
@@ -331,7 +355,9 @@ def judge_quality(
     rows = wrapped(docs)
     trusted = trusted_ids(labels.select("doc_id", "quality")).withColumnRenamed("doc_id", "_id")
     vouched = rows.select(F.col(ROW)[doc_id].alias("_id"), own_lang.alias("lang"), body.alias("text"))
-    vouched = stage_table(vouched.join(trusted, "_id", "left_semi").select("lang", "text"), "lm-trusted")
+    trusted = stage_table(trusted, "lm-trusted-ids")
+    vouched = maybe_trusted(vouched, trusted).join(trusted, "_id", "left_semi")
+    vouched = stage_table(vouched.select("lang", "text"), "lm-trusted")
     model = train_model(vouched.withColumn("half", half(F.col("text"))))
     shared = small_model(model, small)
     scored = score_documents(rows.withColumn("_text", body), model, shared)

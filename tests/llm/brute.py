@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -74,3 +75,36 @@ def targets(sizes, weights, most=3):
         if not over:
             return [float(most * sizes[i]) if i in capped else share[i] for i in range(len(sizes))]
         capped |= over
+
+
+def kneser_ney(texts, order, fallback=0.5):
+    """Bits of the last character of a string of ``order`` characters, by an interpolated modified Kneser-Ney model in dictionaries."""
+    counts = {order: Counter()}
+    for text in texts:
+        padded = "\2" * (order - 1) + (text or "")
+        counts[order].update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    cuts, totals, left = {}, {}, {}
+    for k, grams in counts.items():
+        n = [sum(v == i for v in grams.values()) for i in (1, 2, 3, 4)]
+        base = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        found = [i - (i + 1) * base * n[i] / n[i - 1] if n[i - 1] else 0 for i in (1, 2, 3)]
+        cuts[k] = [c if 0 < c < i else fallback * i for i, c in enumerate(found, 1)]
+        totals[k], left[k] = Counter(), defaultdict(float)
+        for gram, v in grams.items():
+            totals[k][gram[:-1]] += v
+            left[k][gram[:-1]] += cuts[k][min(v, 3) - 1]
+
+    def chance(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        context = gram[:-1]
+        if context not in totals[k]:
+            return chance(gram[1:])
+        v = counts[k][gram]
+        own = v - cuts[k][min(v, 3) - 1] if v else 0.0
+        return (own + left[k][context] * chance(gram[1:])) / totals[k][context]
+
+    return lambda gram: -math.log2(chance(gram))

@@ -173,6 +173,54 @@ def test_probabilities_add_up(spark):
         assert np.exp2(-model.bits(last)).sum() == pytest.approx(1.0)
 
 
+CORPORA = {
+    "prose": ["the cat sat on the mat", "a cat and a hat", "mats and hats", "that is that", ""],
+    "one": ["abababab"],
+    **{f"{n} copies": ["some words stand here", "and others there"] * n for n in (2, 3, 4, 5, 6)},
+}
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_model_as_in_dictionaries(spark, order):
+    """All corpora in one call, as halves of models of their own; bits of other texts, seen or not, are finite and the same."""
+    import numpy as np
+
+    names = list(CORPORA)
+    rows = [(i, text) for i, name in enumerate(names) for text in CORPORA[name]]
+    table = quality.train_model(spark.createDataFrame(rows, "half int, text string"), order).toPandas()
+    for i, name in enumerate(names):
+        own = table[table["half"] == i]
+        model = quality.Model(own["kind"].to_numpy(), own["gram"].to_numpy(), own["value"].to_numpy())
+        plain = brute.kneser_ney(CORPORA[name], order)
+        for text in ("abb", "the cats", "zz", "some words stand there", "a", "ababab"):
+            grams, _ = quality.ngrams([text], order)
+            padded = "\2" * (order - 1) + text
+            want = [plain(padded[j : j + order]) for j in range(len(text))]
+            got = model.bits(grams)
+            assert np.isfinite(got).all() and got == pytest.approx(want)
+
+
+def test_quality_of_copied_rows(spark):
+    """Rows that repeat leave no discount by counts of counts; nothing overflows and all scores are finite."""
+    base = ["some words stand here and there", "others stand elsewhere", "and words of all kinds follow", "abababab"]
+    texts = [t for t in base for _ in range(4)] + ["abb", "quite another text", None, ""]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(16)], "doc_id long, quality int")
+    got = quality.judge_quality(docs, labels).collect()
+    assert len(got) == len(texts)
+    assert all(r["bits"] is None or 0 < r["bits"] < 60 for r in got)
+
+
+@pytest.mark.parametrize("bits", [16, 26])
+def test_bitmap_lets_all_trusted_pass(spark, bits):
+    rows = spark.range(-500, 20_000).withColumnRenamed("id", "_id").withColumn("_bucket", F.lit("clash"))
+    trusted = rows.filter("_id % 7 = 3").select("_id")
+    got = quality.maybe_trusted(rows.drop("_bucket"), trusted, bits=bits)
+    assert trusted.exceptAll(got).count() == 0
+    assert bits == 16 or got.count() < 1.01 * trusted.count()
+    assert quality.maybe_trusted(rows.drop("_bucket"), trusted.limit(0)).count() == 0
+
+
 def test_quality_held_out(spark):
     """Documents without any part in training: nearly all clean ones stay, most poor ones go."""
     directory = "/root/testdata/sf0.01"
