@@ -5,13 +5,16 @@ vector goes down to one leaf. A search keeps open nodes in a priority queue and
 visited a number of leaves. That number is calibrated: for a bounded set of ``PROBES`` queries the true neighbours are
 found among all vectors, and leaf visits are widened until ``RECALL`` of them lie in visited leaves.
 
-Scale: the tree is bounded by the sample and is all that is handed to every task. Vectors of a leaf are cut into blocks
-of about ``BLOCK`` rows, and so are the queries that visit it; a task multiplies one block by another and passes on
-the best few of each query. One vector with a third of all rows fills many blocks of one leaf, not one task.
+Scale: the tree is bounded by the sample and is all that is handed to every task. Neighbouring leaves share a slab of about
+``SLAB_BYTES``; a larger leaf, or one vector with a third of all rows, fills slabs of its own. The queries that visit a slab are cut
+into blocks of about ``ASKED``. A task holds one slab and one block, keeps the best few of each query over all leaves it
+holds, leaves out leaves whose angle to the query less their radius cannot reach the worst of these, and passes on one short list per query.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another number of components
-than most, take no part. Scores are cosines in double precision of the original vectors; equal scores rank by
-smaller identifier, null last. A query never finds rows with its own identifier. Rows that repeat are candidates each.
+than most, take no part. Scores are cosines in double precision of the original vectors, scaled by powers of two so
+that tiny and huge components neither vanish nor overflow; equal scores rank by smaller identifier, null last. Rows that share the
+identifier of a query are one query, by the least of their vectors. A query never finds rows with its own identifier. Rows that
+repeat are candidates each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ FIT = 20_000
 BRANCH = 8
 LEAF = 256
 PROBES = 200
-RECALL = 0.96
-BLOCK = 4096
+RECALL = 0.94
+SLAB_BYTES = 32 << 20
+ASKED = 32_768
+# Rows of a slab that are multiplied at once.
+STEP = 4096
 
 
 def usable_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -90,6 +96,9 @@ class Tree:
                 below = self.children[node]
                 at[own] = below[(rows[own] @ self.matrix[below].T).argmax(axis=1)]
 
+    def leaf_centres(self) -> np.ndarray:
+        return self.matrix[np.flatnonzero(self.leaf >= 0)[np.argsort(self.leaf[self.leaf >= 0])]]
+
     def visits(self, query: np.ndarray, most: int) -> list[int]:
         """Leaves in the order of best-bin-first search, ``most`` at the most."""
         near = self.matrix @ unit_rows(query[None, :])[0]
@@ -121,25 +130,38 @@ def matrix_of(lists) -> np.ndarray:
     return np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: list, k: int):
-    """(query id, vector id, cosine) of the ``k`` nearest rows of each query, other than those with its own id."""
+def scaled_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their largest component lies between 1/2 and 1."""
+    return np.ldexp(matrix, -np.frexp(np.abs(matrix).max(axis=1, keepdims=True))[1])
+
+
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: list, k: int, own=None, barred=None, places=None):
+    """(query, vector id, cosine) of the ``k`` nearest rows of each query, other than those with its own id.
+
+    ``own`` gives the identifiers of rows where ``ids`` are something else, ``barred`` what a query may not see, and
+    ``places`` the name of each query in the result (its identifier by default).
+    """
     numbers = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], dtype=np.int64)
     order = np.argsort(numbers, kind="stable")
-    vectors, numbers, ids = vectors[order], numbers[order], [ids[i] for i in order]
+    own = numbers if own is None else own
+    vectors, own, ids = scaled_rows(vectors[order]), own[order], [ids[i] for i in order]
+    queries = scaled_rows(queries)
     norms, query_norms = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
-    rough = unit_rows(queries) @ unit_rows(vectors).T
-    rough[query_ids[:, None] == numbers[None, :]] = -np.inf
-    for q in range(len(queries)):
-        line = rough[q]
-        if len(line) > k:
-            # Rounding may part equal scores here, so all that may belong to the best are measured again.
-            bar = np.partition(line, -k)[-k]
-            near = np.flatnonzero((line >= bar - 1e-9) & (line > -np.inf))
-        else:
-            near = np.flatnonzero(line > -np.inf)
+    rough = (queries / query_norms[:, None]) @ (vectors / norms[:, None]).T
+    rough[query_ids[:, None] == own[None, :]] = -np.inf
+    if barred is not None:
+        rough[barred[:, order]] = -np.inf
+    # Rounding may part equal scores here, so all that may belong to the best are measured again.
+    bars = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+    names = (query_ids if places is None else places).tolist()
+    for q, line in enumerate(rough):
+        near = np.flatnonzero((line >= bars[q] - 1e-9) & (line > -np.inf))
         score = (vectors[near] * queries[q]).sum(axis=1) / (norms[near] * query_norms[q])
         for i in np.argsort(-score, kind="stable")[:k].tolist():
-            yield int(query_ids[q]), ids[near[i]], float(score[i])
+            yield names[q], ids[near[i]], float(score[i])
+
+
+SCORES = "query_id long, vec_id long, score double"
 
 
 def _score_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -150,62 +172,150 @@ def _score_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-SCORES = "query_id long, vec_id long, score double"
-
-
 def top_of(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_neighbours(vectors: DataFrame, query_ids: list[int], queries: np.ndarray, k: int) -> DataFrame:
-    """The true neighbours of a bounded set of queries among all vectors, block by block."""
+def exact_neighbours(indexed: DataFrame, query_ids: list[int], queries: np.ndarray, k: int) -> DataFrame:
+    """The true neighbours of a bounded set of queries among all vectors, block by block, with the leaf of each."""
     wanted = np.array(query_ids, dtype=np.int64)
 
     def search(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _score_rows(list(best_of(queries, wanted, matrix_of(batch["vector"]), batch["vec_id"].to_pylist(), k)))
+                leaves, ids = batch["leaf"].to_pylist(), batch["vec_id"].to_pylist()
+                # Places stand for rows, so that each row found brings its leaf, also where identifiers repeat.
+                order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+                held = matrix_of(batch["vector"])
+                own = np.array([np.iinfo(np.int64).max if ids[i] is None else ids[i] for i in order])
+                rows = list(best_of(queries, wanted, held[order], list(range(len(order))), k, own))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[0] for r in rows], pa.int64()),
+                        pa.array([ids[order[r[1]]] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.float64()),
+                        pa.array([leaves[order[r[1]]] for r in rows], pa.int32()),
+                    ],
+                    names=["query_id", "vec_id", "score", "leaf"],
+                )
 
-    return top_of(vectors.mapInArrow(search, SCORES), k)
+    return top_of(indexed.select("vec_id", "vector", "leaf").mapInArrow(search, SCORES + ", leaf int"), k)
+
+
+INDEX = "leaf int, near double, vec_id long, vector array<double>"
 
 
 def _in_leaves(tree: Tree):
+    centres = tree.leaf_centres()
+
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                leaves = tree.leaf_of(matrix_of(batch["vector"])).astype(np.int32)
+                matrix = matrix_of(batch["vector"])
+                leaves = tree.leaf_of(matrix)
+                near = np.einsum("ij,ij->i", unit_rows(matrix), centres[leaves])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaves), batch["vec_id"], batch["vector"]], names=["leaf", "vec_id", "vector"]
+                    [pa.array(leaves.astype(np.int32)), pa.array(near), batch["vec_id"], batch["vector"]],
+                    names=["leaf", "near", "vec_id", "vector"],
                 )
 
     return assign
 
 
-def _visiting(tree: Tree, most: int):
+class Slabs:
+    """Which slabs hold the vectors of a leaf: ``pieces[leaf]`` of them from ``first[leaf]`` on."""
+
+    def __init__(self, tree: Tree, counts: dict[int, tuple[int, float]], rows: int):
+        self.first, self.pieces = np.zeros(tree.leaves, int), np.zeros(tree.leaves, int)
+        # Cosine of the widest vector of each leaf; the centres need not be of length one.
+        self.widest = np.array([counts.get(leaf, (0, 1.0))[1] for leaf in range(tree.leaves)])
+        slab, filled = 0, 0
+        for leaf in range(tree.leaves):
+            held = counts.get(leaf, (0, 1.0))[0]
+            if filled and filled + held > rows:
+                slab, filled = slab + 1, 0
+            self.first[leaf], self.pieces[leaf] = slab, -(-held // rows)
+            filled += held
+            if filled >= rows:
+                slab, filled = slab + max(1, int(self.pieces[leaf])), 0
+
+
+def _visiting(tree: Tree, slabs: Slabs, most: int):
+    """One row for each query and slab, with the leaves to look at there."""
+
     def visit(batches):
         for batch in batches:
-            if batch.num_rows:
-                lists = [tree.visits(query, most) for query in matrix_of(batch["vector"])]
+            out: list[tuple] = []
+            queries = matrix_of(batch["vector"]) if batch.num_rows else ()
+            for at, query in enumerate(queries):
+                wanted: dict[int, list[int]] = {}
+                for leaf in tree.visits(query, most):
+                    for piece in range(slabs.pieces[leaf]):
+                        wanted.setdefault(int(slabs.first[leaf]) + piece, []).append(leaf)
+                out += [(at, slab, leaves) for slab, leaves in wanted.items()]
+            if out:
+                places = pa.array([row[0] for row in out])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["vec_id"], batch["vector"], pa.array(lists, pa.list_(pa.int32()))],
-                    names=["vec_id", "vector", "leaves"],
+                    [
+                        pa.array([row[1] for row in out], pa.int32()),
+                        batch["vec_id"].take(places),
+                        batch["vector"].take(places),
+                        pa.array([row[2] for row in out], pa.list_(pa.int32())),
+                    ],
+                    names=["slab", "query_id", "asked", "leaves"],
                 )
 
     return visit
 
 
-def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
-    """Rows of each leaf in lists of about ``block``. The counts are one row per leaf, bounded by the tree."""
-    counts = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    # Spread by a hash of the whole row, so that rows with one identifier part too, unless they are the same.
-    return (
-        rows.join(F.broadcast(counts), "leaf")
-        .withColumn("_block", F.pmod(F.xxhash64("vec_id", "vector"), F.col("_blocks")))
-        .groupBy("leaf", "_block")
-        .agg(F.collect_list(F.struct("vec_id", "vector")).alias(name))
-        .drop("_block")
-    )
+def _searched(tree: Tree, slabs: Slabs, k: int):
+    centres = tree.leaf_centres()
+
+    def search(asked, held):
+        if not asked.num_rows or not held.num_rows:
+            return _table_of([])
+        queries, query_ids = matrix_of(asked["asked"]), asked["query_id"].to_numpy()
+        leaves = held["leaf"].to_numpy()
+        order = np.argsort(leaves, kind="stable")
+        leaves, held = leaves[order], held.take(pa.array(order))
+        here = np.unique(leaves)
+        wanted = np.zeros((len(queries), len(here)), dtype=bool)
+        lists = asked["leaves"].combine_chunks()
+        wanted[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), np.searchsorted(here, lists.flatten().to_numpy())] = True
+        lengths = np.maximum(np.sqrt((centres[here] ** 2).sum(axis=1)), 1e-300)
+        angle = np.arccos(np.clip((unit_rows(queries) @ centres[here].T) / lengths, -1.0, 1.0))
+        # The widest is stored against centres as they are, so both are taken to unit length first.
+        reach = np.cos(np.maximum(0.0, angle - np.arccos(np.clip(slabs.widest[here] / lengths, -1.0, 1.0)))) + 1e-9
+        best: list[list[tuple[float, bool, int]]] = [[] for _ in range(len(queries))]
+        bar = np.full(len(queries), -np.inf)
+        vectors, ids = held["vector"].combine_chunks(), held["vec_id"].to_pylist()
+        for at in range(0, len(leaves), STEP):
+            some = leaves[at : at + STEP]
+            own = np.searchsorted(here, some)
+            columns = np.unique(own)
+            visit = wanted[:, columns] & (reach[:, columns] >= bar[:, None])
+            who = np.flatnonzero(visit.any(axis=1))
+            if not len(who):
+                continue
+            barred = ~visit[who][:, np.searchsorted(columns, own)]
+            rows = best_of(queries[who], query_ids[who], matrix_of(vectors.slice(at, STEP)), ids[at : at + STEP], k, barred=barred, places=who)
+            for q, vec_id, score in rows:
+                best[q].append((-score, vec_id is None, vec_id or 0))
+            for q in who.tolist():
+                if len(best[q]) > k:
+                    best[q] = sorted(best[q])[:k]
+                if len(best[q]) == k:
+                    bar[q] = -max(best[q])[0]
+        return _table_of(
+            [(int(query_ids[q]), None if null else vec_id, -score) for q, line in enumerate(best) for score, null, vec_id in sorted(line)]
+        )
+
+    return search
+
+
+def _table_of(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_score_rows(rows)])
 
 
 def calibrated_visits(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int, recall: float, probes: int) -> int:
@@ -215,8 +325,8 @@ def calibrated_visits(tree: Tree, indexed: DataFrame, queries: DataFrame, k: int
         return 1
     matrix = np.array([row["vector"] for row in picked])
     ids = [row["vec_id"] for row in picked]
-    true = exact_neighbours(indexed.select("vec_id", "vector"), ids, matrix, k).select("query_id", "vec_id")
-    places = true.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
+    # At most ``probes * k`` rows.
+    places = exact_neighbours(indexed, ids, matrix, k).select("query_id", "leaf").collect()
     at = {i: {leaf: n for n, leaf in enumerate(tree.visits(row, tree.leaves))} for i, row in zip(ids, matrix, strict=True)}
     needed = sorted(at[place["query_id"]][place["leaf"]] + 1 for place in places)
     return needed[max(0, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
@@ -231,7 +341,8 @@ def nearest_neighbours(
     fit: int = FIT,
     recall: float = RECALL,
     probes: int = PROBES,
-    block: int = BLOCK,
+    slab_bytes: int = SLAB_BYTES,
+    asked: int = ASKED,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found for every row with ``is_query(vec_id)``."""
     vectors = usable_vectors(rows, vec_id, vector)
@@ -239,23 +350,27 @@ def nearest_neighbours(
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.array(sample))
+    # Stored numbers part rows that are the same in everything.
     indexed = stage_table(
-        vectors.mapInArrow(_in_leaves(tree), "leaf int, vec_id long, vector array<double>"), "ann-index"
+        vectors.mapInArrow(_in_leaves(tree), INDEX).withColumn("_n", F.monotonically_increasing_id()), "ann-index"
     )
-    queries = indexed.filter(is_query(F.col("vec_id"))).select("vec_id", "vector").dropDuplicates(["vec_id"])
+    queries = indexed.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     most = calibrated_visits(tree, indexed, queries, k, recall, probes)
-    visits = queries.mapInArrow(_visiting(tree, most), "vec_id long, vector array<double>, leaves array<int>")
-    visits = visits.select(F.explode("leaves").alias("leaf"), "vec_id", "vector")
-
-    def search(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                asked, held = (batch[name].slice(at, 1).flatten() for name in ("asked", "held"))
-                ids = np.array(asked.field(0).to_pylist(), dtype=np.int64)
-                yield _score_rows(
-                    list(best_of(matrix_of(asked.field(1)), ids, matrix_of(held.field(1)), held.field(0).to_pylist(), k))
-                )
-
-    # Lists hide their size from the planner, which must not take them for small tables.
-    pairs = _blocks(indexed, "held", block).join(_blocks(visits, "asked", block).hint("merge"), "leaf").select("asked", "held")
-    return top_of(pairs.mapInArrow(search, SCORES), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # One row per leaf, as many as the sample allows.
+    counts = indexed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).collect()
+    slabs = Slabs(tree, {r["leaf"]: (r["n"], r["near"]) for r in counts}, max(1, slab_bytes // (8 * max(1, len(sample[0])))))
+    visits = queries.mapInArrow(_visiting(tree, slabs, most), "slab int, query_id long, asked array<double>, leaves array<int>")
+    visits = stage_table(visits, "ann-visits")
+    blocks = visits.groupBy("slab").agg(F.ceil(F.count(F.lit(1)) / asked).cast("int").alias("_blocks"))
+    asking = visits.join(blocks, "slab").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int"))
+    first = F.get(F.array(*map(F.lit, slabs.first.tolist())), F.col("leaf"))
+    pieces = F.get(F.array(*map(F.lit, slabs.pieces.tolist())), F.col("leaf"))
+    held = indexed.withColumn("slab", (first + F.pmod(F.col("_n"), pieces)).cast("int")).join(blocks, "slab")
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    found = (
+        asking.select("slab", "block", "query_id", "asked", "leaves")
+        .groupBy("slab", "block")
+        .cogroup(held.select("slab", "block", "leaf", "vec_id", "vector").groupBy("slab", "block"))
+        .applyInArrow(_searched(tree, slabs, k), SCORES)
+    )
+    return top_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
