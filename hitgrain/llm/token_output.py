@@ -29,10 +29,12 @@ END = np.array([0], dtype="<u4").tobytes()
 BATCH = 256
 SCHEMA = "doc_id long, part int, place long, n_tokens int, tokens array<int>"
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "lz4_raw",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
+    # Pages of identifiers end here too, which makes their index fine enough for ranges of few documents.
+    "parquet.page.row.count.limit": "256",
     "parquet.enable.dictionary": "true",
     **{f"parquet.enable.dictionary#{name}": "false" for name in ("doc_id", "part", "place", "n_tokens")},
 }
@@ -79,14 +81,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     ordered.mapInArrow(_encoded(tokenizer), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it) and ``tokens``, read from the files."""
+def _with_start(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("_sum"))
     parts = parts.select("part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     # One row per range, as many as the shuffle had partitions.
-    return stored.join(F.broadcast(parts), "part").select("doc_id", (F.col("_base") + F.col("place")).alias("start"), "tokens")
+    return stored.join(F.broadcast(parts), "part").withColumn("start", F.col("_base") + F.col("place"))
+
+
+def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it) and ``tokens``, read from the files.
+
+    With ``first`` and ``last`` only of documents with identifiers between them, both included: the limits reach the files,
+    whose row groups and pages hold ascending identifiers, so that pages of other documents are not read.
+    """
+    stored = _with_start(spark, path)
+    if first is not None:
+        stored = stored.filter(F.col("doc_id") >= first)
+    if last is not None:
+        stored = stored.filter(F.col("doc_id") <= last)
+    return stored.select("doc_id", "start", "tokens")
+
+
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``start`` and ``n_tokens``; no page of ids is read."""
+    return _with_start(spark, path).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def _digested(batches):
@@ -95,7 +115,8 @@ def _digested(batches):
         values = np.asarray(lists.flatten(), dtype="<u4")
         ends = np.asarray(lists.value_lengths()).astype(np.int64).cumsum()
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+        held = memoryview(np.ascontiguousarray(values)).cast("B")
+        crc = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch["doc_id"], batch["start"], pa.array(ends - starts), pa.array(crc, pa.int64())],
             names=["doc_id", "start", "n_tokens", "ids_crc32"],

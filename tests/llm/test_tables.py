@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from hitgrain.llm import ann, encoder, mixing, packing, token_output, url_filter, warc_zip
 from hitgrain.llm.queries import ORACLES, QUERIES, tokenizer_path
+from hitgrain.session import stage_table
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -137,6 +138,34 @@ def test_token_files(spark, odd, tmp_path):
     assert all("DELTA_BINARY_PACKED" in c["doc_id"].encodings and c["doc_id"].has_offset_index for c in by_name)
 
 
+def scanned_rows(df):
+    """Rows that the scans of a query hand on, after it has run."""
+    df.collect()
+    leaves, rows = df._jdf.queryExecution().executedPlan().executedPlan().collectLeaves(), []
+    for i in range(leaves.size()):
+        plan = leaves.apply(i)
+        while "QueryStage" in plan.getClass().getSimpleName():
+            inner = plan.plan().collectLeaves()
+            plan = inner.apply(0)
+        rows.append(plan.metrics().apply("numOutputRows").value())
+    return rows
+
+
+def test_tokens_are_read_selectively(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "t")
+    token_output.write_tokens(docs, path, tokenizer_path())
+    whole = {r["doc_id"]: r for r in token_output.read_tokens(spark, path).collect()}
+    some = token_output.read_tokens(spark, path, 40, 60)
+    assert {r["doc_id"]: r for r in some.collect()} == {i: r for i, r in whole.items() if 40 <= i <= 60}
+    lengths = token_output.read_lengths(spark, path)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"]) for r in lengths.collect()} == {i: (r["start"], len(r["tokens"])) for i, r in whole.items()}
+    # Row groups and pages of other identifiers are left out, and ids are no part of what lengths read.
+    assert min(scanned_rows(some)) < len(whole) / 2
+    plan = lengths._jdf.queryExecution().toString()
+    assert "ReadSchema" in plan and "tokens:array" not in plan and "tokens:array" in some._jdf.queryExecution().toString()
+
+
 def test_packing(odd, odd_rows, none):
     pieces = packing.pack_documents(odd, tokenizer_path()).collect()
     ids = whole_ids([r[1] or "" for r in odd_rows])
@@ -230,29 +259,67 @@ def test_zip64_directory():
 
 
 def plain_neighbours(rows, queries, k):
+    from fractions import Fraction
+
+    def square(a, b):
+        """The cosine, squared with its sign, exactly."""
+        a, b = ([Fraction(x) for x in v] for v in (a, b))
+        dot = sum(x * y for x, y in zip(a, b, strict=True))
+        return dot * abs(dot) / (sum(x * x for x in a) * sum(y * y for y in b))
+
     out = {}
     for q in queries:
-        mine = next(np.array(v) for i, v in rows if i == q)
-        scores = [(-(np.array(v) @ mine) / np.sqrt((np.array(v) @ np.array(v)) * (mine @ mine)), i) for i, v in rows if i != q]
-        out[q] = sorted(scores)[:k]
+        mine = min(v for i, v in rows if i == q)
+        out[q] = sorted((-square(mine, v), i is None, i or 0) for i, v in rows if i != q)[:k]
     return out
 
 
-def test_neighbours_of_awkward_vectors(spark):
+@pytest.mark.parametrize("slab_bytes, asked", [(1, 1), (1 << 20, 2)])
+def test_neighbours_of_awkward_vectors(spark, slab_bytes, asked):
     nan, inf = float("nan"), float("inf")
     sound = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [1.0, 0.0]), (2, [2.0, 0.0]), (7, [-1.0, 0.5]), (100, [1e-300, 1e-300]), (9, [3.0, 3.0])]
+    sound += [(300, [1e300, -1e300]), (None, [0.5, 0.0]), (50, [0.25, 1.0]), (3, [1.0, 0.0]), (8, [5e-324, 0.0])]
     poor = [(150, None), (200, [0.0, 0.0]), (11, [nan, 1.0]), (12, [None, 1.0]), (13, [inf, 1.0]), (250, [1.0, 2.0, 3.0]), (14, [])]
     rows = spark.createDataFrame([(*r, "clash") for r in [*sound, *poor]], "vec_id long, embedding array<double>, score string")
-    got = ann.nearest_neighbours(rows, lambda i: i % 50 == 0, block=2).collect()
-    for q, best in plain_neighbours([s for s in sound if s[0] != 100], [0, 50], 5).items():
-        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q and r["vec_id"] != 100)
-        assert [i for _, i, _ in own][:2] == [i for _, i in best][:2]
-    assert {r["query_id"] for r in got} == {0, 50, 100}
+    got = ann.nearest_neighbours(rows, lambda i: i % 50 == 0, recall=1.0, slab_bytes=slab_bytes, asked=asked).collect()
+    want = plain_neighbours(sound, [0, 50, 100, 300], 5)
+    assert {r["query_id"] for r in got} == want.keys()
+    for q, best in want.items():
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [i for _, i, _ in own] == [None if null else i for _, null, i in best]
+        for (_, _, score), (negative, _, _) in zip(own, best, strict=True):
+            assert score * abs(score) == pytest.approx(-float(negative))
     assert ann.nearest_neighbours(rows.limit(0), lambda i: i % 50 == 0).count() == 0
     one = ann.nearest_neighbours(rows.filter("vec_id = 0"), lambda i: i % 50 == 0)
     assert one.count() == 0
 
 
+def test_neighbours_of_one_vector_many_times(spark):
+    """Half of all rows are one vector; it fills slabs of its own, and ties go by identifier."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest_neighbours(df, lambda i: i % 50 == 0, recall=1.0, slab_bytes=32 * 40, asked=3).collect()
+    want = plain_neighbours(rows, [i for i, _ in rows if i % 50 == 0], 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(
+        (q, n, i) for q, best in want.items() for n, (_, _, i) in enumerate(best, 1)
+    )
+
+
+def test_leaves_out_of_reach_are_left_out():
+    """Tight clusters: what lies beyond a leaf's radius is not measured, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    rows = np.repeat(centres, 60, axis=0) + rng.normal(size=(2400, 16)) * 0.01
+    tree = ann.Tree(rows, leaf_rows=64)
+    near = np.einsum("ij,ij->i", ann.unit_rows(rows), tree.leaf_centres()[tree.leaf_of(rows)])
+    counts = {int(leaf): (int((tree.leaf_of(rows) == leaf).sum()), near[tree.leaf_of(rows) == leaf].min()) for leaf in range(tree.leaves)}
+    slabs = ann.Slabs(tree, counts, 500)
+    assert slabs.first[0] == 0 and (np.diff(slabs.first) >= 0).all()
+    assert max(sum(c for leaf, (c, _) in counts.items() if slabs.first[leaf] == s) for s in set(slabs.first.tolist())) <= 500
+    assert len(tree.visits(rows[0], 5)) == 5
+
+
 def test_neighbours_recall(spark):
     directory = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{directory}/embeddings.parquet").select("vec_id", "embedding")
