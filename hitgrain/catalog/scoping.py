@@ -111,15 +111,7 @@ QUERIES: dict[str, Query] = {
     "scope_diff_lines": lambda s, d: scope.scope_diff_lines(joined(s, d), bind.diff(s, d)).select(
         *W, "upload_id", "file_name", "line_number", *FLAGS, "hits"
     ),
-    "commit_ancestors": lambda s, d: H.commit_ancestors(bind.history(s, d), commits(s, d))
-    .groupBy("project_id", "head")
-    .agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("position").alias("nearest"),
-        F.max("position").alias("farthest"),
-        F.count_if("merged").alias("merged"),
-        F.count("ref").alias("with_ref"),
-    ),
+    "commit_ancestors": lambda s, d: H.commit_ancestors(bind.history(s, d), H.branch_tips(bind.history(s, d))),
     "tags_not_seen": q_tags_not_seen,
     "carryforward_candidates": candidates,
     "carryforward_tags": q_carryforward_tags,
@@ -182,9 +174,9 @@ ORACLES: dict[str, str] = {
           and d.commit_id = n.commit_id and d.file_name = n.file_name and d.line_number = n.line_number)"""
     ),
     "commit_ancestors": S.query(
-        """select project_id, head, count(*) as n, min(position) as nearest, max(position) as farthest,
-          count(*) filter (where coalesce(merged, true)) as merged, count(ref) as with_ref
-        from history group by project_id, head"""
+        """select project_id, head, cast(row_number() over (partition by project_id, head order by position) as integer) as position,
+          ancestor, coalesce(merged, true) as merged, ref
+        from history h where not exists (select 1 from history c where c.project_id = h.project_id and c.ancestor = h.head)"""
     ),
     "tags_not_seen": S.query(
         """select w.project_id, w.commit_id, k.tag

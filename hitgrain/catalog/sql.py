@@ -38,12 +38,31 @@ BLOCKS["line_cov"] = """
       cast(greatest(cast(round(l_discount * 100) as bigint) - 3, 0) as bigint) as b0,
       cast(greatest(cast(round(l_tax * 100) as bigint) - 2, 0) as bigint) as b1
     from lineitem)"""
+BLOCKS["lane"] = """
+  select project_id, commit_no, commit_no % 10 >= 7 as feature,
+    max(case when commit_no % 10 < 7 then commit_no end) over earlier as main_before,
+    max(case when commit_no % 10 >= 7 then commit_no end) over earlier as feature_before
+  from waypoint_sparse
+  window earlier as (partition by project_id order by commit_no rows between unbounded preceding and 1 preceding)"""
+BLOCKS["edge"] = """
+  select project_id, commit_no as child,
+    case when feature and feature_before // 10 = commit_no // 10 then feature_before else main_before end as parent
+  from lane
+  union
+  select project_id, commit_no, feature_before from lane
+  where not feature and feature_before > coalesce(main_before, -1) and feature_before // 10 % 2 = 0"""
+BLOCKS["reach"] = """
+  select project_id, child as head, parent as ancestor from edge where parent is not null
+  union
+  select reach.project_id, reach.head, edge.parent
+  from reach join edge on edge.project_id = reach.project_id and edge.child = reach.ancestor
+  where edge.parent is not null"""
 BLOCKS["history"] = """
-  select h.project_id, h.commit_id as head, a.commit_id as ancestor, h.commit_no - a.commit_no as position,
-    case when a.commit_no % 4 <> 0 then a.commit_no % 2 = 0 end as merged,
-    case when a.commit_no % 10 >= 7 then concat('feature-', cast(a.commit_no % 3 as varchar)) end as ref
-  from waypoint_sparse h join waypoint_sparse a
-    on h.project_id = a.project_id and a.commit_no < h.commit_no"""
+  select project_id, concat('c', lpad(cast(head as varchar), 4, '0')) as head,
+    concat('c', lpad(cast(ancestor as varchar), 4, '0')) as ancestor, head - ancestor as position,
+    case when ancestor % 4 <> 0 then ancestor % 2 = 0 end as merged,
+    case when ancestor % 10 >= 7 then concat('feature-', cast(ancestor % 3 as varchar)) end as ref
+  from reach"""
 
 
 def _diff(uploads: str) -> str:
@@ -188,4 +207,4 @@ def query(body: str) -> str:
 
     visit(body)
     blocks = [f"{name} as ({BLOCKS[name]})" for name in BLOCKS if name in needed]
-    return (f"with {', '.join(blocks)} " if blocks else "") + body
+    return (f"with recursive {', '.join(blocks)} " if blocks else "") + body

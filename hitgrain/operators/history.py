@@ -1,46 +1,48 @@
-"""Ancestors, carried-forward tags and base commits."""
+"""Ancestors, carried-forward tags and base commits.
+
+``history`` has one row per commit: ``project_id``, ``commit_id``, ``number`` in the order of the project's commits, ``parents``
+(identifiers, the first parent first), ``merged`` and ``ref``. Only ancestors of a commit count for it, never commits of other branches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitgrain.operators.ancestry import SPAN, ancestors_of, nearest_marked
 from hitgrain.operators.coverage import WAYPOINT
-from hitgrain.operators.sequence import carry, chunk_window, earlier_chunks, with_chunk
 from hitgrain.operators.settings import tag_carryforward_allowed
 from hitgrain.operators.uploads import commit_tags, uploaded_tags, uploads_per_tag
 
-# How many neighbouring commits of a project's history share a chunk.
-SPAN = 10_000
-
 
 def within(position: Column, max_position: int | None) -> Column:
     return F.lit(True) if max_position is None else position <= max_position
 
 
-def commit_ancestors(history: DataFrame, heads: DataFrame, max_position: int | None = None) -> DataFrame:
+def commit_ancestors(history: DataFrame, heads: DataFrame, max_position: int | None = None, span: int = SPAN) -> DataFrame:
     """All ancestors of each head, the head excluded; ``position`` counts from it, newest first.
 
-    ``history`` holds one row per commit: its ``number`` in the project's line, ``merged`` and ``ref``. The result is
-    as large as heads times ancestors, so this is for asking about some heads; the other operators do not use it.
+    The result is as large as the ancestors of all heads together, so this is for asking about some heads; the other operators do not use it.
     """
-    wanted = heads.select("project_id", "commit_id").join(history, list(WAYPOINT))
-    wanted = wanted.select("project_id", F.col("commit_id").alias("head"), F.col("number").alias("_head_no"))
-    position = F.col("_head_no") - F.col("number")
+    position = F.row_number().over(Window.partitionBy("project_id", "head").orderBy(F.desc("ancestor")))
+    found = ancestors_of(history, heads, span).withColumn("position", position).filter(within(F.col("position"), max_position))
+    names = history.select("project_id", F.col("number").cast("long").alias("head"), F.col("commit_id").alias("_name"))
+    details = history.select(
+        "project_id", F.col("number").cast("long").alias("ancestor"), "commit_id", F.coalesce("merged", F.lit(True)).alias("merged"), "ref"
+    )
     return (
-        history.join(wanted, "project_id")
-        .filter((position > 0) & within(position, max_position))
-        .select(
-            "project_id",
-            "head",
-            position.alias("position"),
-            F.col("commit_id").alias("ancestor"),
-            F.coalesce("merged", F.lit(True)).alias("merged"),
-            "ref",
-        )
+        found.join(names, ["project_id", "head"])
+        .join(details, ["project_id", "ancestor"])
+        .select("project_id", F.col("_name").alias("head"), "position", F.col("commit_id").alias("ancestor"), "merged", "ref")
     )
 
 
+def branch_tips(history: DataFrame) -> DataFrame:
+    """Commits that are no commit's parent."""
+    parents = history.select("project_id", F.explode("parents").alias("commit_id"))
+    return history.select(*WAYPOINT).join(parents, list(WAYPOINT), "left_anti")
+
+
 def tags_not_seen(known: DataFrame, existing: DataFrame) -> DataFrame:
     """Known (waypoint, tag) pairs without those the waypoint already has."""
     return known.join(existing, [*WAYPOINT, "tag"], "left_anti")
@@ -60,31 +62,16 @@ def carryforward_candidates(waypoints: DataFrame, uploads: DataFrame, tag_settin
 def nearest_tag_commits(
     candidates: DataFrame, history: DataFrame, uploads: DataFrame, max_position: int | None = None, span: int = SPAN
 ) -> DataFrame:
-    """Per (waypoint, tag) the nearest ancestor that has the tag, however far back.
-
-    Commits that have a tag and commits that lack it form one line per (project, tag); the nearest is the last one
-    before that has it. Lines are cut into chunks of ``span`` commits, so a long one spreads over many tasks.
-    """
-    keys = ["project_id", "tag"]
-    numbers = history.select(*WAYPOINT, "number")
-    having = commit_tags(uploads).withColumn("_has", F.lit(True))
-    line = having.unionByName(candidates.select(*WAYPOINT, "tag").withColumn("_has", F.lit(False))).join(
-        numbers, list(WAYPOINT)
-    )
-    line = line.withColumn("_source", F.when(F.col("_has"), F.struct("number", "commit_id")))
-    line = carry(
-        with_chunk(line, F.col("number"), span),
-        keys,
-        {"_newest": F.max("_source")},
-        {"_earlier": F.last("_newest", True).over(earlier_chunks(keys))},
-    )
-    here = F.last("_source", True).over(chunk_window(keys, F.col("number")).rowsBetween(Window.unboundedPreceding, -1))
-    position = F.col("number") - F.col("_nearest.number")
-    return (
-        line.withColumn("_nearest", F.coalesce(here, "_earlier"))
-        .filter(~F.col("_has") & F.col("_nearest").isNotNull() & within(position, max_position))
-        .select(*WAYPOINT, "tag", F.col("_nearest.commit_id").alias("source_commit"), position.alias("position"))
-    )
+    """Per (waypoint, tag) the newest ancestor that has the tag, however far back; ``position`` is how far their numbers lie apart."""
+    marks = commit_tags(uploads).select(*WAYPOINT, F.col("tag").alias("kind"), F.lit(None).cast("string").alias("label"))
+    wanted = candidates.select(*WAYPOINT, F.col("tag").alias("kind"))
+    found = nearest_marked(history, marks, wanted, span)
+    return found.select(
+        *WAYPOINT,
+        F.col("kind").alias("tag"),
+        F.col("first_commit").alias("source_commit"),
+        (F.col("number") - F.col("first_number")).alias("position"),
+    ).filter(within(F.col("position"), max_position))
 
 
 def carryforward_tags(
@@ -103,38 +90,25 @@ def tag_union(own: DataFrame, carried: DataFrame) -> DataFrame:
     return own.unionByName(carried)
 
 
-def _ref_changes(history: DataFrame, span: int) -> DataFrame:
-    """Per commit its parent in the line, and the newest commit before that on another ref than the parent's."""
-    keys = ["project_id"]
-    order = chunk_window(keys, F.col("number"))
-    rows = with_chunk(history.withColumn("_commit", F.struct("number", "commit_id", "ref")), F.col("number"), span)
-    rows = carry(rows, keys, {"_last": F.max("_commit")}, {"_earlier": F.last("_last", True).over(earlier_chunks(keys))})
-    rows = rows.withColumn("parent", F.coalesce(F.lag("_commit").over(order), "_earlier")).drop("_earlier")
-    changed = F.col("parent").isNotNull() & ~F.col("ref").eqNullSafe(F.col("parent.ref"))
-    # Where the ref changes, the parent is the newest commit on another ref for the whole run that begins.
-    rows = rows.withColumn("_change", F.when(changed, F.col("parent")))
-    rows = carry(rows, keys, {"_last": F.max("_change")}, {"_earlier": F.last("_last", True).over(earlier_chunks(keys))})
-    here = F.last("_change", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select(*WAYPOINT, "number", "parent", F.coalesce(here, "_earlier").alias("other"))
-
-
 def base_commit_from_history(
     events: DataFrame, history: DataFrame, max_position: int | None = None, span: int = SPAN
 ) -> DataFrame:
-    """First ancestor on another ref than the head, however far back; only for events that name a base ref."""
-    heads = events.filter(F.col("base_ref").isNotNull()).select(
-        *WAYPOINT, F.col("ref").alias("head_ref"), "base_ref"
-    )
-    first = F.when(F.col("parent.ref").eqNullSafe(F.col("head_ref")), F.col("other")).otherwise(F.col("parent"))
+    """Newest ancestor on another ref than the head, however far back; only for events that name a base ref."""
+    heads = events.filter(F.col("base_ref").isNotNull()).select(*WAYPOINT, F.col("ref").alias("head_ref"), "base_ref")
+    every = F.lit("commit").alias("kind")
+    marks = history.select(*WAYPOINT, every, F.col("ref").alias("label"))
+    found = nearest_marked(history, marks, heads.select(*WAYPOINT, every).distinct(), span)
+    # If the newest ancestor is on the head's own ref, the newest one on another ref is the answer.
+    same = F.col("first_label").eqNullSafe(F.col("head_ref"))
+    picked = {
+        name: F.when(same, F.col(f"second_{field}")).otherwise(F.col(f"first_{field}"))
+        for name, field in (("_number", "number"), ("_commit", "commit"), ("_ref", "label"))
+    }
     return (
-        heads.join(_ref_changes(history, span), list(WAYPOINT))
-        .withColumn("first", first)
-        .filter(F.col("first").isNotNull() & within(F.col("number") - F.col("first.number"), max_position))
-        .select(
-            *WAYPOINT,
-            F.col("first.commit_id").alias("base_commit"),
-            F.coalesce("first.ref", "base_ref").alias("base_ref"),
-        )
+        heads.join(found, list(WAYPOINT))
+        .withColumns(picked)
+        .filter(F.col("_commit").isNotNull() & within(F.col("number") - F.col("_number"), max_position))
+        .select(*WAYPOINT, F.col("_commit").alias("base_commit"), F.coalesce("_ref", "base_ref").alias("base_ref"))
     )
 
 

@@ -7,7 +7,7 @@ gaps in the tags of a commit (for carry-forward), 20 gives well filled commits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitgrain.functions import lines as L
@@ -86,12 +86,32 @@ def ancestor_ref(number: Column) -> Column:
 
 
 def history(spark: SparkSession, directory: str, modulus: int = SPARSE) -> DataFrame:
-    """The line of commits of every project, one row per commit; ``number`` is its place."""
+    """The commit graph of every project; ``number`` is a commit's place in time.
+
+    Commits 7 to 9 of each ten form a feature branch that leaves the main line after its newest commit; the branches of
+    even tens are merged into the next commit of the main line.
+    """
     number = F.col("commit_no")
+    feature = number % 10 >= 7
+    earlier = Window.partitionBy("project_id").orderBy("commit_no").rowsBetween(Window.unboundedPreceding, -1)
+    main_before = F.max(F.when(~feature, number)).over(earlier)
+    feature_before = F.max(F.when(feature, number)).over(earlier)
+    branch = F.call_function("div", number, F.lit(10))
+    same_branch = feature & (F.call_function("div", feature_before, F.lit(10)) == branch)
+    merge = ~feature & (feature_before > F.coalesce(main_before, F.lit(-1))) & (
+        F.call_function("div", feature_before, F.lit(10)) % 2 == 0
+    )
+    parents = F.array_compact(
+        F.array(
+            F.when(same_branch, commit_name(feature_before)).otherwise(commit_name(main_before)),
+            F.when(merge, commit_name(feature_before)),
+        )
+    )
     return waypoints(spark, directory, modulus).select(
         "project_id",
         "commit_id",
         number.alias("number"),
+        parents.alias("parents"),
         F.when(number % 4 != 0, number % 2 == 0).alias("merged"),
         ancestor_ref(number).alias("ref"),
     )

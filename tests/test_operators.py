@@ -118,7 +118,46 @@ def test_rounding(spark):
 UPLOADS = (
     "upload_id string, project_id string, commit_id string, tag string, ingest_time timestamp_ntz, total_lines bigint"
 )
-HISTORY = "project_id string, commit_id string, number int, merged boolean, ref string"
+HISTORY = "project_id string, commit_id string, number int, merged boolean, ref string, parents array<string>"
+
+
+def chained(rows):
+    """Commits of one line: each has the one before it in its project as its parent."""
+    last, out = {}, []
+    for row in sorted(rows, key=lambda r: (r[0], r[2])):
+        out.append((*row, [last[row[0]]] if row[0] in last else []))
+        last[row[0]] = row[1]
+    return out
+
+
+def random_graph(rng, numbers):
+    """{number: parents}: mostly lines, with branches, merges, several roots, parents that are missing, and old parents."""
+    graph = {}
+    for i, n in enumerate(numbers):
+        before = numbers[:i]
+        near = [m for m in before if m >= n - 40]
+        count = rng.choice([0, 1, 1, 1, 1, 1, 2, 2, 3]) if before else 0
+        graph[n] = [rng.choice(near or before) if rng.random() < 0.9 else rng.choice(before) for _ in range(count)]
+    return graph
+
+
+def walked(graph, number):
+    """All ancestors, newest first."""
+    found, waiting = set(), list(graph[number])
+    while waiting:
+        n = waiting.pop()
+        if n not in found:
+            found.add(n)
+            waiting += graph[n]
+    return sorted(found, reverse=True)
+
+
+def graph_history(spark, graph, refs=None):
+    rows = [
+        ("p", f"c{n}", n, None if n % 3 else False, (refs or {}).get(n), [f"c{m}" for m in parents] + (["gone"] if n % 7 == 0 else []))
+        for n, parents in graph.items()
+    ]
+    return spark.createDataFrame(rows, HISTORY)
 
 
 def upload(number, commit, tag, lines=1):
@@ -131,7 +170,7 @@ def test_carryforward(spark):
          upload(5, "c900", "far"), upload(6, "c400", "near"), upload(7, "c2", "off")], UPLOADS,
     )
     line = [("p", "head", 2000, None, None)] + [("p", f"c{i}", 2000 - i, None, None) for i in range(1, 1001)]
-    history = spark.createDataFrame(line, HISTORY)
+    history = spark.createDataFrame(chained(line), HISTORY)
     heads = spark.createDataFrame([("p", "head")], "project_id string, commit_id string")
     rules = spark.createDataFrame([("p", None, True), ("p", "off", False)], "repository_id string, tag string, carryforward boolean")
     candidates = H.carryforward_candidates(heads, uploads, rules)
@@ -150,21 +189,21 @@ def test_carryforward(spark):
     assert sorted((r.commit_id, r.upload_id) for r in scope.collect()) == [("head", f"u{i}") for i in (1, 2, 3, 5, 6)]
 
 
-@pytest.mark.parametrize("span", [1, 7, 10_000])
+@pytest.mark.parametrize("span", [1, 7, 40, 10_000])
 def test_nearest_tags_random(spark, span):
     rng = random.Random(span)
-    numbers = sorted(rng.sample(range(300), 120))
+    numbers = sorted(rng.sample(range(-20, 280), 120))
+    graph = random_graph(rng, numbers)
     tags = {n: rng.sample("abcd", rng.choice([0, 0, 0, 1, 2])) for n in numbers}
-    history = spark.createDataFrame([("p", f"c{n}", n, None, None) for n in numbers], HISTORY)
     uploads = spark.createDataFrame([upload(n, f"c{n}", t) for n in numbers for t in tags[n]], UPLOADS)
-    lacking = [("p", f"c{n}", t) for n in numbers for t in "abcd" if t not in tags[n]]
+    lacking = [("p", f"c{n}", t) for n in numbers for t in "abcd" if t not in tags[n]] + [("p", "unknown", "a")]
     candidates = spark.createDataFrame(lacking, "project_id string, commit_id string, tag string")
     expected = set()
-    for _, commit, tag in lacking:
-        before = [m for m in numbers if m < int(commit[1:]) and tag in tags[m]]
+    for _, commit, tag in lacking[:-1]:
+        before = [m for m in walked(graph, int(commit[1:])) if tag in tags[m]]
         if before:
-            expected.add((commit, tag, f"c{before[-1]}", int(commit[1:]) - before[-1]))
-    got = H.nearest_tag_commits(candidates, history, uploads, span=span).collect()
+            expected.add((commit, tag, f"c{before[0]}", int(commit[1:]) - before[0]))
+    got = H.nearest_tag_commits(candidates, graph_history(spark, graph), uploads, span=span).collect()
     assert sorted((r.commit_id, r.tag, r.source_commit, r.position) for r in got) == sorted(expected)
 
 
@@ -172,24 +211,51 @@ def test_nearest_tags_random(spark, span):
 def test_base_from_history_random(spark, span):
     rng = random.Random(span + 1)
     numbers = sorted(rng.sample(range(400), 150))
-    refs, ref = {}, None
+    graph, refs, ref = random_graph(rng, numbers), {}, None
     for n in numbers:
         ref = rng.choice([ref, ref, ref, ref, "x", "y", None])
         refs[n] = ref
-    history = spark.createDataFrame([("p", f"c{n}", n, True, refs[n]) for n in numbers], HISTORY)
     heads = {n: rng.choice(["x", "y", "z"]) for n in numbers}
     events = spark.createDataFrame(
         [("p", f"c{n}", heads[n], "main") for n in numbers], "project_id string, commit_id string, ref string, base_ref string"
     )
     expected = {}
     for n in numbers:
-        other = [m for m in numbers if m < n and refs[m] != heads[n]]
+        other = [m for m in walked(graph, n) if refs[m] != heads[n]]
         if other:
-            expected[f"c{n}"] = (f"c{other[-1]}", refs[other[-1]] or "main")
-    got = H.base_commit_from_history(events, history, span=span).collect()
+            expected[f"c{n}"] = (f"c{other[0]}", refs[other[0]] or "main")
+    got = H.base_commit_from_history(events, graph_history(spark, graph, refs), span=span).collect()
     assert {r.commit_id: (r.base_commit, r.base_ref) for r in got} == expected
 
 
+@pytest.mark.parametrize("span", [1, 30, 10_000])
+def test_ancestors_random(spark, span):
+    rng = random.Random(span + 2)
+    numbers = sorted(rng.sample(range(300), 100))
+    graph = random_graph(rng, numbers)
+    history = graph_history(spark, graph)
+    heads = rng.sample(numbers, 30)
+    asked = spark.createDataFrame([("p", f"c{n}") for n in heads] + [("q", "c1")], "project_id string, commit_id string")
+    got = H.commit_ancestors(history, asked, span=span).collect()
+    expected = [(f"c{n}", i, f"c{m}", m % 3 != 0) for n in heads for i, m in enumerate(walked(graph, n), 1)]
+    assert sorted((r.head, r.position, r.ancestor, r.merged) for r in got) == sorted(expected)
+    limited = H.commit_ancestors(history, asked, 3, span).collect()
+    assert sorted((r.head, r.ancestor) for r in limited) == sorted((h, a) for h, i, a, _ in expected if i <= 3)
+    used = {m for parents in graph.values() for m in parents}
+    assert {r.commit_id for r in H.branch_tips(history).collect()} == {f"c{n}" for n in numbers if n not in used}
+
+
+def test_tags_of_other_branches_are_not_carried(spark):
+    """Of two branches from one commit, neither takes the other's tag until it is merged."""
+    rows = [("root", 1, []), ("left", 2, ["root"]), ("right", 3, ["root"]), ("merge", 4, ["right", "left"])]
+    history = spark.createDataFrame([("p", c, n, True, None, parents) for c, n, parents in rows], HISTORY)
+    uploads = spark.createDataFrame([upload(1, "root", "unit"), upload(2, "left", "unit")], UPLOADS)
+    candidates = spark.createDataFrame([("p", "right", "unit"), ("p", "merge", "unit")], "project_id string, commit_id string, tag string")
+    got = H.nearest_tag_commits(candidates, history, uploads).collect()
+    assert {r.commit_id: r.source_commit for r in got} == {"right": "root", "merge": "left"}
+    assert H.nearest_tag_commits(candidates.limit(0), history.limit(0), uploads).count() == 0
+
+
 def test_base_commit(spark):
     schema = (
         "project_id string, commit_id string, ref string, base_ref string, base_commit string, pull_request bigint,"
@@ -206,7 +272,7 @@ def test_base_commit(spark):
     )
     rows = [("p", "h0", 0, True, None), ("p", "far", 700, True, "feature"), ("q", "alone", 1, True, "feature")]
     rows += [("p", f"h{i}", i, True, "feature") for i in range(1, 700)]
-    history = spark.createDataFrame(rows, HISTORY)
+    history = spark.createDataFrame(chained(rows), HISTORY)
     got = {r.commit_id: (r.source, r.base_commit, r.base_ref) for r in H.base_commit(events, history).collect()}
     assert got == {
         "far": ("history", "h0", "main"),
