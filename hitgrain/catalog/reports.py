@@ -9,14 +9,17 @@ from hitgrain.catalog import Query
 from hitgrain.catalog import sql as S
 from hitgrain.catalog.coverage import FLAGS, W, diff_states, text
 from hitgrain.catalog.scoping import commits, sparse, whole_scope
+from hitgrain.functions import lines as L
 from hitgrain.functions.events import message_group_hash
 from hitgrain.operators import comments as K
 from hitgrain.operators import history as H
 from hitgrain.operators import messages as M
-from hitgrain.operators import uploads
+from hitgrain.operators import sinks, uploads
 from hitgrain.plans import reports as R
+from hitgrain.plans.reports import report_scope
 from hitgrain.session import stage_table, work_dir
 from hitgrain.sources import bind
+from hitgrain.sources.stored import stored_lines, stored_uploads
 
 
 def report(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +27,26 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     return R.coverage_report(commits(spark, d), scope, bind.lines(spark, d))
 
 
+def store_rows(spark: SparkSession, d: str, root: str) -> None:
+    """All lines and uploads in their stored form, through the sinks."""
+    up = sparse(spark, d, sizes=True)
+    metadata = L.encode_metadata(F.col("type"), F.col("line_number"), F.col("hits"), F.col("branch_json"), F.lit("m"))
+    rows = bind.lines(spark, d).select("upload_id", "file_name", "line_number", "type", metadata.alias("metadata"))
+    # In months, which keeps the folders of seven years few.
+    month = F.date_trunc("month", F.col("ingest_time").cast("timestamp")).cast("timestamp_ntz")
+    up = up.withColumn("ingest_time", month)
+    sinks.write_ingest(rows.join(up.select("upload_id", "ingest_time"), "upload_id"), up.drop("commit_no"), f"{root}/lines", f"{root}/uploads")
+
+
+def q_stored_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report from what the sinks stored, by days in scope."""
+    root = work_dir(spark, "stored")
+    store_rows(spark, d, root)
+    up = stored_uploads(spark, f"{root}/uploads")
+    scope = stage_table(report_scope(commits(spark, d), up, bind.history(spark, d), bind.tag_settings(spark, d)), "scope")
+    return R.coverage_report(commits(spark, d), scope, stored_lines(spark, f"{root}/lines"))
+
+
 def bases(spark: SparkSession, d: str) -> DataFrame:
     return H.base_commit(bind.finalised_events(spark, d), bind.history(spark, d))
 
@@ -157,6 +180,7 @@ def q_line_comments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "report_size": lambda s, d: uploads.report_size(whole_scope(s, d, sizes=True), commits(s, d)),
     "coverage_report": report,
+    "stored_coverage_report": q_stored_report,
     "file_report": q_file_report,
     "tag_report": q_tag_report,
     "diff_coverage": lambda s, d: R.diff_coverage(commits(s, d), sparse_diff_states(s, d)),
@@ -271,6 +295,9 @@ ORACLES: dict[str, str] = {
     "coverage_report": S.query(
         """select project_id, commit_id, uploads, size, lines, at_least_partial, uncovered, coverage_percentage from report"""
     ),
+    "stored_coverage_report": S.query(
+        """select project_id, commit_id, uploads, size, lines, at_least_partial, uncovered, coverage_percentage from report"""
+    ),
     "file_report": S.query(
         f"""select project_id, commit_id, file_name, string_agg(cast(line_number as varchar), ',' order by line_number) as lines,
         {_numbers('covered')} as covered_lines, {_numbers('partial')} as partial_lines,

@@ -13,16 +13,34 @@ WAYPOINT = ("project_id", "commit_id")
 FLAGS = ("contains_method", "contains_branch", "contains_statement")
 
 
+DAY = "ingest_date"
+# Before all days. Spark prunes partitions at run time only by a side that a comparison limits.
+NO_DAY = "0001-01-01"
+
+
+def lines_of_days(lines: DataFrame, days: DataFrame) -> DataFrame:
+    """Lines of the wanted ingest days; on a table partitioned by day other folders are not read.
+
+    The days are handed to every task: there is at most one row per day of the calendar, however large the tables are.
+    """
+    wanted = days.select(DAY).filter(F.col(DAY) >= F.lit(NO_DAY).cast("date")).distinct()
+    return lines.join(F.broadcast(wanted), DAY, "left_semi")
+
+
 def join_upload_lines(scope: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines of the uploads in scope, with type flags.
 
     ``scope`` has one row per (waypoint, upload). No broadcast hint: Spark
-    broadcasts the scope when its measured size allows and shuffles otherwise.
+    broadcasts the scope when its measured size allows and shuffles otherwise. Where both sides know the ingest day,
+    only days of the scope are read.
     """
+    dated = DAY in scope.columns and DAY in lines.columns
+    if dated:
+        lines = lines_of_days(lines, scope)
     flagged = lines.select(
-        "upload_id", "file_name", "line_number", *L.flag_line_types(F.col("type")), "hits", "branch_hits"
+        "upload_id", "file_name", "line_number", *L.flag_line_types(F.col("type")), "hits", "branch_hits", *([DAY] if dated else [])
     )
-    return scope.join(flagged, "upload_id")
+    return scope.join(flagged, ["upload_id", *([DAY] if dated else [])])
 
 
 def explode_branches(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitgrain.operators.coverage import WAYPOINT
+from hitgrain.operators.coverage import WAYPOINT, lines_of_days
 
 SCOPE = ("project_id", "commit_id", "upload_id", "tag", "total_lines", "source_commit", "ingest_date")
 
@@ -48,7 +48,7 @@ def scope_uploads_or_carryforward(uploads: DataFrame, waypoints: DataFrame, carr
 
 def scope_partitions(lines: DataFrame, dates: DataFrame) -> DataFrame:
     """Lines of the wanted ingest days. On a table partitioned by day this prunes folders at run time."""
-    return lines.join(dates.select("ingest_date").distinct(), "ingest_date", "left_semi")
+    return lines_of_days(lines, dates)
 
 
 def partition_union(own: DataFrame, carried: DataFrame) -> DataFrame:

@@ -30,9 +30,10 @@ def report_scope(
 def coverage_report(waypoints: DataFrame, scope: DataFrame, lines: DataFrame) -> DataFrame:
     """The numbers of a report in one row per waypoint; zeros when nothing is in scope.
 
-    ``scope`` is the output of ``report_scope``. All line totals come from one aggregate.
+    ``scope`` is the output of ``report_scope``, ``lines`` any typed lines; of ``stored_lines`` only the days in scope
+    are read. All line totals come from one aggregate.
     """
-    states = C.line_coverage(C.join_upload_lines(scope.select(*W, "upload_id"), lines))
+    states = C.line_coverage(C.join_upload_lines(scope.select(*W, "upload_id", "ingest_date"), lines))
     totals = C.summed_states(states, WAYPOINT)
     own = F.count_if(F.col("source_commit") == F.col("commit_id"))
     sizes = scope.groupBy(*W).agg(own.alias("uploads"), F.sum("total_lines").alias("size"))
@@ -47,11 +48,11 @@ def coverage_report(waypoints: DataFrame, scope: DataFrame, lines: DataFrame) ->
 
 
 def scoped_lines(scope: DataFrame, lines: DataFrame) -> DataFrame:
-    return C.join_upload_lines(scope.drop("ingest_date"), lines)
+    return C.join_upload_lines(scope, lines)
 
 
 def file_report(scope: DataFrame, lines: DataFrame) -> DataFrame:
-    return C.file_coverage(C.line_coverage(C.join_upload_lines(scope.select(*W, "upload_id"), lines)))
+    return C.file_coverage(C.line_coverage(C.join_upload_lines(scope.select(*W, "upload_id", "ingest_date"), lines)))
 
 
 def tag_report(scope: DataFrame, lines: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def diff_line_coverage(
     waypoints: DataFrame, uploads: DataFrame, lines: DataFrame, diff: DataFrame
 ) -> DataFrame:
     """Line states of the added lines, from the commit's own uploads only."""
-    own = S.scope_uploads(uploads, waypoints).select(*W, "upload_id")
+    own = S.scope_uploads(uploads, waypoints).select(*W, "upload_id", "ingest_date")
     return C.line_coverage(S.scope_diff_lines(C.join_upload_lines(own, lines), diff))
 
 

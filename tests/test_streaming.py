@@ -6,8 +6,13 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from hitgrain.functions import lines as L
 from hitgrain.operators import orchestration as O
+from hitgrain.operators.scope import scope_uploads
+from hitgrain.operators.sinks import sink_line_coverage
+from hitgrain.session import stage_table
 from hitgrain.sources import bind
+from hitgrain.sources.stored import stored_lines, stored_uploads
 from hitgrain.streaming.jobs import coverage_stream, ingest_stream
 from hitgrain.streaming.orchestrator import orchestrate
 from hitgrain.plans.reports import coverage_report, report_scope
@@ -91,6 +96,45 @@ FILES = {
 }
 
 
+HISTORY = "project_id string, commit_id string, number int, merged boolean, ref string, parents array<string>"
+
+
+def scans_of(plan, found):
+    """File scans below a physical plan, through adaptive stages and subqueries of the exchange."""
+    name = plan.getClass().getSimpleName()
+    if name == "FileSourceScanExec":
+        found.append(plan)
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+    if not inner:
+        children = plan.children()
+        inner = [children.apply(i) for i in range(children.size())]
+    for child in inner:
+        scans_of(child, found)
+    return found
+
+
+def test_reports_read_only_days_in_scope(spark, tmp_path):
+    """Of a line table with many days a report reads the folders of the days on which its uploads came in."""
+    days = [f"2024-01-{day:02}" for day in range(1, 21)]
+    uploads = spark.createDataFrame(
+        [(f"u{i}", "p", f"c{i}", "unit", day, 3) for i, day in enumerate(days)], "upload_id string, project_id string, commit_id string, tag string, day string, total_lines long"
+    ).withColumn("ingest_time", F.to_timestamp_ntz("day"))
+    rows = uploads.select("upload_id", "ingest_time", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line_number"))
+    metadata = L.encode_metadata(F.lit("STATEMENT"), F.col("line_number"), F.col("line_number") - 1, F.lit(None), F.lit("m"))
+    rows = rows.select("*", F.lit("a.py").alias("file_name"), F.lit("STATEMENT").alias("type"), metadata.alias("metadata"))
+    sink_line_coverage(rows, str(tmp_path / "lines"))
+    waypoints = uploads.filter(F.col("commit_id").isin("c3", "c7")).select("project_id", "commit_id")
+    scope = stage_table(scope_uploads(uploads, waypoints), "scope")
+    report = coverage_report(waypoints, scope, stored_lines(spark, str(tmp_path / "lines")))
+    assert sorted((r.commit_id, r.lines, r.at_least_partial, r.uncovered) for r in report.collect()) == [("c3", 3, 2, 1), ("c7", 3, 2, 1)]
+    plan = report._jdf.queryExecution().executedPlan()
+    assert "dynamicpruning" in plan.toString()
+    lines = [s for s in scans_of(plan, []) if "ingest_date" in s.relation().partitionSchema().simpleString()]
+    assert [s.metrics().apply("numPartitions").value() for s in lines] == [2]
+    assert [s.metrics().apply("numOutputRows").value() for s in lines] == [6]
+    assert "metadata" in lines[0].requiredSchema().simpleString() and "ingest_time" not in lines[0].requiredSchema().simpleString()
+
+
 def test_ingest_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -126,6 +170,14 @@ def test_ingest_stream(spark, tmp_path):
     uploads = {r.upload_id: (r.total_lines, r.generated_at) for r in spark.read.parquet(str(tmp_path / "out/uploads")).collect()}
     assert {k: v[0] for k, v in uploads.items()} == {"lcov.info": 3, "cover.out": 2, "clover.xml": 2}
     assert str(uploads["clover.xml"][1]) == "2023-04-16 14:58:29"
+    # From what was stored to a report.
+    stored = stored_uploads(spark, str(tmp_path / "out/uploads"))
+    waypoints = stored.select("project_id", "commit_id").distinct()
+    history = spark.createDataFrame([("p", "c1", 1, True, "main", ["c0"])], HISTORY)
+    rules = spark.createDataFrame([], "repository_id string, tag string, carryforward boolean")
+    scope = report_scope(waypoints, stored, history, rules)
+    (report,) = coverage_report(waypoints, scope, stored_lines(spark, str(tmp_path / "out/lines"))).collect()
+    assert (report.uploads, report.size, report.lines, report.at_least_partial, report.uncovered) == (3, 7, 6, 6, 0)
     lines = spark.read.parquet(str(tmp_path / "out/lines"))
     got = sorted(
         (r.upload_id, r.file_name, r.type, r.line_number, dict((m.key, m.value) for m in r.metadata)["lineHits"])
