@@ -122,9 +122,9 @@ QUERIES: dict[str, Query] = {
     ),
     "line_coverage": lambda s, d: states(s, d).select(*STATE_COLUMNS),
     "order_lines": lambda s, d: C.order_lines(states(s, d)).select(*W, "file_name", "line_number", "state"),
-    "classify_line_state": lambda s, d: states(s, d)
-    .groupBy(*FLAGS, "total_branches", "covered_branches", "state")
-    .agg(F.count(F.lit(1)).alias("n")),
+    "classify_line_state": lambda s, d: states(s, d).select(
+        *W, "file_name", "line_number", *FLAGS, "total_branches", "covered_branches", "state"
+    ),
     "line_type_set": lambda s, d: states(s, d).select(
         *W, "file_name", "line_number", text(L.line_type_set(*[F.col(f) for f in FLAGS])).alias("types")
     ),
@@ -133,8 +133,8 @@ QUERIES: dict[str, Query] = {
     "least_covered_files": lambda s, d: C.least_covered_files(states(s, d), 10).select(
         *W, "file_name", "coverage_percentage", "rank"
     ),
-    "ordered_array_aggregation": lambda s, d: C.file_coverage(states(s, d), limit=3).select(
-        *W, "file_name", text("uncovered_lines").alias("uncovered_lines")
+    "ordered_array_aggregation": lambda s, d: C.file_coverage(states(s, d)).select(
+        *W, "file_name", *[text(c).alias(c) for c in ("lines", "covered_lines", "partial_lines", "uncovered_lines")]
     ),
     "tag_coverage": q_tag_coverage,
     "order_tags": lambda s, d: C.order_tags(C.tag_coverage(joined(s, d, sizes=True))).select(
@@ -205,7 +205,7 @@ ORACLES: dict[str, str] = {
         "select project_id, commit_id, file_name, line_number, state from line_state order by 1, 2, 3, 4"
     ),
     "classify_line_state": S.query(
-        f"select {_FLAGS}, total_branches, covered_branches, state, count(*) as n from line_state group by all"
+        f"select project_id, commit_id, file_name, line_number, {_FLAGS}, total_branches, covered_branches, state from line_state"
     ),
     "line_type_set": S.query(
         """select project_id, commit_id, file_name, line_number,
@@ -230,10 +230,9 @@ ORACLES: dict[str, str] = {
         from ({_RANKED}) where rank <= 10"""
     ),
     "ordered_array_aggregation": S.query(
-        f"""select t.project_id, t.commit_id, t.file_name, {_numbers('uncovered')} as uncovered_lines
-        from line_state t join (select * from ({_RANKED}) where rank <= 3) r
-          on r.project_id = t.project_id and r.commit_id = t.commit_id and r.file_name = t.file_name
-        group by t.project_id, t.commit_id, t.file_name"""
+        f"""select project_id, commit_id, file_name, string_agg(cast(line_number as varchar), ',' order by line_number) as lines,
+          {_numbers('covered')} as covered_lines, {_numbers('partial')} as partial_lines, {_numbers('uncovered')} as uncovered_lines
+        from line_state group by project_id, commit_id, file_name"""
     ),
     "tag_coverage": S.query(_TAG_TOTALS),
     "order_tags": S.query(

@@ -152,7 +152,7 @@ S.BLOCKS["screened"] = screen_sql("job_event")
 S.BLOCKS["recorded"] = "select * from screened where dropped is null"
 S.BLOCKS["job_state"] = """
   select repository_id, commit_id, identifier, arg_max(kind, event_id) as kind, arg_max(state, event_id) as state,
-    max(event_time) as event_time
+    max(event_time) as event_time, max(stored_time) as stored_time
   from recorded group by repository_id, commit_id, identifier"""
 S.BLOCKS["final_event"] = """
   select * replace (case when event_id % 4 = 1 then 'FINALISED' else kind end as kind) from job_event"""
@@ -210,7 +210,7 @@ ORACLES: dict[str, str] = {
           and o.identifier <> s.identifier and o.state = 'IN_PROGRESS') as others_ongoing from job_state s"""
     ),
     "newer_event_recorded": S.query(
-        f"""select {_ID}, row_number() over (partition by repository_id, commit_id order by event_time desc, identifier) > 1 as newer
+        f"""select {_ID}, row_number() over (partition by repository_id, commit_id order by epoch(date_trunc('second', stored_time)) desc, identifier) > 1 as newer
         from job_state"""
     ),
     "already_finalised": S.query(

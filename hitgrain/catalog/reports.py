@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hitgrain.catalog import Query
 from hitgrain.catalog import sql as S
-from hitgrain.catalog.coverage import FLAGS, W, diff_states, text
+from hitgrain.catalog.coverage import FLAGS, W, diff_states, states, text
 from hitgrain.catalog.scoping import commits, sparse, whole_scope
 from hitgrain.functions import lines as L
 from hitgrain.functions.events import message_group_hash
@@ -113,10 +113,10 @@ def q_pull_request_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ref_results(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of each finalised commit with its ref; the commit number orders them in time."""
+    """Total coverage of each finalised commit with its ref; the commit number orders them in time."""
     events = bind.finalised_events(spark, d, bind.DENSE)
     numbers = bind.waypoints(spark, d)
-    totals = R.C.total_coverage(diff_states(spark, d), numbers)
+    totals = R.C.total_coverage(states(spark, d), numbers)
     return (
         events.select(*W, "ref")
         .join(numbers, W)
@@ -280,7 +280,7 @@ _REF_ROWS = f"""
       as coverage_percentage
   from finalised_event_dense e
   join waypoint w on w.project_id = e.project_id and w.commit_id = e.commit_id
-  left join (select project_id, commit_id, {S.COUNTS} from diff_state group by project_id, commit_id) t
+  left join (select project_id, commit_id, {S.COUNTS} from line_state group by project_id, commit_id) t
     on t.project_id = e.project_id and t.commit_id = e.commit_id"""
 S.BLOCKS["ref_row"] = _REF_ROWS
 S.BLOCKS["ref_latest"] = """

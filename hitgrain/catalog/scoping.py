@@ -53,9 +53,9 @@ def q_scope_partitions(spark: SparkSession, d: str) -> DataFrame:
         .filter(F.col("o_orderstatus") == "O")
         .select(F.to_date("o_orderdate").alias("ingest_date"))
     )
-    return scope.scope_partitions(rows, days).groupBy("ingest_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits")
-    ).select(F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_date"), "n", "hits")
+    return scope.scope_partitions(rows, days).select(
+        F.date_format("ingest_date", "yyyy-MM-dd").alias("ingest_date"), "upload_id", "file_name", "line_number", "type", "hits"
+    )
 
 
 def q_partition_union(spark: SparkSession, d: str) -> DataFrame:
@@ -103,9 +103,7 @@ QUERIES: dict[str, Query] = {
     ).select(*SCOPE_COLUMNS),
     "scope_union": lambda s, d: scope.scope_union(
         scope.scope_uploads(sparse(s, d), commits(s, d)), scope.scope_carryforward(sparse(s, d), nearest(s, d))
-    )
-    .groupBy(*W)
-    .agg(F.count(F.lit(1)).alias("uploads")),
+    ).select(*SCOPE_COLUMNS),
     "scope_partitions": q_scope_partitions,
     "partition_union": q_partition_union,
     "scope_diff_lines": lambda s, d: scope.scope_diff_lines(joined(s, d), bind.diff(s, d)).select(
@@ -156,13 +154,12 @@ ORACLES: dict[str, str] = {
     ),
     "scope_uploads_or_carryforward": S.query(f"select {_SCOPE} from scope_sparse"),
     "scope_union": S.query(
-        "select project_id, commit_id, count(*) as uploads from scope_sparse group by project_id, commit_id"
+        f"select {_SCOPE} from scope_sparse"
     ),
     "scope_partitions": S.query(
-        """select strftime(u.ingest_time, '%Y-%m-%d') as ingest_date, count(*) as n, cast(sum(l.hits) as bigint) as hits
+        """select strftime(u.ingest_time, '%Y-%m-%d') as ingest_date, l.upload_id, l.file_name, l.line_number, l.type, l.hits
         from line_cov l join upload u on u.upload_id = l.upload_id
-        where cast(u.ingest_time as date) in (select cast(o_orderdate as date) from orders where o_orderstatus = 'O')
-        group by 1"""
+        where cast(u.ingest_time as date) in (select cast(o_orderdate as date) from orders where o_orderstatus = 'O')"""
     ),
     "partition_union": S.query(
         """select distinct project_id, commit_id, strftime(ingest_date, '%Y-%m-%d') as ingest_date from scope_sparse"""

@@ -103,7 +103,7 @@ BLOCKS["job_event"] = """
     case event_type when 'error' then 'FAILURE' when 'view' then 'IN_PROGRESS' when 'signup' then 'IN_PROGRESS'
       else 'SUCCESS' end as state,
     ts - to_seconds(case when event_id % 7 = 3 then cast(event_id % 3600 as integer) else 0 end) as event_time,
-    event_id
+    event_id, ts as stored_time
   from events"""
 
 

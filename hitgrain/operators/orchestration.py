@@ -1,7 +1,7 @@
 """CI event states of commits, in batch form.
 
 Events are (repository_id, commit_id, identifier, kind, state, event_time,
-event_id); ``event_id`` is the order of arrival. The streaming form of the same
+event_id, stored_time); ``event_id`` is the order of arrival and ``stored_time`` when an event arrived. The streaming form of the same
 rules is in ``hitgrain.streaming.orchestrator``.
 """
 
@@ -95,9 +95,10 @@ def recorded_events(events: DataFrame, span: int = EVENT_SPAN) -> DataFrame:
 
 
 def latest_states(recorded: DataFrame) -> DataFrame:
-    """Current state of every job, upload and finalisation of a commit."""
+    """Current state of every job, upload and finalisation of a commit, and when its last change was stored."""
     latest = F.max_by(F.struct("kind", "state", "event_time"), F.struct("event_time", "event_id"))
-    return recorded.groupBy(*IDENTITY).agg(latest.alias("latest")).select(*IDENTITY, "latest.*")
+    stored = F.max("stored_time").alias("stored_time")
+    return recorded.groupBy(*IDENTITY).agg(latest.alias("latest"), stored).select(*IDENTITY, "latest.*", "stored_time")
 
 
 def event_state_changes(recorded: DataFrame, span: int = EVENT_SPAN) -> DataFrame:
@@ -186,8 +187,11 @@ def ongoing_events(states: DataFrame) -> DataFrame:
 
 
 def newer_event_recorded(states: DataFrame) -> DataFrame:
-    """Per identifier, whether the commit's latest change belongs to another event."""
-    age = -F.unix_micros(F.col("event_time").cast("timestamp"))
+    """Per identifier, whether the change of the commit that was stored last belongs to another event.
+
+    Stored times count in whole seconds, whatever the events' own times say; of changes in the same second the smallest identifier's counts.
+    """
+    age = -F.unix_seconds(F.col("stored_time").cast("timestamp"))
     newest = states.groupBy(*COMMIT).agg(F.min(F.struct(age.alias("age"), "identifier")).alias("newest"))
     return states.join(newest, COMMIT).select(*IDENTITY, (F.col("identifier") != F.col("newest.identifier")).alias("newer"))
 

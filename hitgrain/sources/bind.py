@@ -202,4 +202,5 @@ def job_events(spark: SparkSession, directory: str) -> DataFrame:
         state.alias("state"),
         (F.col("ts") - F.make_dt_interval(secs=shift)).alias("event_time"),
         "event_id",
+        F.col("ts").alias("stored_time"),
     )

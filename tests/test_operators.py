@@ -325,7 +325,7 @@ def screen_model(events):
 def test_event_screening(spark, span):
     events = list(random_events(span))
     verdicts, states = screen_model(events)
-    df = spark.createDataFrame(events, EVENTS)
+    df = spark.createDataFrame(events, EVENTS).withColumn("stored_time", F.col("event_time"))
     screened = O.screen_events(df, span)
     assert {r.event_id: r.dropped for r in screened.collect()} == verdicts
     recorded = O.recorded_events(df, span)
@@ -353,6 +353,18 @@ def finalised_model(recorded, quiet):
     return out
 
 
+def test_newer_event_by_stored_time(spark):
+    """What arrived last counts, not what happened last; within a second the smallest identifier."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("r", "c", "a", 100, 5.0), ("r", "c", "b", 10, 9.0), ("r", "d", "y", 1, 3.9), ("r", "d", "x", 50, 3.1), ("r", "e", "z", 1, 1.0)]
+    states = spark.createDataFrame(
+        [(r, c, i, at(happened), at(stored)) for r, c, i, happened, stored in rows],
+        "repository_id string, commit_id string, identifier string, event_time timestamp_ntz, stored_time timestamp_ntz",
+    )
+    got = {(r.commit_id, r.identifier): r.newer for r in O.newer_event_recorded(states).collect()}
+    assert got == {("c", "a"): True, ("c", "b"): False, ("d", "x"): False, ("d", "y"): True, ("e", "z"): False}
+
+
 @pytest.mark.parametrize("span", [20, 86_400])
 def test_uploads_finalised(spark, span):
     start = datetime.datetime(2024, 1, 1)
