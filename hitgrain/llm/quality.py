@@ -356,7 +356,8 @@ def judge_quality(
     trusted = trusted_ids(labels.select("doc_id", "quality")).withColumnRenamed("doc_id", "_id")
     vouched = rows.select(F.col(ROW)[doc_id].alias("_id"), own_lang.alias("lang"), body.alias("text"))
     trusted = stage_table(trusted, "lm-trusted-ids")
-    vouched = maybe_trusted(vouched, trusted).join(trusted, "_id", "left_semi")
+    # Trusted identifiers are distinct. A semi join would be moved below the bitmap and would shuffle all texts.
+    vouched = maybe_trusted(vouched, trusted).join(trusted, "_id")
     vouched = stage_table(vouched.select("lang", "text"), "lm-trusted")
     model = train_model(vouched.withColumn("half", half(F.col("text"))))
     shared = small_model(model, small)
