@@ -123,7 +123,9 @@ QUERIES: dict[str, Query] = {
     "ongoing_events": lambda s, d: O.ongoing_events(states(s, d)),
     "newer_event_recorded": lambda s, d: O.newer_event_recorded(states(s, d)),
     "already_finalised": q_already_finalised,
-    "uploads_finalised": lambda s, d: O.uploads_finalised(recorded(s, d), QUIET).select(*O.COMMIT, stamp("event_time")),
+    "uploads_finalised": lambda s, d: O.uploads_finalised(recorded(s, d), QUIET).select(
+        *O.COMMIT, stamp("event_time"), stamp("stored_time")
+    ),
     "finalise_outcome": q_finalise_outcome,
     "state_ttl": q_state_ttl,
 }
@@ -170,8 +172,23 @@ S.BLOCKS["state_change"] = """
   select repository_id, commit_id, identifier, row_number() over (partition by identifier order by event_id) as version,
     case when was_state is null then kind end as changed_type,
     case when state is distinct from was_state then state end as changed_state,
-    case when event_time is distinct from was_time then time_text end as changed_eventtime
+    case when event_time is distinct from was_time then time_text end as changed_eventtime, event_time, stored_time
   from state_step where state is distinct from was_state or event_time is distinct from was_time"""
+S.BLOCKS["finalised_moment"] = """
+  select * from (
+    select *, max(case when complete then stored_time end) over (partition by repository_id, commit_id
+        order by stored_time, event_id rows between unbounded preceding and 1 preceding) as previous,
+      max(case when kind = 'INGESTION' and state <> 'IN_PROGRESS' then stored_time end) over (
+        partition by repository_id, commit_id order by stored_time, event_id rows unbounded preceding) as ingested
+    from (
+      select *, (case when kind = 'INGESTION' then state <> 'IN_PROGRESS' else state = 'SUCCESS' end)
+        and sum(step) over (partition by repository_id, commit_id order by stored_time, event_id rows unbounded preceding) = 0
+        and coalesce(lead(stored_time) over (partition by repository_id, commit_id order by stored_time, event_id)
+          - stored_time >= interval 30 minutes, true) as complete
+      from (
+        select *, cast(state = 'IN_PROGRESS' as integer) - coalesce(lag(cast(state = 'IN_PROGRESS' as integer))
+          over (partition by identifier order by stored_time, event_id), 0) as step from recorded)))
+  where complete and (previous is null or ingested > previous)"""
 _STAMP = "strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') as event_time"
 
 ORACLES: dict[str, str] = {
@@ -224,20 +241,7 @@ ORACLES: dict[str, str] = {
           from final_state group by repository_id, commit_id)"""
     ),
     "uploads_finalised": S.query(
-        """select repository_id, commit_id, strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') as event_time from (
-          select *, max(case when complete then event_time end) over (partition by repository_id, commit_id
-              order by event_time, event_id rows between unbounded preceding and 1 preceding) as previous,
-            max(case when kind = 'INGESTION' and state <> 'IN_PROGRESS' then event_time end) over (
-              partition by repository_id, commit_id order by event_time, event_id rows unbounded preceding) as ingested
-          from (
-            select *, (case when kind = 'INGESTION' then state <> 'IN_PROGRESS' else state = 'SUCCESS' end)
-              and sum(step) over (partition by repository_id, commit_id order by event_time, event_id rows unbounded preceding) = 0
-              and coalesce(lead(event_time) over (partition by repository_id, commit_id order by event_time, event_id)
-                - event_time >= interval 30 minutes, true) as complete
-            from (
-              select *, cast(state = 'IN_PROGRESS' as integer) - coalesce(lag(cast(state = 'IN_PROGRESS' as integer))
-                over (partition by identifier order by event_time, event_id), 0) as step from recorded)))
-        where complete and (previous is null or ingested > previous)"""
+        f"select repository_id, commit_id, {_STAMP}, {_STAMP.replace('event_time', 'stored_time')} from finalised_moment"
     ),
     "finalise_outcome": S.query(
         """select repository_id, commit_id, arg_max(case event_type when 'purchase' then 'SUCCESS' else 'FAILURE' end,

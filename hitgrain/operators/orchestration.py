@@ -1,7 +1,7 @@
 """CI event states of commits, in batch form.
 
 Events are (repository_id, commit_id, identifier, kind, state, event_time,
-event_id, stored_time); ``event_id`` is the order of arrival and ``stored_time`` when an event arrived. The streaming form of the same
+event_id, stored_time); ``event_id`` is the order of arrival and ``stored_time`` when an event arrived, which rises with it. The streaming form of the same
 rules is in ``hitgrain.streaming.orchestrator``.
 """
 
@@ -101,22 +101,28 @@ def latest_states(recorded: DataFrame) -> DataFrame:
     return recorded.groupBy(*IDENTITY).agg(latest.alias("latest"), stored).select(*IDENTITY, "latest.*", "stored_time")
 
 
-def event_state_changes(recorded: DataFrame, span: int = EVENT_SPAN) -> DataFrame:
+def event_fields() -> dict[str, Column]:
+    """The versioned fields of an event, as texts."""
+    time = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return {"type": F.col("kind"), "state": F.col("state"), "eventTime": time}
+
+
+def event_state_changes(
+    recorded: DataFrame, span: int = EVENT_SPAN, fields: dict[str, Column] | None = None
+) -> DataFrame:
     """Versioned differences between the recorded states of each identifier.
 
     The first version holds all fields, later ones the fields that changed;
-    an event that changes nothing makes no version. Values of different
-    fields never coincide in these events, so comparing per field and
-    comparing values alone give the same changes.
+    an event that changes nothing makes no version. Fields are compared one by one. Where the values of
+    different fields never coincide, as those of ``event_fields``, this is what comparing values alone gives;
+    the stream compares values.
     """
-    names = ("type", "state", "eventTime")
-    fields = F.struct(
-        F.col("kind").alias("type"), "state", F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("eventTime")
-    )
+    columns = fields or event_fields()
+    names = list(columns)
     order, earlier = chunk_window(IDENTITY, F.col("event_id")), earlier_chunks(IDENTITY)
     local = (
         with_chunk(recorded, F.col("event_id"), span)
-        .withColumn("now", fields)
+        .withColumn("now", F.struct(*[c.alias(name) for name, c in columns.items()]))
         .withColumn("was_local", F.lag("now").over(order))
     )
     inner_change = F.col("was_local").isNotNull() & (F.col("now") != F.col("was_local"))
@@ -217,43 +223,43 @@ def already_finalised(states: DataFrame, now: Column) -> DataFrame:
 def uploads_finalised(recorded: DataFrame, quiet: timedelta = QUIET_PERIOD, span: int = TIME_SPAN) -> DataFrame:
     """Moments at which a commit became complete. ``recorded`` is the output of ``recorded_events``.
 
-    All recorded events of a commit are replayed in time order. A moment counts
-    when a finished event leaves nothing in progress and nothing else happens
+    All recorded events of a commit are replayed in the order in which they were stored. A moment counts
+    when a finished event leaves nothing in progress and nothing else is stored
     for the quiet period. After the first moment another one needs an upload
     taken in since the moment before. Each later finalisation is assumed to be
-    reported before the next event.
+    reported before the next event. ``event_time`` is the event's own time, ``stored_time`` that of the moment.
     """
     ongoing = (F.col("state") == IN_PROGRESS).cast("int")
-    ingest_time = F.when((F.col("kind") == "INGESTION") & is_finished(F.col("state")), F.col("event_time"))
-    seconds = F.call_function("div", F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(1_000_000))
-    order = chunk_window(COMMIT, F.col("event_time"), F.col("event_id"))
+    ingest_time = F.when((F.col("kind") == "INGESTION") & is_finished(F.col("state")), F.col("stored_time"))
+    seconds = F.call_function("div", F.unix_micros(F.col("stored_time").cast("timestamp")), F.lit(1_000_000))
+    order = chunk_window(COMMIT, F.col("stored_time"), F.col("event_id"))
     before, after = earlier_chunks(COMMIT), later_chunks(COMMIT)
     stepped = with_chunk(recorded, seconds, span).withColumn("step", ongoing - F.col("was_ongoing").cast("int"))
     known = carry(
         stepped,
         COMMIT,
-        {"steps": F.sum("step"), "first_time": F.min("event_time"), "i": F.max(ingest_time)},
+        {"steps": F.sum("step"), "first_time": F.min("stored_time"), "i": F.max(ingest_time)},
         {
             "open_carried": F.coalesce(F.sum("steps").over(before), F.lit(0)),
             "next_carried": F.first("first_time").over(after),
             "ingest_carried": F.max("i").over(before),
         },
     )
-    next_time = F.coalesce(F.lead("event_time").over(order), F.col("next_carried"))
+    next_time = F.coalesce(F.lead("stored_time").over(order), F.col("next_carried"))
     still_open = F.col("open_carried") + F.sum("step").over(order)
     triggers = F.when(F.col("kind") == "INGESTION", is_finished(F.col("state"))).otherwise(F.col("state") == SUCCESS)
-    quiet_after = F.coalesce(next_time - F.col("event_time") >= F.lit(quiet), F.lit(True))
+    quiet_after = F.coalesce(next_time - F.col("stored_time") >= F.lit(quiet), F.lit(True))
     moments = (
         known.withColumn("complete", triggers & (still_open == 0) & quiet_after)
         .withColumn("ingested", F.greatest(F.max(ingest_time).over(order), F.col("ingest_carried")))
         .filter("complete")
     )
     # Moments of a commit are at least a quiet period apart, so there are few of them.
-    previous = F.lag("event_time").over(Window.partitionBy(*COMMIT).orderBy("event_time", "event_id"))
+    previous = F.lag("stored_time").over(Window.partitionBy(*COMMIT).orderBy("stored_time", "event_id"))
     return (
         moments.withColumn("previous", previous)
         .filter(F.col("previous").isNull() | (F.col("ingested") > F.col("previous")))
-        .select(*COMMIT, "event_time")
+        .select(*COMMIT, "event_time", "stored_time")
     )
 
 

@@ -1,9 +1,8 @@
 """Keyed state machine that decides when a commit is complete.
 
-One key is a (repository, commit). State per key: the recorded state of every
-job and upload, and a commit record. The rules are those of
-``hitgrain.operators.orchestration``; events of a key are taken in order of
-arrival inside a micro-batch, whose size the source limits.
+One key is a (repository, commit). State per key: of every job and upload its recorded state, fields and version,
+and a commit record with the number of open jobs. The rules are those of ``hitgrain.operators.orchestration``. The
+clock is the stored time of events, in which they arrive: an event's own time may lie in any order.
 """
 
 from __future__ import annotations
@@ -11,19 +10,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hitgrain.functions.events import FAILURE, IN_PROGRESS, SUCCESS
-from hitgrain.operators.orchestration import COMMIT, QUIET_PERIOD, STATE_LIFETIME
+from hitgrain.operators.orchestration import COMMIT, QUIET_PERIOD, STATE_LIFETIME, event_fields
 
 OUTPUT = (
     "repository_id string, commit_id string, output string, identifier string, version bigint, "
-    "kind string, state string, event_us bigint"
+    "change map<string,string>, event_us bigint, stored_us bigint"
+)
+JOB_STATE = "state string, event_us bigint, stored_us bigint, version bigint, fields map<string,string>"
+COMMIT_STATE = (
+    "last_us bigint, open bigint, oldest_open_us bigint, pending_us bigint, pending_event_us bigint, "
+    "complete_us bigint, ingest_us bigint"
 )
-JOB_STATE = "kind string, state string, event_us bigint, version bigint"
-COMMIT_STATE = "last_us bigint, pending_us bigint, complete_us bigint, ingest_us bigint"
 FINISHED = (SUCCESS, FAILURE)
 
 
@@ -31,101 +33,167 @@ def micros(period: timedelta) -> int:
     return period // timedelta(microseconds=1)
 
 
-def is_recorded(previous: tuple | None, state: str, event_us: int) -> bool:
+def is_recorded(previous: Row | None, state: str, event_us: int) -> bool:
     """Late events and steps back from finished to in progress are dropped."""
     if previous is None:
         return True
-    return event_us >= previous[2] and not (previous[1] in FINISHED and state == IN_PROGRESS)
+    return event_us >= previous.event_us and not (previous.state in FINISHED and state == IN_PROGRESS)
+
+
+def changed_fields(current: dict[str, str], new: dict[str, str]) -> dict[str, str]:
+    """Fields of ``new`` whose value is under no field of ``current``, as ``state_change_diff`` has it."""
+    known = set(current.values())
+    return {name: value for name, value in new.items() if value not in known}
 
 
 class CommitProcessor(StatefulProcessor):
-    def __init__(self, quiet: timedelta = QUIET_PERIOD, lifetime: timedelta = STATE_LIFETIME):
+    """``expire`` leaves the removal of old state to the state store (wall clock); else a timer on the stored clock does it."""
+
+    def __init__(self, quiet: timedelta = QUIET_PERIOD, lifetime: timedelta = STATE_LIFETIME, expire: bool = False):
         self.quiet_us = micros(quiet)
         self.lifetime_us = micros(lifetime)
+        self.expire = expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.jobs = handle.getMapState("jobs", "identifier string", JOB_STATE)
-        self.commit = handle.getValueState("commit", COMMIT_STATE)
+        ttl = self.lifetime_us // 1000 if self.expire else None
+        self.jobs = handle.getMapState("jobs", "identifier string", JOB_STATE, ttl)
+        self.commit = handle.getValueState("commit", COMMIT_STATE, ttl)
 
-    def _emit(self, key: tuple, output: str, event_us: int, identifier=None, version=None, kind=None, state=None) -> Row:
+    def _emit(self, key: tuple, output: str, event_us: int, stored_us: int, identifier=None, version=None, change=None) -> Row:
         return Row(
             repository_id=key[0], commit_id=key[1], output=output, identifier=identifier, version=version,
-            kind=kind, state=state, event_us=event_us,
+            change=change, event_us=event_us, stored_us=stored_us,
         )
 
-    def _settle(self, key: tuple, record: list) -> Iterator[Row]:
+    def _settle(self, key: tuple, record: dict) -> Iterator[Row]:
         """Turn the pending moment into a finalisation when new uploads came in since the last one."""
-        pending, complete, ingest = record[1], record[2], record[3]
+        complete, ingest = record["complete_us"], record["ingest_us"]
         if complete is None or (ingest is not None and ingest > complete):
-            yield self._emit(key, "uploads_finalised", pending)
-        record[2], record[1] = pending, None
-
-    def _any_ongoing(self) -> bool:
-        return any(value[1] == IN_PROGRESS for value in self.jobs.values())
+            yield self._emit(key, "uploads_finalised", record["pending_event_us"], record["pending_us"])
+        record["complete_us"], record["pending_us"] = record["pending_us"], None
+
+    def _alive(self, job: Row | None, now_us: int) -> bool:
+        return job is not None and job.stored_us > now_us - self.lifetime_us
+
+    def _previous(self, identifier: str, now_us: int) -> Row | None:
+        job = None
+        if self.jobs.exists() and self.jobs.containsKey((identifier,)):
+            job = Row(*JOB_FIELDS)(*self.jobs.getValue((identifier,)))
+        return job if self._alive(job, now_us) else None
+
+    def _count_open(self, record: dict, now_us: int) -> None:
+        """Counted anew only when the oldest open job may have outlived its state; else kept by steps."""
+        if record["open"] and record["oldest_open_us"] <= now_us - self.lifetime_us:
+            jobs = [Row(*JOB_FIELDS)(*job) for job in self.jobs.values()]
+            times = [job.stored_us for job in jobs if job.state == IN_PROGRESS and self._alive(job, now_us)]
+            record["open"], record["oldest_open_us"] = len(times), min(times, default=None)
+
+    def _set_timer(self, record: dict) -> None:
+        """One timer a commit: the end of the quiet period, or else of its state's life."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if record["pending_us"] is not None:
+            self.handle.registerTimer((record["pending_us"] + self.quiet_us) // 1000 + 1)
+        elif not self.expire:
+            self.handle.registerTimer((record["last_us"] + self.lifetime_us) // 1000 + 1)
+
+    def _load(self) -> dict | None:
+        return dict(zip(COMMIT_FIELDS, self.commit.get(), strict=True)) if self.commit.exists() else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.commit.get()
-        record = list(stored) if stored is not None else [None, None, None, None]
-        for row in sorted(rows, key=lambda r: r.event_id):
-            if stored is None and record[0] is None:
-                yield self._emit(key, "uploads_started", row.event_us)
-            identifier = (row.identifier,)
-            previous = self.jobs.getValue(identifier) if self.jobs.containsKey(identifier) else None
-            record[0] = row.event_us if record[0] is None else max(record[0], row.event_us)
+        record = self._load()
+        for row in sorted(rows, key=lambda r: (r.stored_us, r.event_id)):
+            now_us = row.stored_us
+            if record is None:
+                record = dict.fromkeys(COMMIT_FIELDS) | {"open": 0}
+                yield self._emit(key, "uploads_started", row.event_us, now_us)
+            record["last_us"] = now_us
+            self._count_open(record, now_us)
+            previous = self._previous(row.identifier, now_us)
             if not is_recorded(previous, row.state, row.event_us):
                 continue
-            if record[1] is not None:
-                if row.event_us - record[1] >= self.quiet_us:
+            if record["pending_us"] is not None:
+                if now_us - record["pending_us"] >= self.quiet_us:
                     yield from self._settle(key, record)
                 else:
-                    record[1] = None
-            same = previous is not None and (previous[1], previous[2]) == (row.state, row.event_us)
-            if not same:
-                version = 1 if previous is None else previous[3] + 1
-                self.jobs.updateValue(identifier, (row.kind, row.state, row.event_us, version))
-                yield self._emit(key, "state_change", row.event_us, row.identifier, version, row.kind, row.state)
+                    record["pending_us"] = None
+            fields = dict(previous.fields) if previous is not None else {}
+            new = dict(row.fields)
+            change = changed_fields(fields, new) if previous is not None else new
+            version = (previous.version if previous is not None else 0) + bool(change)
+            if change:
+                yield self._emit(key, "state_change", row.event_us, now_us, row.identifier, version, change)
+            self.jobs.updateValue((row.identifier,), (row.state, row.event_us, now_us, version, {**fields, **change}))
+            was_open = previous is not None and previous.state == IN_PROGRESS
+            record["open"] += (row.state == IN_PROGRESS) - was_open
+            if row.state == IN_PROGRESS and record["oldest_open_us"] is None:
+                record["oldest_open_us"] = now_us
+            if not record["open"]:
+                record["oldest_open_us"] = None
             ingested = row.kind == "INGESTION" and row.state in FINISHED
             if ingested:
-                record[3] = row.event_us if record[3] is None else max(record[3], row.event_us)
-            if (ingested or (row.kind != "INGESTION" and row.state == SUCCESS)) and not self._any_ongoing():
-                record[1] = row.event_us
-        if record[1] is not None:
-            self.handle.registerTimer((record[1] + self.quiet_us) // 1000 + 1)
-        self.handle.registerTimer((record[0] + self.lifetime_us) // 1000 + 1)
-        self.commit.update(tuple(record))
+                record["ingest_us"] = now_us
+            if (ingested or (row.kind != "INGESTION" and row.state == SUCCESS)) and not record["open"]:
+                record["pending_us"], record["pending_event_us"] = now_us, row.event_us
+        if record is not None:
+            self._set_timer(record)
+            self.commit.update(tuple(record.values()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        stored = self.commit.get()
-        if stored is None:
+        record = self._load()
+        if record is None:
             return
-        record = list(stored)
         now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if record[1] is not None and now_us >= record[1] + self.quiet_us:
+        if record["pending_us"] is not None and now_us >= record["pending_us"] + self.quiet_us:
             yield from self._settle(key, record)
-        if now_us >= record[0] + self.lifetime_us:
+        # The clock may have passed more than this timer, and no further batch may come.
+        if not self.expire and timerValues.getCurrentWatermarkInMs() * 1000 >= record["last_us"] + self.lifetime_us:
             self.jobs.clear()
             self.commit.clear()
         else:
-            self.commit.update(tuple(record))
+            self._set_timer(record)
+            self.commit.update(tuple(record.values()))
 
     def close(self) -> None:
         pass
 
 
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+JOB_FIELDS, COMMIT_FIELDS = _names(JOB_STATE), _names(COMMIT_STATE)
+
+
 def orchestrate(
-    events: DataFrame, quiet: timedelta = QUIET_PERIOD, delay: str = "1 hour", lifetime: timedelta = STATE_LIFETIME
+    events: DataFrame,
+    quiet: timedelta = QUIET_PERIOD,
+    delay: str = "1 minute",
+    lifetime: timedelta = STATE_LIFETIME,
+    fields: dict[str, Column] | None = None,
+    wall_clock: bool = False,
 ) -> DataFrame:
     """Stream of ``uploads_started``, ``state_change`` and ``uploads_finalised`` from a stream of CI events.
 
-    ``delay`` bounds how far out of order events may come: later ones are
-    dropped by the watermark before the rules see them, so keep it generous.
+    By default timers follow the stored times of all events, so that a replay gives what the first run gave; ``delay``
+    is how far the files or partitions of the source may lag behind each other in stored time. However old an event's
+    own time is, it reaches the rules. With ``wall_clock`` timers go by processing time, so that a commit is finalised
+    though no further event comes in, and the state store removes state at the end of its life.
+    ``fields`` are the fields of an event that are versioned.
     """
-    timed = events.withColumn("event_ts", F.col("event_time").cast("timestamp"))
-    timed = timed.withColumn("event_us", F.unix_micros("event_ts")).withWatermark("event_ts", delay)
+    timed = events.select(
+        *COMMIT, "identifier", "kind", "state", "event_id",
+        F.unix_micros(F.col("event_time").cast("timestamp")).alias("event_us"),
+        F.unix_micros(F.col("stored_time").cast("timestamp")).alias("stored_us"),
+        F.col("stored_time").cast("timestamp").alias("stored_ts"),
+        F.map_filter(F.create_map(*[c for f in (fields or event_fields()).items() for c in (F.lit(f[0]), f[1])]), lambda k, v: v.isNotNull()).alias("fields"),
+    )
+    if not wall_clock:
+        timed = timed.withWatermark("stored_ts", delay)
     return timed.groupBy(*COMMIT).transformWithState(
-        statefulProcessor=CommitProcessor(quiet, lifetime),
+        statefulProcessor=CommitProcessor(quiet, lifetime, expire=wall_clock),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime" if wall_clock else "EventTime",
     )

@@ -337,19 +337,19 @@ def test_event_screening(spark, span):
 def finalised_model(recorded, quiet):
     out = []
     for commit in sorted({e[1] for e in recorded}):
-        rows = sorted((e for e in recorded if e[1] == commit), key=lambda e: (e[5], e[6]))
+        rows = sorted((e for e in recorded if e[1] == commit), key=lambda e: e[6])
         states, previous, ingested = {}, None, None
         for i, e in enumerate(rows):
             states[e[2]] = e[4]
             ended = e[4] != "IN_PROGRESS"
             if e[3] == "INGESTION" and ended:
-                ingested = e[5] if ingested is None else max(ingested, e[5])
+                ingested = e[7]
             triggers = ended if e[3] == "INGESTION" else e[4] == "SUCCESS"
-            still = i + 1 == len(rows) or rows[i + 1][5] - e[5] >= quiet
+            still = i + 1 == len(rows) or rows[i + 1][7] - e[7] >= quiet
             if triggers and still and "IN_PROGRESS" not in states.values():
                 if previous is None or (ingested is not None and ingested > previous):
-                    out.append((commit, e[5]))
-                previous = e[5]
+                    out.append((commit, e[5], e[7]))
+                previous = e[7]
     return out
 
 
@@ -367,12 +367,14 @@ def test_newer_event_by_stored_time(spark):
 
 @pytest.mark.parametrize("span", [20, 86_400])
 def test_uploads_finalised(spark, span):
+    """Quiet periods and newer uploads go by arrival, whatever the events' own times say."""
     start = datetime.datetime(2024, 1, 1)
-    events = [(*e[:5], start + timedelta(seconds=3 * e[6]), e[6]) for e in random_events(5)]
+    events = [(*e, start + timedelta(seconds=3 * e[6])) for e in random_events(5)]
     verdicts, _ = screen_model(events)
+    assert "late" in verdicts.values()
     quiet = timedelta(seconds=15)
-    df = O.recorded_events(spark.createDataFrame(events, EVENTS))
-    got = sorted((r.commit_id, r.event_time) for r in O.uploads_finalised(df, quiet, span).collect())
+    df = O.recorded_events(spark.createDataFrame(events, EVENTS + ", stored_time timestamp_ntz"))
+    got = sorted((r.commit_id, r.event_time, r.stored_time) for r in O.uploads_finalised(df, quiet, span).collect())
     expected = finalised_model([e for e in events if verdicts[e[6]] is None], quiet)
     assert got == sorted(expected) and got
 

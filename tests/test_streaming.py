@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import random
+import time
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from hitgrain.session import stage_table
 from hitgrain.sources import bind
 from hitgrain.sources.stored import stored_lines, stored_uploads
 from hitgrain.streaming.jobs import coverage_stream, ingest_stream
-from hitgrain.streaming.orchestrator import orchestrate
+from hitgrain.streaming.orchestrator import micros, orchestrate
 from hitgrain.plans.reports import coverage_report, report_scope
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,37 +34,135 @@ def run(stream, path):
     query.awaitTermination()
 
 
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def micros_of(column):
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def test_orchestrator_agrees_with_batch(spark, tmp_path):
+    """Events out of order in their own times, by up to ten days, in five micro-batches by arrival."""
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    # In time order, because the batch form replays by time and the stream by arrival.
-    events = bind.job_events(spark, SMALL)
-    ordered = events.withColumn("event_time", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(mins=(F.col("event_id") * 9).cast("int")))
-    end = ordered.agg(F.max("event_id").alias("m")).select(
+    back = F.make_dt_interval(days=(F.col("event_id") % 11).cast("int"))
+    events = bind.job_events(spark, SMALL).withColumn("event_time", F.col("event_time") - back)
+    verdicts = {r.dropped for r in O.screen_events(events).select("dropped").distinct().collect()}
+    assert verdicts == {None, "late", "regression"}
+    end = events.agg(F.max("event_id").alias("m")).select(
         F.lit("none").alias("repository_id"), F.lit("none").alias("commit_id"), F.lit("none").alias("identifier"),
         F.lit("JOB").alias("kind"), F.lit("IN_PROGRESS").alias("state"),
         F.to_timestamp_ntz(F.lit("2030-01-01 00:00:00")).alias("event_time"), (F.col("m") + 1).alias("event_id"),
-    )
+        F.to_timestamp_ntz(F.lit("2030-01-01 00:00:00")).alias("stored_time"),
+    )
     source = str(tmp_path / "events")
-    ordered.coalesce(1).write.mode("append").parquet(source)
+    for part in range(4):
+        events.filter(F.col("event_id").between(part * 250 + (part > 0), (part + 1) * 250)).coalesce(1).write.mode("append").parquet(source)
+    assert spark.read.parquet(source).count() == events.count()
     end.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", "1").parquet(source)
-    run(orchestrate(stream, QUIET, lifetime=timedelta(days=365)), str(tmp_path))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(source)
+    run(orchestrate(stream, QUIET, lifetime=timedelta(days=36_500)), str(tmp_path))
     out = spark.read.parquet(str(tmp_path / "out")).filter("commit_id <> 'none'")
-    recorded = O.recorded_events(ordered)
-
-    def rows(df):
-        return sorted(map(tuple, df.collect()))
-
-    us = F.unix_micros(F.col("event_time").cast("timestamp"))
-    started = O.uploads_started(ordered).select(*O.COMMIT, us)
+    recorded = O.recorded_events(events)
+    us, stored = micros_of("event_time"), micros_of("stored_time")
+    started = O.uploads_started(events).select(*O.COMMIT, us)
     assert rows(out.filter("output = 'uploads_started'").select(*O.COMMIT, "event_us")) == rows(started)
-    changes = O.event_state_changes(recorded).select(*O.IDENTITY, "version", us)
-    assert rows(out.filter("output = 'state_change'").select(*O.IDENTITY, "version", "event_us")) == rows(changes)
-    finalised = O.uploads_finalised(recorded, QUIET).select(*O.COMMIT, us)
-    streamed = rows(out.filter("output = 'uploads_finalised'").select(*O.COMMIT, "event_us"))
+    entries = F.array_sort(F.map_entries("change")).alias("change")
+    changes = O.event_state_changes(recorded).select(*O.IDENTITY, "version", entries, us)
+    assert rows(out.filter("output = 'state_change'").select(*O.IDENTITY, "version", entries, "event_us")) == rows(changes)
+    finalised = O.uploads_finalised(recorded, QUIET).select(*O.COMMIT, us, stored)
+    streamed = rows(out.filter("output = 'uploads_finalised'").select(*O.COMMIT, "event_us", "stored_us"))
     assert streamed and streamed == rows(finalised)
 
 
+CI_EVENTS = (
+    "repository_id string, commit_id string, identifier string, kind string, state string, event_time timestamp_ntz, "
+    "event_id bigint, stored_time timestamp_ntz, ref string, head string"
+)
+
+
+def ci_event(number, commit, job, state, second, ref="main", head=None, start=datetime(2024, 1, 1)):
+    at = start + timedelta(seconds=second)
+    return ("r", commit, f"{commit}-{job}", "JOB", state, at, number, at, ref, head)
+
+
+def folded_model(events, fields):
+    """Changes of each identifier: what is new by value against the state folded so far."""
+    states, out = {}, []
+    for e in events:
+        new = {name: value for name, value in fields(e).items() if value is not None}
+        state, version = states.get(e[2], ({}, 0))
+        change = {k: v for k, v in new.items() if v not in state.values()}
+        if change:
+            version += 1
+            out.append((e[2], version, sorted(change.items())))
+        states[e[2]] = ({**state, **change}, version)
+    return sorted(out)
+
+
+def test_versions_of_any_fields_compare_values(spark, tmp_path):
+    """A value that another field of the stored state has already is no change; the field keeps its old value."""
+    rng = random.Random(8)
+    events = [ci_event(0, "c", 0, "IN_PROGRESS", 0, "a", "b"), ci_event(1, "c", 0, "IN_PROGRESS", 0, "b", "b"), ci_event(2, "c", 0, "IN_PROGRESS", 0, "a", "a")]
+    for i in range(3, 300):
+        events.append(ci_event(i, f"c{rng.randint(0, 2)}", rng.randint(0, 1), "IN_PROGRESS", i, rng.choice("abc"), rng.choice(["a", "b", None])))
+    expected = folded_model(events, lambda e: {"ref": e[8], "head": e[9], "state": e[4]})
+    assert [e for e in expected if e[0] == "c-0"] == [("c-0", 1, [("head", "b"), ("ref", "a"), ("state", "IN_PROGRESS")])]
+    spark.createDataFrame(events, CI_EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CI_EVENTS).parquet(str(tmp_path / "in"))
+    run(orchestrate(stream, fields={name: F.col(name) for name in ("ref", "head", "state")}), str(tmp_path))
+    out = spark.read.parquet(str(tmp_path / "out")).filter("output = 'state_change'")
+    assert sorted((r.identifier, r.version, sorted(r.change.items())) for r in out.collect()) == expected
+
+
+def test_job_beyond_its_life_blocks_no_more(spark, tmp_path):
+    life, quiet = timedelta(seconds=100), timedelta(seconds=5)
+    events = [
+        ci_event(0, "c", 0, "IN_PROGRESS", 0), ci_event(1, "c", 1, "SUCCESS", 50), ci_event(2, "c", 2, "SUCCESS", 99),
+        ci_event(3, "c", 3, "SUCCESS", 101), ci_event(4, "d", 0, "IN_PROGRESS", 0), ci_event(5, "d", 0, "IN_PROGRESS", 90),
+        ci_event(6, "d", 1, "SUCCESS", 120), ci_event(7, "end", 0, "IN_PROGRESS", 9000),
+    ]
+    spark.createDataFrame(events, CI_EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CI_EVENTS).parquet(str(tmp_path / "in"))
+    run(orchestrate(stream, quiet, lifetime=life), str(tmp_path))
+    out = spark.read.parquet(str(tmp_path / "out")).filter("output = 'uploads_finalised'")
+    start = micros(datetime(2024, 1, 1) - datetime(1970, 1, 1))
+    assert [(r.commit_id, (r.stored_us - start) // 1_000_000) for r in out.collect()] == [("c", 101)]
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", "commit").load()
+    assert [r.key.commit_id for r in kept.collect()] == ["end"]
+
+
+def test_wall_clock_finalises_and_state_expires(spark, tmp_path):
+    """With nothing further coming in, the quiet period ends by itself, and the state store drops the state after its life."""
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    events = [ci_event(0, "c", 0, "SUCCESS", 0, start=now), ci_event(1, "d", 0, "IN_PROGRESS", 0, start=now)]
+    spark.createDataFrame(events, CI_EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CI_EVENTS).parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    started = orchestrate(stream, timedelta(seconds=1), lifetime=timedelta(seconds=20), wall_clock=True)
+    query = started.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+
+    def state(name):
+        reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+        return reader.load().count()
+
+    def until(reached):
+        end = time.monotonic() + 90
+        while not reached():
+            assert time.monotonic() < end and query.isActive
+            time.sleep(0.5)
+
+    try:
+        until(lambda: any("_spark_metadata" == f.name for f in (tmp_path / "out").glob("*")))
+        until(lambda: spark.read.schema(started.schema).parquet(out).filter("output = 'uploads_finalised'").count() == 1)
+        assert state("commit") == 2 and state("jobs") == 2
+        until(lambda: state("commit") == 0 and state("jobs") == 0)
+    finally:
+        query.stop()
+    final = spark.read.parquet(out).filter("output = 'uploads_finalised'")
+    assert [(r.commit_id, r.event_us) for r in final.collect()] == [("c", micros(now - datetime(1970, 1, 1)))]
+
+
 def test_coverage_stream(spark, tmp_path):
     def tables():
         return {
