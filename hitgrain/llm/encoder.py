@@ -13,7 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-KEEP = 2_000_000
+KEEP = 1_000_000
 # Where a text with uneven white space may be cut. U+180E counts as white space in some Unicode versions only.
 _CUT = re.compile("(?<=[^\\s\u180e])(?=[ \\n][^\\s\u180e])")
 # Marks that end a word and are encoded apart from it; none of them starts a contraction.
