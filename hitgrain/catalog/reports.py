@@ -19,6 +19,7 @@ from hitgrain.plans import reports as R
 from hitgrain.plans.reports import report_scope
 from hitgrain.session import stage_table, work_dir
 from hitgrain.sources import bind
+from hitgrain.sources.refs import stored_refs, upsert_refs
 from hitgrain.sources.stored import stored_lines, stored_uploads
 
 
@@ -126,13 +127,12 @@ def ref_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sink_ref_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Write the table, then a second version from it and newer results, and read that back."""
+    """Results of the earlier commits, then those of the later ones, then the earlier ones again."""
     root = work_dir(spark, "ref-metadata")
-    results = ref_results(spark, d)
-    R.record_ref_coverage(None, results.filter("event_time < 10")).write.parquet(f"{root}/v1")
-    old = spark.read.parquet(f"{root}/v1")
-    R.record_ref_coverage(old, results.filter("event_time >= 10")).write.parquet(f"{root}/v2")
-    return spark.read.parquet(f"{root}/v2")
+    results = stage_table(ref_results(spark, d), "results")
+    for part in ("event_time < 10", "event_time >= 10", "event_time < 10"):
+        upsert_refs(root, results.filter(part))
+    return stored_refs(spark, root, time=results.schema["event_time"].dataType.simpleString()).drop("bucket")
 
 
 def q_latest_ref_coverage(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ from hitgrain.operators import orchestration as O
 from hitgrain.operators import scope as S
 from hitgrain.operators import settings as T
 from hitgrain.operators import uploads as U
+from hitgrain.sources.refs import ref_version, stored_refs, upsert_refs
 
 LINES = (
     "project_id string, commit_id string, file_name string, line_number int, state string, contains_method boolean,"
@@ -418,3 +419,41 @@ def test_settings_validation(spark):
     df = spark.createDataFrame(rows, "key string, value string, ok boolean")
     checked = df.select("key", "value", "ok", T.valid_setting(F.col("key"), F.col("value")).alias("valid")).collect()
     assert [(r.key, r.value) for r in checked if r.ok != r.valid] == []
+
+
+REF_RESULTS = "repository_id string, ref string, coverage_percentage double, event_time bigint"
+
+
+def ref_files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_ref_table_upserts(spark, tmp_path):
+    """Random batches, some repeated, against a dictionary; only touched buckets get new files; old versions can be read."""
+    rng, path, newest, seen = random.Random(4), str(tmp_path / "refs"), {}, []
+    assert stored_refs(spark, path).count() == 0 and ref_version(spark, path) == 0
+    batches = [[(rng.choice(["a", "b", None]), rng.choice(["main", "dev", "x", None]), float(rng.randint(0, 100)), 100 * i + j) for j in range(n)] for i, n in enumerate([30, 2, 0])]
+    batches += [batches[0], [("a", "main", 1.0, -5)]]
+    for number, batch in enumerate(batches, 1):
+        assert upsert_refs(path, spark.createDataFrame(batch, REF_RESULTS), buckets=16) == number
+        for repository, ref, percentage, at in batch:
+            if at >= newest.get((repository, ref), (0, -(10**9)))[1]:
+                newest[repository, ref] = (percentage, at)
+        seen.append(dict(newest))
+        got = stored_refs(spark, path).collect()
+        assert {(r.repository_id, r.ref): (r.coverage_percentage, r.event_time) for r in got} == newest and len(got) == len(newest)
+    old = stored_refs(spark, path, version=1).collect()
+    assert {(r.repository_id, r.ref): (r.coverage_percentage, r.event_time) for r in old} == seen[0]
+    last = [f for f in ref_files(tmp_path / "refs") if f.startswith("data/version=5")]
+    assert len(last) == 1
+
+
+def test_ref_table_survives_a_write_that_stopped(spark, tmp_path):
+    path = str(tmp_path / "refs")
+    upsert_refs(path, spark.createDataFrame([("a", "main", 1.0, 1)], REF_RESULTS), buckets=4)
+    stray = spark.createDataFrame([("a", "main", 9.0, 9)], REF_RESULTS)
+    for bucket in range(4):
+        stray.write.parquet(f"{path}/data/version=2/bucket={bucket}")
+    assert [r.coverage_percentage for r in stored_refs(spark, path).collect()] == [1.0]
+    assert upsert_refs(path, spark.createDataFrame([("b", "main", 2.0, 2)], REF_RESULTS)) == 2
+    assert sorted((r.repository_id, r.coverage_percentage) for r in stored_refs(spark, path).collect()) == [("a", 1.0), ("b", 2.0)]
