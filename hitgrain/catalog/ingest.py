@@ -85,14 +85,12 @@ def q_scan_coverage_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_scan_records(spark: SparkSession, d: str) -> DataFrame:
-    """LCOV records written as one text table per upload bucket and read line by line."""
+    """Texts written as one folder of text files per source and read line by line; every record with its number of occurrences."""
     root = work_dir(spark, "records")
     docs = bind.table(spark, d, "documents").select("source", F.col("text").alias("value"))
     docs.write.partitionBy("source").text(root)
     scanned = files.scan_records(spark, root)
-    return scanned.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("upload_id")).agg(
-        F.count(F.lit(1)).alias("records"), F.sum(F.length("rec")).alias("chars")
-    )
+    return scanned.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("upload_id"), "rec").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_fix_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -471,7 +469,7 @@ ORACLES: dict[str, str] = {
           cast(0 as bigint) as with_project, '/build/' as project_root, 'c0' as parent from doc_record group by source"""
     ),
     "scan_records": S.query(
-        "select source as upload_id, count(*) as records, cast(sum(length(rec)) as bigint) as chars from doc_record group by source"
+        "select source as upload_id, rec, count(*) as n from doc_record group by source, rec"
     ),
     "split_records": S.query("select concat('doc-', cast(doc_id as varchar)) as upload_id, seq, rec from doc_record"),
     "detect_format": S.query(
