@@ -37,7 +37,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_states(spark: SparkSession, d: str) -> DataFrame:
     """Line states of every waypoint's diff."""
-    return C.line_coverage(scope.scope_diff_lines(joined(spark, d), bind.diff(spark, d)))
+    return scope.diff_line_states(joined(spark, d), bind.diff(spark, d))
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:

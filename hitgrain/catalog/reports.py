@@ -171,7 +171,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 def q_line_comments(spark: SparkSession, d: str) -> DataFrame:
     lines = stage_table(diff_states(spark, d), "diff-lines")
     return K.line_comments(
-        K.missing_coverage_blocks(lines, bind.diff(spark, d)),
+        K.missing_coverage_blocks(lines),
         K.partial_branch_comments(lines),
         bind.comment_settings(spark, d),
     )
@@ -196,7 +196,7 @@ QUERIES: dict[str, Query] = {
     "pull_request_tags": q_pull_request_tags,
     "sink_ref_metadata": q_sink_ref_metadata,
     "latest_ref_coverage": q_latest_ref_coverage,
-    "missing_coverage_blocks": lambda s, d: K.missing_coverage_blocks(diff_states(s, d), bind.diff(s, d)),
+    "missing_coverage_blocks": lambda s, d: K.missing_coverage_blocks(diff_states(s, d)),
     "partial_branch_comments": lambda s, d: K.partial_branch_comments(diff_states(s, d)),
     "line_comments": q_line_comments,
     "message_group_hash": lambda s, d: messages(s, d).select("seq", "message_group"),

@@ -9,7 +9,7 @@ from hitgrain.functions import lines as L
 from hitgrain.operators.coverage import WAYPOINT
 
 
-def missing_coverage_blocks(lines: DataFrame, diff: DataFrame) -> DataFrame:
+def missing_coverage_blocks(lines: DataFrame, diff: DataFrame | None = None) -> DataFrame:
     """Merge consecutive lines that are not covered into blocks.
 
     ``line_number - diff_index`` is constant along an unbroken run of added
@@ -17,9 +17,10 @@ def missing_coverage_blocks(lines: DataFrame, diff: DataFrame) -> DataFrame:
     window then spans one run of added lines of one file. Inside a run a method
     or covered line opens a new segment. A segment's block starts at its first
     line that is neither covered nor a branch and ends at the segment's last line.
+    Without ``diff`` the lines bring their ``diff_index``, as those of ``diff_line_states`` do.
     """
     keys = [*WAYPOINT, "file_name", "line_number"]
-    indexed = lines.join(diff.select(*keys, "diff_index"), keys, "left")
+    indexed = lines if diff is None else lines.join(diff.select(*keys, "diff_index"), keys, "left")
     run = F.when(
         F.col("diff_index").isNotNull(), F.concat(F.lit("run"), F.col("line_number") - F.col("diff_index"))
     ).otherwise(F.concat(F.lit("line"), F.col("line_number")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitgrain.operators.coverage import WAYPOINT, lines_of_days
+from hitgrain.operators.coverage import WAYPOINT, line_coverage, lines_of_days
 
 SCOPE = ("project_id", "commit_id", "upload_id", "tag", "total_lines", "source_commit", "ingest_date")
 
@@ -61,3 +61,12 @@ def scope_diff_lines(df: DataFrame, diff: DataFrame) -> DataFrame:
     """Rows whose (waypoint, file, line) was added by the waypoint's diff; files match by equality."""
     keys = [*WAYPOINT, "file_name", "line_number"]
     return df.join(diff.select(*keys), keys, "left_semi")
+
+
+def diff_line_states(df: DataFrame, diff: DataFrame) -> DataFrame:
+    """Line states of the added lines, each with its ``diff_index``, from one join with the diff.
+
+    ``diff`` has one row per (waypoint, file, line), so the index changes no group.
+    """
+    keys = [*WAYPOINT, "file_name", "line_number"]
+    return line_coverage(df.join(diff.select(*keys, "diff_index"), keys), [*WAYPOINT, "diff_index"])

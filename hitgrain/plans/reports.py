@@ -62,9 +62,9 @@ def tag_report(scope: DataFrame, lines: DataFrame) -> DataFrame:
 def diff_line_coverage(
     waypoints: DataFrame, uploads: DataFrame, lines: DataFrame, diff: DataFrame
 ) -> DataFrame:
-    """Line states of the added lines, from the commit's own uploads only."""
+    """Line states of the added lines with their ``diff_index``, from the commit's own uploads only."""
     own = S.scope_uploads(uploads, waypoints).select(*W, "upload_id", "ingest_date")
-    return C.line_coverage(S.scope_diff_lines(C.join_upload_lines(own, lines), diff))
+    return S.diff_line_states(C.join_upload_lines(own, lines), diff)
 
 
 def diff_totals(waypoints: DataFrame, diff_lines: DataFrame) -> DataFrame:

@@ -61,7 +61,11 @@ def test_missing_coverage_blocks_random(spark):
         rows += [("p", "c", name, n, s, m, b, not b, 0, 0) for n, s, m, b in lines]
         diff_rows += [("p", "c", name, i, n) for i, n in enumerate(diff)]
         expected += [(name, *block) for block in blocks_model(lines, diff)]
-    got = K.missing_coverage_blocks(spark.createDataFrame(rows, LINES), spark.createDataFrame(diff_rows, DIFF))
+    lines, diff = spark.createDataFrame(rows, LINES), spark.createDataFrame(diff_rows, DIFF)
+    got = K.missing_coverage_blocks(lines, diff)
+    keys = ["project_id", "commit_id", "file_name", "line_number"]
+    with_index = K.missing_coverage_blocks(lines.join(diff, keys, "left"))
+    assert sorted(map(tuple, with_index.collect())) == sorted(map(tuple, got.collect()))
     assert sorted((r.file_name, r.starts_on_method, r.start_line, r.end_line) for r in got.collect()) == sorted(expected)
 
 
