@@ -15,8 +15,9 @@ from hitgrain.operators.sinks import sink_line_coverage
 from hitgrain.session import stage_table
 from hitgrain.sources import bind
 from hitgrain.sources.stored import stored_lines, stored_uploads
-from hitgrain.streaming.jobs import coverage_stream, ingest_stream
+from hitgrain.streaming.jobs import coverage_stream, ingest_metrics, ingest_stream
 from hitgrain.streaming.orchestrator import micros, orchestrate
+from hitgrain.plans.ingest import upload_rules
 from hitgrain.plans.reports import coverage_report, report_scope
 
 SMALL = "/root/testdata/sf0.001"
@@ -257,7 +258,10 @@ def test_ingest_stream(spark, tmp_path):
 
     query = ingest_stream(spark, str(source), manifest, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     query.awaitTermination()
-    outcomes = {r.upload_id: (r.format, r.state) for r in spark.read.parquet(str(tmp_path / "out/outcomes")).collect()}
+    told = spark.read.parquet(str(tmp_path / "out/outcomes")).collect()
+    reasons = {r.upload_id: r.reasons for r in told if r.reasons}
+    assert reasons == {"broken.xml": ["malformed"], "backwards.out": ["malformed"], "notes.txt": ["unknown_format"]}
+    outcomes = {r.upload_id: (r.format, r.state) for r in told}
     assert outcomes == {
         "lcov.info": ("LCOV", "INGEST_SUCCESS"),
         "cover.out": ("GO_COVER", "INGEST_SUCCESS"),
@@ -292,3 +296,42 @@ def test_ingest_stream(spark, tmp_path):
         ("lcov.info", "src/a.py", "METHOD", 1, "2"),
         ("lcov.info", "src/a.py", "STATEMENT", 1, "2"),
     ]
+
+
+def test_ingest_stream_keeps_bad_uploads_out(spark, tmp_path):
+    """Small splits, several micro-batches, uploads that break rules; counts come from the one write of outcomes."""
+    source = tmp_path / "in"
+    source.mkdir()
+    body = "\n".join(["SF:src/a.py", *[f"DA:{n},{n % 3}" for n in range(1, 400)], "end_of_record"])
+    commit, rows = "a" * 40, []
+    for i in range(6):
+        (source / f"r{i}.info").write_text(body if i != 4 else "nothing known\n")
+        identifier = f"0190a1b2-c3d4-7{i:03x}-8abc-0123456789ab"
+        fields = {"uploadid": identifier, "projectId": identifier, "provider": "github", "owner": "own", "repository": "rep", "ref": "main",
+                  "tag": "unit tests" if i in (1, 2) else "unit", "commit": "c1" if i == 2 else commit, "parent": "[]"}
+        rows.append((f"file://{source}/r{i}.info", fields))
+
+    def manifest():
+        return spark.createDataFrame(rows, "path string, metadata map<string,string>").select(
+            "path", "metadata", F.to_timestamp_ntz(F.lit("2024-05-01 10:00:00")).alias("event_time"),
+            F.array().cast("array<struct<before:string,after:string>>").alias("path_replacements"),
+        )
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        out = str(tmp_path / "out")
+        ingest_stream(spark, str(source), manifest, out, str(tmp_path / "checkpoint"), 4, upload_rules()).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    failures = spark.read.parquet(f"{out}/outcomes").filter("state = 'INGEST_FAILURE'")
+    assert sorted((r.upload_id[15:18], r.reasons) for r in failures.collect()) == [
+        ("001", ["tag"]), ("002", ["commit_id", "tag"]), ("004", ["unknown_format"])
+    ]
+    lines = spark.read.parquet(f"{out}/lines").groupBy("upload_id").agg(F.count_distinct("line_number").alias("n"), F.max("total_lines").alias("t"))
+    assert sorted((r.upload_id[15:18], r.n, r.t) for r in lines.collect()) == [(i, 399, 399) for i in ("000", "003", "005")]
+    counts = ingest_metrics(spark, out).filter("batch is null").collect()
+    assert {r.metric: r.value for r in counts} == {
+        "uploads": 6, "upload_id": 0, "project_id": 0, "commit_id": 1, "tag": 2, "unknown_format": 1, "malformed": 0
+    }
+    assert ingest_metrics(spark, out).select("batch").distinct().count() == 3
