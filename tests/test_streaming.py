@@ -15,6 +15,7 @@ from hitgrain.operators.sinks import sink_line_coverage
 from hitgrain.session import stage_table
 from hitgrain.sources import bind
 from hitgrain.sources.stored import stored_lines, stored_uploads
+from hitgrain.streaming.chain import decide, ingest_events, latest_reports, report_decided, stored_outcomes
 from hitgrain.streaming.jobs import coverage_stream, ingest_metrics, ingest_stream
 from hitgrain.streaming.orchestrator import micros, orchestrate
 from hitgrain.plans.ingest import upload_rules
@@ -282,6 +283,17 @@ def test_ingest_stream(spark, tmp_path):
     scope = report_scope(waypoints, stored, history, rules)
     (report,) = coverage_report(waypoints, scope, stored_lines(spark, str(tmp_path / "out/lines"))).collect()
     assert (report.uploads, report.size, report.lines, report.at_least_partial, report.uncovered) == (3, 7, 6, 6, 0)
+    # The same by the chain of streams, once a later outcome of another commit has passed the quiet period.
+    spark.read.parquet(str(tmp_path / "out/outcomes")).filter("upload_id = 'lcov.info'").select(
+        "upload_id", "project_id", F.lit("none").alias("commit_id"), "format", "reasons", (F.col("ingest_time") + F.expr("interval 1 day")).alias("ingest_time")
+    ).write.parquet(str(tmp_path / "out/outcomes/batch=900/state=OTHER"))
+    root = str(tmp_path / "chain")
+    decide(ingest_events(stored_outcomes(spark, str(tmp_path / "out/outcomes"))), root, QUIET).awaitTermination()
+    decided = spark.read.parquet(f"{root}/decisions").filter("output = 'uploads_finalised'")
+    assert [(r.repository_id, r.commit_id) for r in decided.collect()] == [("p", "c1")]
+    tables = {"uploads": stored, "lines": stored_lines(spark, str(tmp_path / "out/lines")), "history": history, "tag_settings": rules}
+    report_decided(spark, root, lambda: tables).awaitTermination()
+    assert latest_reports(spark, root).select(report.__fields__).collect() == [report]
     lines = spark.read.parquet(str(tmp_path / "out/lines"))
     got = sorted(
         (r.upload_id, r.file_name, r.type, r.line_number, dict((m.key, m.value) for m in r.metadata)["lineHits"])
