@@ -14,12 +14,19 @@ is a skewed join side that Spark splits. Archives are closed at a set size, so i
 Archives have fresh names; only those in the table that successful tasks wrote are read, so a lost or repeated
 task leaves nothing behind that counts.
 
+Packages of others: names of fields are taken in any letter case, folded lines are joined, index offsets may be texts, index lines
+without a place are passed over, and an index names the data member it is about where there are several. Records of other
+types (warcinfo, request, metadata) come out with their type. ``record_id`` is the identifier as written; ``page_id`` and
+``refers_to`` are null where that is not one of ours. Digests in base 32 become hexadecimal. The size of a revisit's payload is null where
+its record does not tell it. Transfer encodings inside a payload are left as they are.
+
 Defined results: a null payload is empty; a null url has no target header. Null identifiers rank below all others. Rows
 that repeat the largest identifier of their payload are responses each. No pages give no archives and no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -30,6 +37,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -43,8 +51,12 @@ REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 128 << 20
 GZIP_LEVEL = 3
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+# Bytes of records that one task reads at the least, and those that always go to the same task.
+READ_BYTES, SLICE_BYTES = 64 << 20, 1 << 20
+PLACES = 100_000
 ARCHIVES = "path string, bytes long, records long"
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+DIGEST = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
 NAME = "urn:page:"
 
 
@@ -197,17 +209,25 @@ def _wide(extra: bytes, *values: int) -> list[int]:
     return out
 
 
+def _index_places(file, indexes: list[tuple[int, int]], data: dict[str, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Places by the index lines that have one; a line names its data member, or there is only one."""
+    begins = {name.rpartition("/")[2]: begin for name, (begin, _) in data.items()}
+    only = next(iter(begins.values())) if len(begins) == 1 else None
+    for place in indexes:
+        for line in read_at(file, *place).decode().splitlines():
+            entry = json.loads(line[line.index("{") :]) if "{" in line else {}
+            begin = begins.get(str(entry.get("filename", "")).rpartition("/")[2], only)
+            if begin is not None and "offset" in entry and "length" in entry:
+                yield begin + int(entry["offset"]), int(entry["length"])
+
+
 def record_places(file) -> Iterator[tuple[int, int]]:
     """Offset in the archive and length of every record, by the indexes or else by the records' own lengths."""
     members = stored_members(file)
     data = {name: place for name, place in members.items() if name.endswith((".warc", ".warc.gz"))}
-    indexes = [name for name in members if name.endswith(".cdxj")]
-    if indexes and len(data) == 1:
-        ((begin, _),) = data.values()
-        for name in indexes:
-            for line in read_at(file, *members[name]).decode().splitlines():
-                entry = json.loads(line[line.index("{") :])
-                yield begin + entry["offset"], entry["length"]
+    indexes = [place for name, place in members.items() if name.endswith(".cdxj")]
+    if indexes and data:
+        yield from _index_places(file, indexes, data)
         return
     for name, (begin, length) in data.items():
         walk = _gzip_length if name.endswith(".gz") else _plain_length
@@ -230,6 +250,9 @@ def _gzip_length(file, at: int) -> int:
     return used - len(member.unused_data)
 
 
+CONTENT_LENGTH = re.compile(rb"(?i)(?:^|\r\n)content-length[ \t]*:[ \t]*(\d+)")
+
+
 def _plain_length(file, at: int) -> int:
     head = b""
     while b"\r\n\r\n" not in head:
@@ -238,37 +261,62 @@ def _plain_length(file, at: int) -> int:
             raise ValueError("record without end of head")
         head += more
     head = head[: head.index(b"\r\n\r\n") + 4]
-    return len(head) + int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)[1]) + 4
+    return len(head) + int(CONTENT_LENGTH.search(head)[1]) + 4
+
+
+def head_fields(head: bytes) -> dict[str, str]:
+    """Fields of a record's head by their names in lower case; a line that begins with white space goes on with the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    pairs = (line.partition(":") for line in lines if ":" in line)
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def hex_digest(value: str) -> str:
+    """The bare digest of a labelled one, in hexadecimal."""
+    bare = value.rpartition(":")[2]
+    if len(bare) == 32 and re.fullmatch("[A-Za-z2-7]+", bare):
+        return base64.b32decode(bare.upper()).hex()
+    return bare.lower()
 
 
 def parse_record(record: bytes) -> tuple:
-    """(page_id, payload bytes, payload digest, type, refers_to) of one record."""
+    """(page_id, payload bytes, payload digest, type, refers_to, record_id) of one record."""
     if record[:2] == b"\x1f\x8b":
         record = gzip.decompress(record)
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    page_id, refers_to = (_identifier(fields.get(name)) for name in ("WARC-Record-ID", "WARC-Refers-To"))
-    if fields["WARC-Type"] == "revisit":
-        size = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-        return page_id, size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", refers_to
-    return page_id, len(payload), hashlib.sha1(payload).hexdigest(), fields["WARC-Type"], None
-
-
-def _identifier(name: str | None) -> int | None:
-    number = (name or "").strip("<>").removeprefix(NAME)
-    return int(number) if number else None
+    fields = head_fields(head)
+    block = rest[: int(fields["content-length"])] if "content-length" in fields else rest
+    http, payload = b"", block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    record_id, refers_to = (fields.get(name) for name in ("warc-record-id", "warc-refers-to"))
+    kind = fields.get("warc-type")
+    if kind == "revisit":
+        size = CONTENT_LENGTH.search(http)
+        digest = fields.get("warc-payload-digest")
+        told = int(size[1]) if size else None, hex_digest(digest) if digest else None
+        return page_number(record_id), *told, kind, page_number(refers_to), record_id
+    return page_number(record_id), len(payload), hashlib.sha1(payload).hexdigest(), kind, None, record_id
+
+
+def page_number(name: str | None) -> int | None:
+    """The page of an identifier of ours; null for others."""
+    bare = (name or "").strip("<>")
+    number = bare.removeprefix(NAME)
+    return int(number) if number != bare and re.fullmatch(r"-?\d+", number) else None
 
 
 def _placed(batches):
     for batch in batches:
         for path in batch["path"].to_pylist():
             with open_archive(path) as file:
-                offsets, lengths = zip(*record_places(file), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(offsets)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                names=["path", "offset", "length"],
-            )
+                places = record_places(file)
+                while some := list(islice(places, PLACES)):
+                    offsets, lengths = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * len(some)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                        names=["path", "offset", "length"],
+                    )
 
 
 def _read(batches):
@@ -280,18 +328,26 @@ def _read(batches):
                 file, opened = open_archive(path), path
             rows.append(parse_record(read_at(file, offset, length)))
         names = [part.split()[0] for part in RECORDS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of all archives of a table with ``path``, each fetched by its place."""
-    places = archives.select("path").repartition("path").mapInArrow(_placed, "path string, offset long, length long")
-    ordered = places.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
-    return ordered.mapInArrow(_read, RECORDS)
+    """The records of all archives of a table with ``path``, each fetched by its place.
+
+    Tasks go by the bytes of records, not by those of the places that name them: their number is that of all archives' bytes
+    over ``READ_BYTES`` (where the table tells ``bytes``), two for each core at the least. Slices of an archive are dealt to them whole.
+    """
+    tasks = 2 * archives.sparkSession.sparkContext.defaultParallelism
+    if "bytes" in archives.columns:
+        tasks = max(tasks, (archives.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES)
+    places = archives.select("path").repartition(tasks, "path").mapInArrow(_placed, "path string, offset long, length long")
+    slices = F.call_function("div", F.col("offset"), F.lit(SLICE_BYTES))
+    dealt = places.repartition(tasks, "path", slices).sortWithinPartitions("path", "offset")
+    return dealt.mapInArrow(_read, RECORDS)
 
 
 def packed_pages(pages: DataFrame) -> DataFrame:
     """Write the archives to the shared folder and read them back."""
-    return read_archives(write_archives(pages, work_dir(pages.sparkSession, "warc")))
+    return read_archives(write_archives(pages, work_dir(pages.sparkSession, "warc"))).select(*DIGEST)

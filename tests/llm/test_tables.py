@@ -214,7 +214,9 @@ def test_archives(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     archives = warc_zip.write_archives(pages, str(tmp_path), limit=500)
     assert archives.count() > 1
-    got = sorted(map(tuple, warc_zip.read_archives(archives).collect()), key=repr)
+    read = warc_zip.read_archives(archives)
+    assert {r.record_id for r in read.collect()} >= {"<urn:page:1>", "<urn:page:>"}
+    got = sorted(map(tuple, read.select(*warc_zip.DIGEST).collect()), key=repr)
     import hashlib
 
     want = []
@@ -242,6 +244,46 @@ def test_archive_without_index_and_plain_records():
         assert [warc_zip.parse_record(warc_zip.read_at(file, *p))[:2] for p in places] == [(0, 0), (1, 1), (2, 2)]
 
 
+def record(*head, block=b""):
+    return "\r\n".join(["WARC/1.0", *head, f"Content-Length:{len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_package_of_another_writer(spark, tmp_path):
+    """Two data members, one index with texts as offsets, other names and types of records, revisits without sizes."""
+    import hashlib
+
+    http = b"HTTP/1.1 200 OK\r\nX-A: b\r\n\r\n"
+    uuid, sha = "<urn:uuid:11111111-2222-3333-4444-555555555555>", hashlib.sha1(b"page").digest()
+    b32 = warc_zip.base64.b32encode(sha).decode()
+    one = [
+        record("WARC-Type: warcinfo", "Content-Type: application/warc-fields", block=b"software: x\r\n"),
+        record("warc-type:response", f"WARC-Record-ID: {uuid}", "Content-Type: application/http;\r\n msgtype=response", block=http + b"page"),
+    ]
+    two = [record("WARC-TYPE: revisit", f"WARC-Refers-To: {uuid}", f"WARC-Payload-Digest: SHA1:{b32}", "WARC-Record-ID: <urn:page:x1>")]
+    members = {"archive/a.warc.gz": [warc_zip.gzip.compress(r) for r in one], "archive/b.warc": two}
+    lines = ["!meta 0 {\"format\": \"x\"}", "no place"]
+    for name, packed in members.items():
+        at = 0
+        for r in packed:
+            lines.append('k 2020 {"offset": "%d", "length": "%d", "filename": "%s"}' % (at, len(r), name.rpartition("/")[2]))
+            at += len(r)
+    paths = [str(tmp_path / name) for name in ("indexed.zip", "walked.zip", "bare.zip")]
+    for path in paths:
+        with zipfile.ZipFile(path, "w") as archive:
+            for name, packed in members.items() if "bare" not in path else ():
+                archive.writestr(name, b"".join(packed))
+            if "indexed" in path:
+                archive.writestr("indexes/index.cdxj", "\n".join(lines))
+    want = [
+        (None, 13, hashlib.sha1(b"software: x\r\n").hexdigest(), "warcinfo", None, None),
+        (None, 4, sha.hex(), "response", None, uuid),
+        (None, None, sha.hex(), "revisit", None, "<urn:page:x1>"),
+    ]
+    archives = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = sorted(map(tuple, warc_zip.read_archives(archives).collect()), key=repr)
+    assert got == sorted(want * 2, key=repr)
+
+
 def test_zip64_directory():
     """A directory with all sizes, offsets and counts in their ZIP64 forms."""
     name, data = b"archive/data.warc", b"stored bytes"
