@@ -14,6 +14,7 @@ import brute
 import numpy as np
 import oracle
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -85,6 +86,36 @@ def test_mixing(spark, odd, odd_rows, slices):
     assert key(got) == key(again)
 
 
+def plain_key(doc_id, text, seed=17):
+    """The exponential key of a document: hash of seed, identifier and text, each chained on the one before."""
+    inner = xxhash.xxh64_intdigest(text.encode(), 42)
+    digest = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    if doc_id is not None:
+        digest = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), digest)
+    digest = xxhash.xxh64_intdigest(struct.pack("<Q", inner), digest)
+    mean = len(text) / max(len(brute.words_of(text)), 1)
+    return -math.log(((digest >> 11) + 0.5) / (1 << 53)) * (6.0 + abs(mean - 6.0)) / 6.0
+
+
+def test_mixed_selection_of_query(spark):
+    """Complete epochs, then documents by their keys up to the prefix sum nearest to the rest: all documents, one by one."""
+    rows = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    by_source = {}
+    for doc_id, text, source in rows:
+        by_source.setdefault(source, []).append((plain_key(doc_id, text), doc_id, len(brute.words_of(text))))
+    sources = sorted(by_source, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size for *_, size in by_source[source]) for source in sources]
+    want = {}
+    for source, whole, target in zip(sources, sizes, brute.targets(sizes, mixing.WEIGHTS), strict=True):
+        epochs, before = int(target // max(whole, 1)), 0
+        for _, doc_id, size in sorted(by_source[source]):
+            want[doc_id] = size * (epochs + (before + size / 2 <= target - epochs * whole))
+            before += size
+    got = {r.doc_id: r.taken for r in QUERIES["op4_mixing"](spark, SMALL).collect()}
+    assert got == want
+    assert 0 < sum(1 for doc_id, text, _ in rows if got[doc_id] == 0 and text) < len(rows)
+
+
 def test_mixed_documents(odd, none):
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns
