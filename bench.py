@@ -26,6 +26,9 @@ HEADLINE = (
     "carryforward_tags",
     "base_commit",
     "coverage_report",
+    "file_report",
+    "tag_report",
+    "pull_request_summary",
     "diff_coverage",
     "missing_coverage_blocks",
     "diff_added_lines",
