@@ -94,7 +94,7 @@ def q_scan_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fix_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Line paths under four layouts, chosen by the line's type and number."""
+    """Line paths under four layouts, chosen by the line's type and number; a broken rule, groups that are and are not there, a lone ``$``."""
     rows = bind.lines(spark, d)
     path = (
         F.when(F.col("type") == L.BRANCH, F.concat(F.lit("/build/"), F.col("file_name")))
@@ -104,8 +104,9 @@ def q_fix_paths(spark: SparkSession, d: str) -> DataFrame:
     )
     rules = F.array(
         F.struct(F.lit("^never/").alias("before"), F.lit("no/").alias("after")),
-        F.struct(F.lit("^generated/.*?/y/").alias("before"), F.lit("gen/").alias("after")),
-        F.struct(F.lit("gen/").alias("before"), F.lit("twice/").alias("after")),
+        F.struct(F.lit("^generated/([").alias("before"), F.lit("broken/").alias("after")),
+        F.struct(F.lit("^generated/(.*?)/y/").alias("before"), F.lit(r"gen\1${7}$/").alias("after")),
+        F.struct(F.lit("gen").alias("before"), F.lit("twice").alias("after")),
     )
     fixed = fix_path(path, F.lit("own"), F.lit("rep"), F.lit("/build/"), rules)
     return rows.select("upload_id", "line_number", "type", path.alias("path"), fixed.alias("file_name"))
@@ -514,7 +515,7 @@ ORACLES: dict[str, str] = {
         """select upload_id, line_number, type,
           case when type = 'BRANCH' then concat('/build/', file_name) when type = 'METHOD' then concat('GENERATED/x/y/', file_name, '/')
             when line_number > 20 then concat('github.com/own/rep/', file_name) else file_name end as path,
-          case when type = 'METHOD' then concat('gen/', file_name) else file_name end as file_name
+          case when type = 'METHOD' then concat('genx$/', file_name) else file_name end as file_name
         from line_cov"""
     ),
     "build_line_rows": S.query(
