@@ -7,8 +7,10 @@ clock is the stored time of events, in which they arrive: an event's own time ma
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -29,11 +31,33 @@ COMMIT_STATE = (
 FINISHED = (SUCCESS, FAILURE)
 
 
+class Job(NamedTuple):
+    """A recorded job, with the fields of ``JOB_STATE``."""
+
+    state: str
+    event_us: int
+    stored_us: int
+    version: int
+    fields: dict[str, str]
+
+
+class Event(NamedTuple):
+    """An event behind its key, in the order of its columns; ``fields`` is a JSON object, which costs less to hand over than a map."""
+
+    identifier: str
+    kind: str
+    state: str
+    event_id: int
+    event_us: int
+    stored_us: int
+    fields: str
+
+
 def micros(period: timedelta) -> int:
     return period // timedelta(microseconds=1)
 
 
-def is_recorded(previous: Row | None, state: str, event_us: int) -> bool:
+def is_recorded(previous: Job | None, state: str, event_us: int) -> bool:
     """Late events and steps back from finished to in progress are dropped."""
     if previous is None:
         return True
@@ -73,25 +97,33 @@ class CommitProcessor(StatefulProcessor):
             yield self._emit(key, "uploads_finalised", record["pending_event_us"], record["pending_us"])
         record["complete_us"], record["pending_us"] = record["pending_us"], None
 
-    def _alive(self, job: Row | None, now_us: int) -> bool:
+    def _alive(self, job: Job | None, now_us: int) -> bool:
         return job is not None and job.stored_us > now_us - self.lifetime_us
 
-    def _previous(self, identifier: str, now_us: int) -> Row | None:
-        job = None
-        if self.jobs.exists() and self.jobs.containsKey((identifier,)):
-            job = Row(*JOB_FIELDS)(*self.jobs.getValue((identifier,)))
+    def _previous(self, identifier: str, now_us: int, jobs: dict[str, Job], known: bool) -> Job | None:
+        """``jobs`` holds what this call has read or changed; the store is asked once for a job, and never for a new commit."""
+        if identifier not in jobs:
+            found = known and self.jobs.containsKey((identifier,))
+            jobs[identifier] = Job(*self.jobs.getValue((identifier,))) if found else None
+        job = jobs[identifier]
         return job if self._alive(job, now_us) else None
 
-    def _count_open(self, record: dict, now_us: int) -> None:
+    def _store_jobs(self, jobs: dict[str, Job], changed: set[str]) -> None:
+        for identifier in changed:
+            self.jobs.updateValue((identifier,), tuple(jobs[identifier]))
+        changed.clear()
+
+    def _count_open(self, record: dict, now_us: int, jobs: dict[str, Job], changed: set[str]) -> None:
         """Counted anew only when the oldest open job may have outlived its state; else kept by steps."""
         if record["open"] and record["oldest_open_us"] <= now_us - self.lifetime_us:
-            jobs = [Row(*JOB_FIELDS)(*job) for job in self.jobs.values()]
-            times = [job.stored_us for job in jobs if job.state == IN_PROGRESS and self._alive(job, now_us)]
+            self._store_jobs(jobs, changed)
+            stored = [Job(*job) for job in self.jobs.values()]
+            times = [job.stored_us for job in stored if job.state == IN_PROGRESS and self._alive(job, now_us)]
             record["open"], record["oldest_open_us"] = len(times), min(times, default=None)
 
-    def _set_timer(self, record: dict) -> None:
-        """One timer a commit: the end of the quiet period, or else of its state's life."""
-        for timer in list(self.handle.listTimers()):
+    def _set_timer(self, record: dict, known: bool = True) -> None:
+        """One timer a commit: the end of the quiet period, or else of its state's life. A new commit has none yet."""
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         if record["pending_us"] is not None:
             self.handle.registerTimer((record["pending_us"] + self.quiet_us) // 1000 + 1)
@@ -99,18 +131,20 @@ class CommitProcessor(StatefulProcessor):
             self.handle.registerTimer((record["last_us"] + self.lifetime_us) // 1000 + 1)
 
     def _load(self) -> dict | None:
-        return dict(zip(COMMIT_FIELDS, self.commit.get(), strict=True)) if self.commit.exists() else None
+        stored = self.commit.get()
+        return dict(zip(COMMIT_FIELDS, stored, strict=True)) if stored is not None else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         record = self._load()
-        for row in sorted(rows, key=lambda r: (r.stored_us, r.event_id)):
+        known, jobs, changed = record is not None, {}, set()
+        for row in sorted((Event(*row[KEYS:EVENT_END]) for row in rows), key=lambda e: (e.stored_us, e.event_id)):
             now_us = row.stored_us
             if record is None:
                 record = dict.fromkeys(COMMIT_FIELDS) | {"open": 0}
                 yield self._emit(key, "uploads_started", row.event_us, now_us)
             record["last_us"] = now_us
-            self._count_open(record, now_us)
-            previous = self._previous(row.identifier, now_us)
+            self._count_open(record, now_us, jobs, changed)
+            previous = self._previous(row.identifier, now_us, jobs, known)
             if not is_recorded(previous, row.state, row.event_us):
                 continue
             if record["pending_us"] is not None:
@@ -119,12 +153,13 @@ class CommitProcessor(StatefulProcessor):
                 else:
                     record["pending_us"] = None
             fields = dict(previous.fields) if previous is not None else {}
-            new = dict(row.fields)
+            new = json.loads(row.fields)
             change = changed_fields(fields, new) if previous is not None else new
             version = (previous.version if previous is not None else 0) + bool(change)
             if change:
                 yield self._emit(key, "state_change", row.event_us, now_us, row.identifier, version, change)
-            self.jobs.updateValue((row.identifier,), (row.state, row.event_us, now_us, version, {**fields, **change}))
+            jobs[row.identifier] = Job(row.state, row.event_us, now_us, version, {**fields, **change})
+            changed.add(row.identifier)
             was_open = previous is not None and previous.state == IN_PROGRESS
             record["open"] += (row.state == IN_PROGRESS) - was_open
             if row.state == IN_PROGRESS and record["oldest_open_us"] is None:
@@ -137,7 +172,8 @@ class CommitProcessor(StatefulProcessor):
             if (ingested or (row.kind != "INGESTION" and row.state == SUCCESS)) and not record["open"]:
                 record["pending_us"], record["pending_event_us"] = now_us, row.event_us
         if record is not None:
-            self._set_timer(record)
+            self._store_jobs(jobs, changed)
+            self._set_timer(record, known)
             self.commit.update(tuple(record.values()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -163,7 +199,8 @@ def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
-JOB_FIELDS, COMMIT_FIELDS = _names(JOB_STATE), _names(COMMIT_STATE)
+COMMIT_FIELDS = _names(COMMIT_STATE)
+KEYS, EVENT_END = len(COMMIT), len(COMMIT) + len(Event._fields)
 
 
 def orchestrate(
@@ -182,12 +219,13 @@ def orchestrate(
     though no further event comes in, and the state store removes state at the end of its life.
     ``fields`` are the fields of an event that are versioned.
     """
+    named = F.create_map(*[c for f in (fields or event_fields()).items() for c in (F.lit(f[0]), f[1])])
     timed = events.select(
         *COMMIT, "identifier", "kind", "state", "event_id",
         F.unix_micros(F.col("event_time").cast("timestamp")).alias("event_us"),
         F.unix_micros(F.col("stored_time").cast("timestamp")).alias("stored_us"),
+        F.to_json(F.map_filter(named, lambda k, v: v.isNotNull())).alias("fields"),
         F.col("stored_time").cast("timestamp").alias("stored_ts"),
-        F.map_filter(F.create_map(*[c for f in (fields or event_fields()).items() for c in (F.lit(f[0]), f[1])]), lambda k, v: v.isNotNull()).alias("fields"),
     )
     if not wall_clock:
         timed = timed.withWatermark("stored_ts", delay)
