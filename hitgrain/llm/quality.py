@@ -11,7 +11,7 @@ documents of their language are rejected. Below 1 / (1 - UPPER) documents that q
 is then moved away from the median as far as the tail of a normal distribution says. A language with fewer than
 ``LEAST_TRUSTED`` trusted documents takes its quantile from all its documents.
 
-Scale: counts are combined per Arrow batch and again before their shuffle. The model is as large as the number of
+Scale: counts are combined per Arrow batch and again before their shuffle. Tasks take texts in stretches of ``STRETCH`` bytes. The model is as large as the number of
 different n-grams, which saturates. Up to ``SMALL_MODEL`` entries (checked, 16 bytes each) it is handed to the
 scoring tasks, and texts are not shuffled for scoring. A larger model stays sharded: the n-grams of each document are
 joined to it order by order. Both ways give the same scores.
@@ -25,18 +25,23 @@ those whose labels all have quality 1. Rows that repeat are scored each, and eac
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from hitgrain.llm.common import ROW, text_or_empty, unwrapped, wrapped
 from hitgrain.session import stage_table
 
 ORDER = 5
 BITS = 12
+# Bytes of text whose n-grams a task holds at a time, at some ten arrays of 8 bytes each.
+STRETCH = 1 << 18
 SMALL_MODEL = 4_000_000
 # So many documents of a language set its threshold at least.
 LEAST_TRUSTED = 10
@@ -98,13 +103,34 @@ def half(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(2)).cast("int")
 
 
+def _stretches(texts: pa.Array, most: int = STRETCH) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``most`` bytes together; a longer text stands alone."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to
+        at = to
+
+
+def _tallied(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of all texts, ascending, with their counts."""
+    parts = [np.unique(ngrams(texts[a:b].to_pylist(), order)[0], return_counts=True) for a, b in _stretches(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    unique, place = np.unique(np.concatenate([grams for grams, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(unique), dtype=np.int64)
+    np.add.at(counts, place, np.concatenate([counts for _, counts in parts]))
+    return unique, counts
+
+
 def _counted(order: int):
     def count(batches):
         for batch in batches:
             own = np.asarray(batch["half"])
             for side in np.unique(own).tolist():
-                grams, _ = ngrams(batch["text"].filter(pa.array(own == side)).to_pylist(), order)
-                unique, counts = np.unique(grams, return_counts=True)
+                unique, counts = _tallied(batch["text"].filter(pa.array(own == side)), order)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(unique), side, np.int32)), pa.array(unique.astype(np.int64)), pa.array(counts.astype(np.int64))],
                     names=["half", "gram", "n"],
@@ -197,16 +223,17 @@ class Model:
         return -np.log2(chance)
 
 
-def _scored(shared, order: int):
+def _scored(shared, order: int, field: str | None):
     def score(batches):
         models = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            body = batch["_text"] if field is None else pc.fill_null(batch[ROW].field(field), "")
+            for at, to in _stretches(body):
+                some, part = batch.slice(at, to - at), body[at:to]
                 halves, bits = np.asarray(some["_half"]), np.full(some.num_rows, np.nan)
                 for side, model in models.items():
                     own = halves != side
-                    texts = some["_text"].filter(pa.array(own)).to_pylist()
+                    texts = part.filter(pa.array(own)).to_pylist()
                     grams, lengths = ngrams(texts, order)
                     chars = np.array([len(text) for text in texts], np.int64)
                     unique, place = np.unique(grams, return_inverse=True)
@@ -235,15 +262,17 @@ def small_model(model: DataFrame, small: int = SMALL_MODEL):
     return model.sparkSession.sparkContext.broadcast(models)
 
 
-def score_documents(rows: DataFrame, model: DataFrame, shared, order: int = ORDER) -> DataFrame:
+def score_documents(rows: DataFrame, model: DataFrame, shared, order: int = ORDER, field: str | None = None) -> DataFrame:
     """The columns of ``rows`` but ``_text``, with its ``bits`` per character by the model of the half that it is not in.
 
-    Null for an empty text, and where that half has no model.
+    Null for an empty text, and where that half has no model. ``field`` names a field of ``row`` with the same text, or null
+    where that is empty; the scoring tasks then get each text once.
     """
     if shared is None:
         return _score_sharded(rows, model, order)
     schema = rows.drop("_text").withColumn("bits", F.lit(None).cast("double")).schema
-    return rows.withColumn("_half", half(F.col("_text"))).mapInArrow(_scored(shared, order), schema)
+    halved = rows.withColumn("_half", half(F.col("_text")))
+    return (halved.drop("_text") if field else halved).mapInArrow(_scored(shared, order, field), schema)
 
 
 def _score_sharded(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
@@ -361,7 +390,8 @@ def judge_quality(
     vouched = stage_table(vouched.select("lang", "text"), "lm-trusted")
     model = train_model(vouched.withColumn("half", half(F.col("text"))))
     shared = small_model(model, small)
-    scored = score_documents(rows.withColumn("_text", body), model, shared)
+    field = next((f.name for f in docs.schema if f.name == text and isinstance(f.dataType, StringType)), None)
+    scored = score_documents(rows.withColumn("_text", body), model, shared, field=field)
     sure = stage_table(thresholds(binned(score_documents(vouched.withColumnRenamed("text", "_text"), model, shared))), "lm-thresholds")
     # Languages with too little trusted text go by all their documents.
     limits = sure.select(F.col("lang").alias("_lang"), "threshold")

@@ -6,6 +6,8 @@ import hashlib
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +223,21 @@ def test_bitmap_lets_all_trusted_pass(spark, bits):
     assert quality.maybe_trusted(rows.drop("_bucket"), trusted.limit(0)).count() == 0
 
 
+def test_quality_takes_texts_in_stretches(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab é日", k=rng.randrange(30))) for _ in range(200)] + ["", "x" * 500, ""]
+    taken, make = [], quality.ngrams
+    monkeypatch.setattr(quality, "ngrams", lambda some, order: taken.append(sum(len(t.encode()) for t in some)) or make(some, order))
+    want = np.unique(make(texts, 3)[0], return_counts=True)
+    ranges = list(quality._stretches(pa.array(texts), 100))
+    assert [a for a, _ in ranges] + [len(texts)] == [0] + [b for _, b in ranges]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts)], names=["half", "text"])
+    monkeypatch.setattr(quality._stretches, "__defaults__", (100,))
+    (got,) = quality._counted(3)([batch])
+    assert got["gram"].to_pylist() == want[0].astype(np.int64).tolist() and got["n"].to_pylist() == want[1].tolist()
+    assert max(n for n in taken if n != 500) <= 100
+
+
 def test_quality_held_out(spark):
     """Documents without any part in training: nearly all clean ones stay, most poor ones go."""
     directory = "/root/testdata/sf0.01"
