@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +43,22 @@ def unwrapped(df: DataFrame) -> DataFrame:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``most`` bytes together; a longer text stands alone."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, to
+        at = to
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system, for workers that idle between tasks beside other programs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

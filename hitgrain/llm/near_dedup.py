@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitgrain.llm.common import ROW, text_or_empty, unwrapped, wrapped
+from hitgrain.llm.common import ROW, give_back, text_or_empty, unwrapped, wrapped
 from hitgrain.llm.components import connected_components
 from hitgrain.llm.shingles import mixed, shingle_sets
 from hitgrain.session import stage_table
@@ -99,6 +99,7 @@ def _features(words: int, bands: int, rows: int):
                     ],
                     names=["doc_id", "text_hash", "n_shingles", "node", "buckets"],
                 )
+        give_back()
 
     return features
 
@@ -116,6 +117,7 @@ def _sets(words: int):
                     [pa.array([_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
                     names=["node", "shingles"],
                 )
+        give_back()
 
     return sets
 
@@ -130,24 +132,29 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets are similar enough."""
-
+def _compared(percent: int):
     def compare(batches):
         for batch in batches:
-            left, right = batch["_left"].to_pylist(), batch["_right"].to_pylist()
-            keep = [
-                alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                for x, y in zip(left, right, strict=True)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                keep = [
+                    alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                    for x, y in zip(some["_left"].to_pylist(), some["_right"].to_pylist(), strict=True)
+                ]
+                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
+    return compare
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose full sets are similar enough."""
     joined = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_right")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_left")), "a")
         .select("a", "b", "_left", "_right")
     )
-    return joined.mapInArrow(compare, "a binary, b binary")
+    return joined.mapInArrow(_compared(percent), "a binary, b binary")
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:

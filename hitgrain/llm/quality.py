@@ -25,7 +25,6 @@ those whose labels all have quality 1. Rows that repeat are scored each, and eac
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from hitgrain.llm.common import ROW, text_or_empty, unwrapped, wrapped
+from hitgrain.llm.common import ROW, give_back, stretches, text_or_empty, unwrapped, wrapped
 from hitgrain.session import stage_table
 
 ORDER = 5
@@ -103,20 +102,9 @@ def half(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(2)).cast("int")
 
 
-def _stretches(texts: pa.Array, most: int = STRETCH) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of at most ``most`` bytes together; a longer text stands alone."""
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-        yield at, to
-        at = to
-
-
 def _tallied(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Different n-grams of all texts, ascending, with their counts."""
-    parts = [np.unique(ngrams(texts[a:b].to_pylist(), order)[0], return_counts=True) for a, b in _stretches(texts)]
+    parts = [np.unique(ngrams(texts[a:b].to_pylist(), order)[0], return_counts=True) for a, b in stretches(texts, STRETCH)]
     if len(parts) == 1:
         return parts[0]
     unique, place = np.unique(np.concatenate([grams for grams, _ in parts]), return_inverse=True)
@@ -135,6 +123,7 @@ def _counted(order: int):
                     [pa.array(np.full(len(unique), side, np.int32)), pa.array(unique.astype(np.int64)), pa.array(counts.astype(np.int64))],
                     names=["half", "gram", "n"],
                 )
+        give_back()
 
     return count
 
@@ -228,7 +217,7 @@ def _scored(shared, order: int, field: str | None):
         models = shared.value
         for batch in batches:
             body = batch["_text"] if field is None else pc.fill_null(batch[ROW].field(field), "")
-            for at, to in _stretches(body):
+            for at, to in stretches(body, STRETCH):
                 some, part = batch.slice(at, to - at), body[at:to]
                 halves, bits = np.asarray(some["_half"]), np.full(some.num_rows, np.nan)
                 for side, model in models.items():
@@ -243,6 +232,7 @@ def _scored(shared, order: int, field: str | None):
                 names = [name for name in some.schema.names if name not in ("_text", "_half")]
                 scores = pa.array(bits, mask=np.isnan(bits))
                 yield pa.RecordBatch.from_arrays([some[name] for name in names] + [scores], names=[*names, "bits"])
+        give_back()
 
     return score
 

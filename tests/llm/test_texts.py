@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hitgrain.llm import components, exact_dedup, mixing, near_dedup, quality, suffix_dedup, suffix_runs
+from hitgrain.llm import common, components, exact_dedup, mixing, near_dedup, quality, suffix_dedup, suffix_runs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -223,16 +224,30 @@ def test_bitmap_lets_all_trusted_pass(spark, bits):
     assert quality.maybe_trusted(rows.drop("_bucket"), trusted.limit(0)).count() == 0
 
 
+def test_links_are_confirmed_in_slices():
+    sets = [np.arange(i % 50, i % 50 + 300, dtype=np.uint64).tobytes() for i in range(5000)]
+    names = ["a", "b", "_left", "_right"]
+    ids = [str(i).encode() for i in range(len(sets))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (ids, ids[::-1], sets, sets[::-1])], names=names)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(near_dedup._compared(85)([batch])))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = [i for i in range(len(sets)) if 100 * (300 - (d := abs(i % 50 - (len(sets) - 1 - i) % 50))) >= 85 * (300 + d)]
+    assert found["a"].to_pylist() == [ids[i] for i in near] and 0 < len(near) < len(sets)
+    assert held < batch.nbytes / 4
+
+
 def test_quality_takes_texts_in_stretches(monkeypatch):
     rng = random.Random(9)
     texts = ["".join(rng.choices("ab é日", k=rng.randrange(30))) for _ in range(200)] + ["", "x" * 500, ""]
     taken, make = [], quality.ngrams
     monkeypatch.setattr(quality, "ngrams", lambda some, order: taken.append(sum(len(t.encode()) for t in some)) or make(some, order))
     want = np.unique(make(texts, 3)[0], return_counts=True)
-    ranges = list(quality._stretches(pa.array(texts), 100))
+    ranges = list(common.stretches(pa.array(texts), 100))
     assert [a for a, _ in ranges] + [len(texts)] == [0] + [b for _, b in ranges]
     batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(texts)], names=["half", "text"])
-    monkeypatch.setattr(quality._stretches, "__defaults__", (100,))
+    monkeypatch.setattr(quality, "STRETCH", 100)
     (got,) = quality._counted(3)([batch])
     assert got["gram"].to_pylist() == want[0].astype(np.int64).tolist() and got["n"].to_pylist() == want[1].tolist()
     assert max(n for n in taken if n != 500) <= 100
