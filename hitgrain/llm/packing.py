@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitgrain.llm.common import text_or_empty
+from hitgrain.llm.common import give_back, text_or_empty
 from hitgrain.llm.encoder import encoder
 from hitgrain.llm.token_output import END, batches_of
 from hitgrain.session import stage_table
@@ -44,8 +44,7 @@ def _cut(tokenizer: str, window: int):
         task, ranks = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
         for batch in (small for large in batches for small in batches_of(large)):
             rows = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist()), strict=True):
-                ids += END
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist(), END), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
@@ -56,6 +55,7 @@ def _cut(tokenizer: str, window: int):
                 [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)],
                 names=[part.split()[0] for part in PIECES.split(", ")],
             )
+        give_back()
 
     return cut
 

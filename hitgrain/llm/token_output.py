@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitgrain.llm.common import text_or_empty
+from hitgrain.llm.common import give_back, stretches, text_or_empty
 from hitgrain.llm.encoder import encoder
 from hitgrain.session import work_dir
 
 END = np.array([0], dtype="<u4").tobytes()
-BATCH = 256
+# Bytes of text that are encoded at a time.
+BATCH = 3 << 20
 SCHEMA = "doc_id long, part int, place long, n_tokens int, tokens array<int>"
 LAYOUT = {
     "compression": "lz4_raw",
@@ -40,19 +41,18 @@ LAYOUT = {
 }
 
 
-def batches_of(batch: pa.RecordBatch, rows: int = BATCH) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def batches_of(batch: pa.RecordBatch, size: int = BATCH) -> Iterator[pa.RecordBatch]:
+    for at, to in stretches(batch["text"], size):
+        yield batch.slice(at, to - at)
 
 
 def _encoded(tokenizer: str):
     def encode(batches):
         place = 0
         for batch in (small for large in batches for small in batches_of(large)):
-            ids = [raw + END for raw in encoder(tokenizer).encode(batch["text"].to_pylist())]
-            counts = np.array([len(raw) // 4 for raw in ids], dtype=np.int64)
+            ids, counts = encoder(tokenizer).encode_flat(batch["text"].to_pylist(), END)
             ends = counts.cumsum()
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -65,6 +65,7 @@ def _encoded(tokenizer: str):
                 names=["doc_id", "part", "place", "n_tokens", "tokens"],
             )
             place += int(ends[-1])
+        give_back()
 
     return encode
 

@@ -147,6 +147,23 @@ def test_encoder_on_any_text():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w[:-1].tolist() for w in whole_ids(texts)]
 
 
+def test_encoder_takes_latin_words_to_the_model(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeiourstnéßŁñ", k=rng.randrange(1, 12))) for _ in range(500)]
+    others = ["日本", "ɐb", "x1", "a-b", "don't", "Дa", "x\u0301"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "!?"]) for _ in range(60)) + " " + " ".join(others) for _ in range(40)]
+    texts += ["", "one", " led", "two  three\nfour", texts[0].replace(" ", "\n")]
+    used, encode = encoder.Encoder(tokenizer_path()), encoder.Encoder._together
+    joined = []
+    monkeypatch.setattr(encoder.Encoder, "_together", lambda self, some: joined.extend(some) or encode(self, some))
+    ids, counts = used.encode_flat(texts, np.array([0], "<u4").tobytes())
+    want = whole_ids(texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+    assert not {" " + w for w in words} & set(joined)
+    assert {" " + w for w in others} <= set(joined)
+    assert used.encode([]) == []
+
+
 def test_tokens(odd, odd_rows, none):
     got = token_output.token_digests(token_output.token_table(odd, tokenizer_path())).collect()
     order = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0))
