@@ -63,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._keep = keep
+        self.keep = keep
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         between = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
@@ -138,7 +138,7 @@ class Encoder:
 
     def _known_ids(self, stretches: list[str]) -> list[bytes]:
         """Ids of different stretches, which are learnt if need be."""
-        if len(self._known) > self._keep // 2:
+        if len(self._known) > self.keep // 2:
             self._known, self._older = {}, self._known
         found = list(map(self._known.get, stretches))
         missed = [i for i, ids in enumerate(found) if ids is None]
@@ -200,8 +200,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process."""
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    """The encoder of this worker process, which from now on remembers about ``keep`` stretches."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].keep = keep
     return _encoders[path]

@@ -35,6 +35,9 @@ WINDOW = 1024
 # Shortest lengths of the triples are multiples of WINDOW / GRID.
 GRID = 16
 ROUNDS = 400
+# Bytes of text that are encoded at a time, and stretches that the encoder remembers.
+BATCH = 1 << 20
+KEEP = 250_000
 # A piece, the task that cut it and its rank among the task's pieces of that length.
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, task int, rank long"
 
@@ -42,9 +45,9 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long,
 def _cut(tokenizer: str, window: int):
     def cut(batches):
         task, ranks = TaskContext.get().partitionId(), np.zeros(window + 1, dtype=np.int64)
-        for batch in (small for large in batches for small in batches_of(large)):
+        for batch in (small for large in batches for small in batches_of(large, BATCH)):
             rows = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer).encode(batch["text"].to_pylist(), END), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder(tokenizer, KEEP).encode(batch["text"].to_pylist(), END), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]

@@ -13,6 +13,7 @@ import zlib
 import brute
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +148,17 @@ def test_encoder_on_any_text():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w[:-1].tolist() for w in whole_ids(texts)]
 
 
+def test_packing_encodes_little_at_a_time(monkeypatch):
+    taken, docs = [], pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([f"w{i} " * 2000 for i in range(400)])], names=["doc_id", "text"])
+    used = encoder.Encoder(tokenizer_path())
+    monkeypatch.setattr(encoder.Encoder, "encode_flat", lambda self, texts, end=b"", f=encoder.Encoder.encode_flat: taken.append(sum(map(len, texts))) or f(self, texts, end))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(encoder, "_encoders", {"v": used})
+    pieces = pa.Table.from_batches(list(packing._cut("v", 1024)([docs])))
+    assert len(set(pieces["doc_id"].to_pylist())) == 400
+    assert max(taken) <= packing.BATCH < sum(taken) and used.keep == packing.KEEP
+
+
 def test_encoder_takes_latin_words_to_the_model(monkeypatch):
     rng = random.Random(8)
     words = ["".join(rng.choices("aeiourstnéßŁñ", k=rng.randrange(1, 12))) for _ in range(500)]
