@@ -34,17 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitgrain.llm.common import text_or_empty
+from hitgrain.llm.common import give_back, text_or_empty
 from hitgrain.llm.shingles import mixed, prefix_sums, span_hashes
 from hitgrain.llm.suffix_runs import front_code, front_decode, merge_runs
 from hitgrain.session import stage_table, work_dir
 
 LENGTH = 100
 GRAM = 50
-BLOCK_BYTES = 16 << 20
+# A task takes about ten times this; the programs of one executor share its memory.
+BLOCK_BYTES = 8 << 20
 # Anchor hashes and suffixes of one range, about.
 RANGE_HASHES = 400_000
-RANGE_SUFFIXES = 50_000
+RANGE_SUFFIXES = 25_000
 # An anchor with more kinds of surroundings than this is settled window by window, not in one range.
 HOT_KINDS = 1000
 HOT_SHARE = 1e-4
@@ -55,6 +56,30 @@ PLACE_BITS = 24
 NULL_FIRST = -(1 << 63)
 
 
+def _of_group(step):
+    """``step`` for the rows of a group; what it freed goes back to the system, since workers wait between tasks beside others."""
+
+    def run(key, rows):
+        try:
+            return step(key, rows)
+        finally:
+            give_back()
+
+    return run
+
+
+def _of_block(step):
+    """The same for the rows of a block and what else belongs to it."""
+
+    def run(key, docs, others):
+        try:
+            return step(key, docs, others)
+        finally:
+            give_back()
+
+    return run
+
+
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM):
     """Arrays (hash of the anchor, its place, first and last window that it stands for) over all windows of a text."""
     out = [_anchors(text, at, min(at + SCAN, len(text) - length + 1), length, gram) for at in range(0, len(text) - length + 1, SCAN)]
@@ -279,7 +304,7 @@ def _sent_windows(length: int):
 
 def _hot_intervals(blocks: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """Intervals of the windows of hot anchors that occur earlier."""
-    windows = blocks.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_sent_windows(length), WINDOWS)
+    windows = blocks.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(_of_block(_sent_windows(length)), WINDOWS)
     windows = stage_table(windows, "hot-windows")
     order = F.struct("doc", "tie", "ref", "begin")
     # One row per block and window at most, and minima combine before the shuffle.
@@ -385,9 +410,9 @@ def remove_repeats(
     blocks = stored_blocks(rows, block_bytes)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = max(1, size // (range_hashes * 25))
-    sent = blocks.groupBy("block").applyInArrow(_sent_hashes(shards, length), HASHES)
-    heard = stage_table(sent.groupBy("shard").applyInArrow(_repeated, "block int, heard binary"), "heard")
-    candidates = blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_candidates(length), CANDIDATES)
+    sent = blocks.groupBy("block").applyInArrow(_of_group(_sent_hashes(shards, length)), HASHES)
+    heard = stage_table(sent.groupBy("shard").applyInArrow(_of_group(_repeated), "block int, heard binary"), "heard")
+    candidates = blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_of_block(_candidates(length)), CANDIDATES)
     candidates = stage_table(candidates, "candidates")
     # The first anchor with equal surroundings settles the others; minima combine before the shuffle.
     order = F.struct("doc", "tie", "ref", "place")
@@ -404,8 +429,8 @@ def remove_repeats(
     edges = stage_table(later.filter("not settled").join(several, "hash"), "edges")
     hot, edges = edges.filter("hot").drop("hot"), edges.filter("not hot").drop("hot")
     ranges = max(1, edges.count() // range_suffixes)
-    runs = blocks.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_sent_runs(ranges, length), RUNS)
-    windows = runs.groupBy("shard").applyInArrow(_merge_range(length, GRAM), "ref long, begin int")
+    runs = blocks.groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_of_block(_sent_runs(ranges, length)), RUNS)
+    windows = runs.groupBy("shard").applyInArrow(_of_group(_merge_range(length, GRAM)), "ref long, begin int")
     homes = edges.select("ref", "block").distinct()
     found = windows.join(homes, "ref").select("block", "ref", "begin", (F.col("begin") + length).alias("end"))
     if not hot.isEmpty():
@@ -413,7 +438,7 @@ def remove_repeats(
     whole = candidates.filter("settled").unionByName(later.filter("settled"))
     whole = whole.select("block", "ref", F.col("first").alias("begin"), (F.col("last") + length).alias("end"))
     intervals = stage_table(found.unionByName(whole), "intervals")
-    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_finished, RESULT)
+    return blocks.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(_of_block(_finished), RESULT)
 
 
 def repeat_digests(removed: DataFrame) -> DataFrame:

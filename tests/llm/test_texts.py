@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -355,3 +359,44 @@ def test_near_copies_leave_one_of_each_component(spark):
     assert [r[0] for r in rows if r[1].strip()].count(None) == 1
     assert sorted(r[0] for r in rows if r[1].strip() and r[0] is not None) == [3, 7, 8]
     assert sorted(r[1] for r in rows if not r[1].strip()) == ["", " ", " "]
+
+
+BLOCK_IN_A_WORKER = """
+import random
+
+import pyarrow as pa
+
+from hitgrain.llm import suffix_dedup as S
+
+
+def resident(name):
+    status = dict(line.split(":", 1) for line in open("/proc/self/status").read().splitlines())
+    return int(status[name].split()[0]) >> 10
+
+
+chance = random.Random(7)
+words = ["".join(chance.choices("abcdefghij", k=7)) for _ in range(2000)]
+text = " ".join(chance.choices(words, k=1000))
+count = S.BLOCK_BYTES // len(text)
+near = [text[: 8 * k] + "!" + text[8 * k :] for k in range(count)]
+docs = pa.table({"ref": list(range(count)), "doc": list(range(count)), "tie": list(range(count)), "text": near})
+key = (pa.scalar(0, pa.int32()),)
+S.give_back()
+open("/proc/self/clear_refs", "w").write("5")
+before = resident("VmRSS")
+sent = S._of_group(S._sent_hashes(50, S.LENGTH))(key, docs)
+heard = pa.table({"block": [0] * len(sent), "heard": sent["hashes"]})
+found = S._of_block(S._candidates(S.LENGTH))(key, docs, heard)
+runs = S._of_block(S._sent_runs(1, S.LENGTH))(key, docs, found.slice(0, S.RANGE_SUFFIXES))
+merged = S._of_group(S._merge_range(S.LENGTH, S.GRAM))(key, runs)
+peak = resident("VmHWM")
+del sent, heard, found, runs, merged
+S.give_back()
+print(peak - before)
+"""
+
+
+def test_a_worker_holds_a_block_and_a_range_of_suffixes_in_little_memory():
+    found = subprocess.run([sys.executable, "-c", BLOCK_IN_A_WORKER], capture_output=True, text=True, check=True, timeout=120,
+                           env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])})
+    assert int(found.stdout) < 190  # MB; 16 MB of text and 50 000 suffixes took 271
