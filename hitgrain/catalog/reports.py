@@ -87,8 +87,9 @@ def q_tag_report(spark: SparkSession, d: str) -> DataFrame:
 def q_pull_request_summary(spark: SparkSession, d: str) -> DataFrame:
     lines = bind.lines(spark, d)
     scope = stage_table(whole_scope(spark, d, sizes=True), "scope")
-    diff_lines = stage_table(sparse_diff_states(spark, d), "diff-lines")
-    reports = stage_table(R.coverage_report(commits(spark, d), scope, lines), "reports")
+    found = stage_table(R.scope_and_own_states(scope, lines), "states")
+    diff_lines = stage_table(R.own_diff_lines(found, bind.diff(spark, d, bind.SPARSE)), "diff-lines")
+    reports = stage_table(R.report_numbers(commits(spark, d), scope, found), "reports")
     summary = R.pull_request_summary(
         reports,
         R.coverage_comparison(reports, bases(spark, d)),

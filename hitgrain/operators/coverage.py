@@ -83,6 +83,36 @@ def line_coverage(df: DataFrame, keys: Sequence[str] = WAYPOINT) -> DataFrame:
     )
 
 
+def scope_and_own_states(df: DataFrame, keys: Sequence[str] = WAYPOINT) -> DataFrame:
+    """``state`` of every (file, line) over all rows, and ``own_state`` over those with ``own``, NULL where there are none.
+
+    Both come from one pass of the aggregates of ``line_coverage``.
+    """
+    own = F.col("own")
+    per_branch = (
+        explode_branches(df)
+        .groupBy(*keys, "file_name", "line_number", "branch_index")
+        .agg(
+            F.max("contains_branch").alias("contains_branch"),
+            F.sum("hits").alias("hits"),
+            (F.sum("branch_hit") > 0).alias("is_branch_hit"),
+            F.coalesce(F.max(own), F.lit(False)).alias("own"),
+            F.max(F.when(own, F.col("contains_branch"))).alias("own_contains_branch"),
+            F.sum(F.when(own, F.col("hits"))).alias("own_hits"),
+            (F.sum(F.when(own, F.col("branch_hit"))) > 0).alias("own_is_branch_hit"),
+        )
+    )
+
+    def state(prefix: str) -> Column:
+        hit = F.col(f"{prefix}is_branch_hit")
+        covered = F.count_if(F.col(f"{prefix}contains_branch") & hit)
+        return L.classify_line_state(F.sum(f"{prefix}hits"), covered, F.min(hit))
+
+    return per_branch.groupBy(*keys, "file_name", "line_number").agg(
+        state("").alias("state"), F.when(F.max("own"), state("own_")).alias("own_state")
+    )
+
+
 def _count_state(state: str) -> Column:
     return F.count_if(F.col("state") == state)
 

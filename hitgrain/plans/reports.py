@@ -34,6 +34,11 @@ def coverage_report(waypoints: DataFrame, scope: DataFrame, lines: DataFrame) ->
     are read. All line totals come from one aggregate.
     """
     states = C.line_coverage(C.join_upload_lines(scope.select(*W, "upload_id", "ingest_date"), lines))
+    return report_numbers(waypoints, scope, states)
+
+
+def report_numbers(waypoints: DataFrame, scope: DataFrame, states: DataFrame) -> DataFrame:
+    """``coverage_report`` from the line states of the scope."""
     totals = C.summed_states(states, WAYPOINT)
     own = F.count_if(F.col("source_commit") == F.col("commit_id"))
     sizes = scope.groupBy(*W).agg(own.alias("uploads"), F.sum("total_lines").alias("size"))
@@ -67,6 +72,22 @@ def diff_line_coverage(
     return S.diff_line_states(C.join_upload_lines(own, lines), diff)
 
 
+def scope_and_own_states(scope: DataFrame, lines: DataFrame) -> DataFrame:
+    """Line states of each waypoint over its whole scope and over its own uploads, from one join with the lines."""
+    own = (F.col("source_commit") == F.col("commit_id")).alias("own")
+    return C.scope_and_own_states(C.join_upload_lines(scope.select(*W, "upload_id", "ingest_date", own), lines))
+
+
+def own_diff_lines(states: DataFrame, diff: DataFrame) -> DataFrame:
+    """The added lines that the commit's own uploads hold, with ``diff_index`` and ``state``, from ``scope_and_own_states``.
+
+    ``diff`` has one row per (waypoint, file, line).
+    """
+    keys = [*W, "file_name", "line_number"]
+    own = states.filter(F.col("own_state").isNotNull()).select(*keys, F.col("own_state").alias("state"))
+    return own.join(diff.select(*keys, "diff_index"), keys)
+
+
 def diff_totals(waypoints: DataFrame, diff_lines: DataFrame) -> DataFrame:
     """Percentage and uncovered lines of the diff.
 

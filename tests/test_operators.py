@@ -9,6 +9,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from hitgrain.catalog import reports
 from hitgrain.functions import events as E
 from hitgrain.functions import lines as L
 from hitgrain.operators import comments as K
@@ -19,6 +20,7 @@ from hitgrain.operators import orchestration as O
 from hitgrain.operators import scope as S
 from hitgrain.operators import settings as T
 from hitgrain.operators import uploads as U
+from hitgrain.plans import reports as R
 from hitgrain.sources.refs import ref_version, stored_refs, upsert_refs
 
 LINES = (
@@ -461,3 +463,36 @@ def test_ref_table_survives_a_write_that_stopped(spark, tmp_path):
     assert [r.coverage_percentage for r in stored_refs(spark, path).collect()] == [1.0]
     assert upsert_refs(path, spark.createDataFrame([("b", "main", 2.0, 2)], REF_RESULTS)) == 2
     assert sorted((r.repository_id, r.coverage_percentage) for r in stored_refs(spark, path).collect()) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_states_of_scope_and_own_uploads_come_from_one_pass(spark):
+    chance = random.Random(3)
+    pick = lambda *values: chance.choice(values)
+    scope = [("p", c, f"u{n}", pick(c, "other")) for c in ("a", "b") for n in range(4)]
+    lines = [
+        (f"u{pick(0, 1, 2, 3)}", pick("f", "g", None), chance.randint(1, 12), pick("BRANCH", "METHOD", "STATEMENT", None),
+         pick(None, 0, 0, 1), pick(None, [], [0], [0, 1], [0, None]))
+        for _ in range(300)
+    ]
+    scope = spark.createDataFrame(scope, "project_id string, commit_id string, upload_id string, source_commit string")
+    scope = scope.withColumn("ingest_date", F.lit("2024-01-01").cast("date"))
+    lines = spark.createDataFrame(lines, "upload_id string, file_name string, line_number int, type string, hits bigint, branch_hits array<bigint>")
+    keys = ["project_id", "commit_id", "file_name", "line_number"]
+    found = R.scope_and_own_states(scope, lines)
+    whole = C.line_coverage(C.join_upload_lines(scope, lines)).select(*keys, "state")
+    assert sorted(map(repr, found.select(*keys, "state").collect())) == sorted(map(repr, whole.collect()))
+    own = C.join_upload_lines(scope.filter("source_commit = commit_id"), lines)
+    got = found.filter("own_state is not null").select(*keys, F.col("own_state").alias("state"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, C.line_coverage(own).select(*keys, "state").collect()))
+    diff = whole.filter("line_number % 3 > 0").select(*keys, F.col("line_number").alias("diff_index"))
+    got = R.own_diff_lines(found, diff).select(*keys, "diff_index", "state")
+    assert got.count() and sorted(map(repr, got.collect())) == sorted(
+        map(repr, S.diff_line_states(own, diff).select(*keys, "diff_index", "state").collect())
+    )
+
+
+def test_pull_request_summary_joins_the_lines_once(spark, monkeypatch):
+    calls, join = [], C.join_upload_lines
+    monkeypatch.setattr(C, "join_upload_lines", lambda *args: calls.append(1) or join(*args))
+    assert reports.q_pull_request_summary(spark, "/root/testdata/sf0.001").count()
+    assert len(calls) == 1
