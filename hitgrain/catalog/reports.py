@@ -32,11 +32,13 @@ def store_rows(spark: SparkSession, d: str, root: str) -> None:
     """All lines and uploads in their stored form, through the sinks."""
     up = sparse(spark, d, sizes=True)
     metadata = L.encode_metadata(F.col("type"), F.col("line_number"), F.col("hits"), F.col("branch_json"), F.lit("m"))
-    rows = bind.lines(spark, d).select("upload_id", "file_name", "line_number", "type", metadata.alias("metadata"))
+    rows = bind.lines(spark, d).select("upload_id", "file_name", "line_number", "type", "hits", "branch_json")
+    stored = ["upload_id", "file_name", "line_number", "type", metadata.alias("metadata"), "ingest_time", "ingest_date"]
     # In months, which keeps the folders of seven years few.
     month = F.date_trunc("month", F.col("ingest_time").cast("timestamp")).cast("timestamp_ntz")
     up = up.withColumn("ingest_time", month)
-    sinks.write_ingest(rows.join(up.select("upload_id", "ingest_time"), "upload_id"), up.drop("commit_no"), f"{root}/lines", f"{root}/uploads")
+    dated = rows.join(up.select("upload_id", "ingest_time"), "upload_id")
+    sinks.write_ingest(dated, up.drop("commit_no"), f"{root}/lines", f"{root}/uploads", lambda lines: lines.select(*stored))
 
 
 def q_stored_report(spark: SparkSession, d: str) -> DataFrame:
