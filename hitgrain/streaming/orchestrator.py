@@ -8,6 +8,7 @@ clock is the stored time of events, in which they arrive: an event's own time ma
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from datetime import timedelta
 from typing import NamedTuple
@@ -26,8 +27,10 @@ OUTPUT = (
 JOB_STATE = "state string, event_us bigint, stored_us bigint, version bigint, fields map<string,string>"
 COMMIT_STATE = (
     "last_us bigint, open bigint, oldest_open_us bigint, pending_us bigint, pending_event_us bigint, "
-    "complete_us bigint, ingest_us bigint"
+    "complete_us bigint, ingest_us bigint, packs bigint"
 )
+# About as many jobs of a new commit share an entry of the state store.
+PACK = 64
 FINISHED = (SUCCESS, FAILURE)
 
 
@@ -70,8 +73,27 @@ def changed_fields(current: dict[str, str], new: dict[str, str]) -> dict[str, st
     return {name: value for name, value in new.items() if value not in known}
 
 
+def pack_of(identifier: str | None, packs: int) -> int:
+    return zlib.crc32((identifier or "").encode()) % packs
+
+
+def packed(jobs: dict[str, Job], packs: int) -> dict[int, str]:
+    """The jobs of each pack as JSON text."""
+    rows: dict[int, list] = {}
+    for identifier, job in jobs.items():
+        rows.setdefault(pack_of(identifier, packs), []).append([identifier, *job])
+    return {number: json.dumps(pack) for number, pack in rows.items()}
+
+
+def unpacked(text: str) -> dict[str, Job]:
+    return {identifier: Job(*job) for identifier, *job in json.loads(text)}
+
+
 class CommitProcessor(StatefulProcessor):
-    """``expire`` leaves the removal of old state to the state store (wall clock); else a timer on the stored clock does it."""
+    """Each call to the state store goes through a socket, so the jobs of a commit that begins with many are stored in packs,
+    each read and written whole. What becomes of a job later is stored by itself, and goes before what its pack says.
+
+    ``expire`` leaves the removal of old state to the state store (wall clock); else a timer on the stored clock does it."""
 
     def __init__(self, quiet: timedelta = QUIET_PERIOD, lifetime: timedelta = STATE_LIFETIME, expire: bool = False):
         self.quiet_us = micros(quiet)
@@ -82,6 +104,7 @@ class CommitProcessor(StatefulProcessor):
         self.handle = handle
         ttl = self.lifetime_us // 1000 if self.expire else None
         self.jobs = handle.getMapState("jobs", "identifier string", JOB_STATE, ttl)
+        self.packs = handle.getMapState("packs", "number bigint", "jobs string", ttl)
         self.commit = handle.getValueState("commit", COMMIT_STATE, ttl)
 
     def _emit(self, key: tuple, output: str, event_us: int, stored_us: int, identifier=None, version=None, change=None) -> Row:
@@ -100,25 +123,41 @@ class CommitProcessor(StatefulProcessor):
     def _alive(self, job: Job | None, now_us: int) -> bool:
         return job is not None and job.stored_us > now_us - self.lifetime_us
 
-    def _previous(self, identifier: str, now_us: int, jobs: dict[str, Job], known: bool) -> Job | None:
+    def _stored_job(self, identifier: str, packs: int | None) -> Job | None:
+        if self.jobs.containsKey((identifier,)):
+            return Job(*self.jobs.getValue((identifier,)))
+        number = (pack_of(identifier, packs),) if packs else None
+        if number is None or not self.packs.containsKey(number):
+            return None
+        return unpacked(self.packs.getValue(number)[0]).get(identifier)
+
+    def _stored_jobs(self, packs: int | None) -> dict[str, Job]:
+        found: dict[str, Job] = {}
+        for (text,) in self.packs.values() if packs else ():
+            found.update(unpacked(text))
+        return found | {identifier: Job(*job) for (identifier,), job in self.jobs.iterator()}
+
+    def _previous(self, identifier: str, record: dict, jobs: dict[str, Job], known: bool) -> Job | None:
         """``jobs`` holds what this call has read or changed; the store is asked once for a job, and never for a new commit."""
         if identifier not in jobs:
-            found = known and self.jobs.containsKey((identifier,))
-            jobs[identifier] = Job(*self.jobs.getValue((identifier,))) if found else None
+            jobs[identifier] = self._stored_job(identifier, record["packs"]) if known else None
         job = jobs[identifier]
-        return job if self._alive(job, now_us) else None
+        return job if self._alive(job, record["last_us"]) else None
 
-    def _store_jobs(self, jobs: dict[str, Job], changed: set[str]) -> None:
+    def _store_jobs(self, jobs: dict[str, Job], changed: set[str], record: dict, known: bool) -> None:
+        if not known and len(changed) > PACK:
+            record["packs"] = -(-len(changed) // PACK)
+            for number, text in packed({i: jobs[i] for i in changed}, record["packs"]).items():
+                self.packs.updateValue((number,), (text,))
+            return
         for identifier in changed:
             self.jobs.updateValue((identifier,), tuple(jobs[identifier]))
-        changed.clear()
 
-    def _count_open(self, record: dict, now_us: int, jobs: dict[str, Job], changed: set[str]) -> None:
+    def _count_open(self, record: dict, now_us: int, jobs: dict[str, Job], known: bool) -> None:
         """Counted anew only when the oldest open job may have outlived its state; else kept by steps."""
         if record["open"] and record["oldest_open_us"] <= now_us - self.lifetime_us:
-            self._store_jobs(jobs, changed)
-            stored = [Job(*job) for job in self.jobs.values()]
-            times = [job.stored_us for job in stored if job.state == IN_PROGRESS and self._alive(job, now_us)]
+            every = (self._stored_jobs(record["packs"]) if known else {}) | jobs
+            times = [job.stored_us for job in every.values() if self._alive(job, now_us) and job.state == IN_PROGRESS]
             record["open"], record["oldest_open_us"] = len(times), min(times, default=None)
 
     def _set_timer(self, record: dict, known: bool = True) -> None:
@@ -143,8 +182,8 @@ class CommitProcessor(StatefulProcessor):
                 record = dict.fromkeys(COMMIT_FIELDS) | {"open": 0}
                 yield self._emit(key, "uploads_started", row.event_us, now_us)
             record["last_us"] = now_us
-            self._count_open(record, now_us, jobs, changed)
-            previous = self._previous(row.identifier, now_us, jobs, known)
+            self._count_open(record, now_us, jobs, known)
+            previous = self._previous(row.identifier, record, jobs, known)
             if not is_recorded(previous, row.state, row.event_us):
                 continue
             if record["pending_us"] is not None:
@@ -172,7 +211,7 @@ class CommitProcessor(StatefulProcessor):
             if (ingested or (row.kind != "INGESTION" and row.state == SUCCESS)) and not record["open"]:
                 record["pending_us"], record["pending_event_us"] = now_us, row.event_us
         if record is not None:
-            self._store_jobs(jobs, changed)
+            self._store_jobs(jobs, changed, record, known)
             self._set_timer(record, known)
             self.commit.update(tuple(record.values()))
 
@@ -186,6 +225,8 @@ class CommitProcessor(StatefulProcessor):
         # The clock may have passed more than this timer, and no further batch may come.
         if not self.expire and timerValues.getCurrentWatermarkInMs() * 1000 >= record["last_us"] + self.lifetime_us:
             self.jobs.clear()
+            if record["packs"]:
+                self.packs.clear()
             self.commit.clear()
         else:
             self._set_timer(record)
